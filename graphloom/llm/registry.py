@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from graphloom.llm import op03_urls, op04_matroska, op08_mixing
+from graphloom.llm import op03_urls, op04_matroska, op05_token_files, op08_mixing, op09_prefix_bpe
 
 QUERIES = {
     "op3_url_filter": op03_urls.op3_url_filter,
     "op4_matroska": op04_matroska.op4_matroska,
+    "op5_token_files": op05_token_files.op5_token_files,
     "op8_mixing": op08_mixing.op8_mixing,
+    "op9_prefix_bpe": op09_prefix_bpe.op9_prefix_bpe,
 }
 
 ORACLE = {"op8_mixing": op08_mixing.ORACLE}
