@@ -44,19 +44,43 @@ SEEK_MAGIC = 0x8F92EAB1
 _encoders: dict[str, TextEncoder] = {}
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letters that stand for bytes in byte-level vocabularies: printable bytes themselves, the others from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
 def encoder(path: str) -> TextEncoder:
-    """The tokenizers library's encoder of a file, one a worker process."""
+    """The tokenizers library's encoder of a file, one a worker process.
+
+    A unit that is one run of letters is one pre-token, so the library's model alone encodes it; sentence marks that
+    follow letters are a pre-token of their own. Every other unit takes the library's whole way.
+    """
     if path not in _encoders:
         from tokenizers import Tokenizer
 
-        t = Tokenizer.from_file(path)
+        t, letters = Tokenizer.from_file(path), _byte_letters()
         t.encode_special_tokens = True
-        _encoders[path] = TextEncoder(lambda unit: struct.pack(f"<{len(ids := t.encode(unit, add_special_tokens=False).ids)}I", *ids))
+        model = t.model
+
+        def unit(text: str) -> bytes:
+            core = text.rstrip(".,;:!?")
+            if (core[1:] if core[:1] == " " else core).isalpha():
+                if len(core) < len(text):
+                    return (own.spaced[core[1:]] if core[0] == " " else own.bare[core]) + own.bare[text[len(core) :]]
+                ids = [x.id for x in model.tokenize(text.encode().decode("latin-1").translate(letters))]
+            else:
+                ids = t.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}I", *ids)
+
+        own = _encoders[path] = TextEncoder(unit)
     return _encoders[path]
 
 
-def frame(raw: bytes, level: int = LEVEL) -> bytes:
-    return zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True).compress(raw)
+def compressor(level: int = LEVEL) -> zstandard.ZstdCompressor:
+    """Makes one frame of each text it is given, with checksum and size."""
+    return zstandard.ZstdCompressor(level=level, write_checksum=True, write_content_size=True)
 
 
 def skippable(magic: int, body: bytes) -> bytes:
@@ -91,6 +115,7 @@ class Reader:
     def __init__(self, uri: str):
         fs, path = pyarrow.fs.FileSystem.from_uri(uri)
         self.file = fs.open_input_file(path)
+        self.zstd = zstandard.ZstdDecompressor()
         size = self.file.size()
         count, descriptor, magic = struct.unpack("<IBI", self.file.read_at(9, size - 9))
         if magic != SEEK_MAGIC or not descriptor & 0x80:
@@ -113,7 +138,7 @@ class Reader:
 
     def document(self, k: int) -> np.ndarray:
         """The k-th document's ids, after both checksums."""
-        raw = zstandard.ZstdDecompressor().decompress(self.file.read_at(int(self.table[k, 0]), int(self.offsets[k])), max_output_size=int(self.table[k, 1]))
+        raw = self.zstd.decompress(self.file.read_at(int(self.table[k, 0]), int(self.offsets[k])), max_output_size=int(self.table[k, 1]))
         if len(raw) != self.table[k, 1] or xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF != self.table[k, 2]:
             raise ValueError(f"document {k}: checksum differs")
         return np.frombuffer(raw, f"<u{self.meta['width']}").astype("<u4")
@@ -128,14 +153,14 @@ def token_frames(docs: DataFrame, tokenizer: str, end_id: int = END_ID, width: i
     """doc_id, frame, size, checksum of (doc_id, text): ids with the end id, `width` bytes each, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer), struct.pack("<I", end_id)
+        encode, end, compress = encoder(tokenizer), struct.pack("<I", end_id), compressor().compress
         for b in batches:
             frames, sizes, sums = [], [], []
-            for text in b.column(1):
-                raw = encode(text.as_py() or "") + end
+            for text in b.column(1).to_pylist():
+                raw = encode(text or "") + end
                 if width != 4:
                     raw = np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes()
-                frames.append(frame(raw))
+                frames.append(compress(raw))
                 sizes.append(len(raw))
                 sums.append(xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(frames, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "frame", "size", "checksum"])
@@ -191,9 +216,9 @@ def read_digests(manifest: DataFrame) -> DataFrame:
         for b in batches:
             for uri, start in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 reader, rows = Reader(uri), []
-                for k in range(len(reader)):
+                for k, doc_id in enumerate(reader.ids):
                     ids = reader.document(k)
-                    rows.append((reader.ids[k], start, len(ids), zlib.crc32(ids.tobytes())))
+                    rows.append((doc_id, start, len(ids), zlib.crc32(ids.tobytes())))
                     start += len(ids)
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])

@@ -15,7 +15,7 @@ from collections.abc import Callable
 SPACE = "\\t\\n\\x0b\\x0c\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 RUN = re.compile(f"[{SPACE}]{{2}}")
 UNITS = re.compile(f" ?[^{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]")
-CACHED_ENTRIES = 400_000
+CACHED_ENTRIES = 800_000
 CACHED_LENGTH = 48
 
 
