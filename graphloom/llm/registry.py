@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from graphloom.llm import op01_collision_ann, op03_urls, op04_matroska, op05_token_files, op06_language, op07_toxicity, op08_mixing, op09_prefix_bpe
+from graphloom.llm import op01_collision_ann, op02_lattice_lm, op03_urls, op04_matroska, op05_token_files, op06_language, op07_toxicity, op08_mixing, op09_prefix_bpe
 
 QUERIES = {
     "op1_collision_ann": op01_collision_ann.op1_collision_ann,
+    "op2_lattice_lm": op02_lattice_lm.op2_lattice_lm,
     "op3_url_filter": op03_urls.op3_url_filter,
     "op4_matroska": op04_matroska.op4_matroska,
     "op5_token_files": op05_token_files.op5_token_files,
