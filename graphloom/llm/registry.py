@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.llm import op01_collision_ann, op02_lattice_lm, op03_urls, op04_matroska, op05_token_files, op06_language, op07_toxicity, op08_mixing, op09_prefix_bpe
+from graphloom.llm import op01_collision_ann, op02_lattice_lm, op03_urls, op04_matroska, op05_token_files, op06_language, op07_toxicity, op08_mixing, op09_prefix_bpe, op10_setsketch
 
 QUERIES = {
     "op1_collision_ann": op01_collision_ann.op1_collision_ann,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_toxicity": op07_toxicity.op7_toxicity,
     "op8_mixing": op08_mixing.op8_mixing,
     "op9_prefix_bpe": op09_prefix_bpe.op9_prefix_bpe,
+    "op10_setsketch": op10_setsketch.op10_setsketch,
 }
 
 ORACLE = {"op8_mixing": op08_mixing.ORACLE}
