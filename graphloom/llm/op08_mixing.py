@@ -41,7 +41,8 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     """source, source_size, target: water-filling of share x all words by weight, none above most x its source.
 
     Reshared excess ends where every source below its limit has the same words a weight; sorted by limit over weight,
-    the first source that stays below its limit gives that level. One row a source, from partial sums.
+    the first source that stays below its limit gives that level (later ones give less, as sources before them are
+    counted with limits they don't reach). One row a source, from partial sums.
     """
     per = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("_docs"))
     rank = F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")) - 1
@@ -51,7 +52,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     whole = Window.partitionBy()
     per = per.withColumns({"_below": F.sum("_cap").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_cap"), "_left": F.sum("_w").over(order.rowsBetween(Window.currentRow, Window.unboundedFollowing)), "_all": F.sum("source_size").over(whole) * F.lit(float(share))})
     per = per.withColumn("_level", (F.col("_all") - F.col("_below")) / F.col("_left"))
-    per = per.withColumn("_level", F.min(F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))).over(whole))
+    per = per.withColumn("_level", F.max(F.when(F.col("_level") <= F.col("_cap") / F.col("_w"), F.col("_level"))).over(whole))
     return per.select("source", "source_size", F.when(F.col("_level").isNull(), F.col("_cap")).otherwise(F.least(F.col("_level") * F.col("_w"), F.col("_cap"))).alias("target"))
 
 
@@ -125,7 +126,7 @@ l AS (SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE - (sum(cap) OVER a - cap
   WINDOW a AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
          b AS (ORDER BY cap / w, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
 t AS (SELECT source, source_size, CASE WHEN m IS NULL THEN cap ELSE least(m * w, cap) END AS target
-  FROM (SELECT *, min(level) FILTER (level <= cap / w) OVER () AS m FROM l)),
+  FROM (SELECT *, max(level) FILTER (level <= cap / w) OVER () AS m FROM l)),
 c AS (SELECT d.*, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN least(2.0::DOUBLE, t.target / t.source_size) ELSE 0.0::DOUBLE END AS copies
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
 q AS (SELECT *, floor(copies) AS whole, CASE WHEN copies - floor(copies) > 0 THEN (u / (1 - u)) / ((copies - floor(copies)) / (1 - (copies - floor(copies)))) END AS q FROM c),
