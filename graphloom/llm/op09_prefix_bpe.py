@@ -6,6 +6,8 @@ undoing their merges in order of rank and looking for an earlier merge across th
 only on the entries of the last `max_len` bytes, appending adds entries without touching old ones, and after an edit
 recomputation stops once `max_len` entries in a row agree with the old ones.
 
+Texts are cut as the public pattern cuts (see pieces); another pattern must cut there as well.
+
 Defined results: null text counts as empty (no ids); any Unicode text is encoded; repeated rows give repeated rows.
 """
 
@@ -16,6 +18,7 @@ import hashlib
 import struct
 from collections.abc import Iterator
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -38,7 +41,8 @@ class PrefixBpe:
         self.ranks, self.tokens = ranks, {rank: token for token, rank in ranks.items()}
         self.max_len = max(map(len, ranks))
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
+        self.finder: ahocorasick.Automaton | None = None
 
     def split(self, token: int) -> tuple[int, int] | None:
         """The two tokens whose merge makes this one; None for single bytes, and for tokens that no merge reaches."""
@@ -71,28 +75,39 @@ class PrefixBpe:
             else:
                 return True
 
-    def _follows(self, a: int, b: int) -> bool:
-        known = self.pairs.get((a, b))
-        if known is None:
-            if len(self.pairs) >= MOST_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[a, b] = self.fits(a, b)
-        return known
-
-    def last_token(self, text: bytes, end: int, last: list[int]) -> int:
-        """The token that ends the encoding of text[:end]; last: those of the shorter prefixes, last[k] of text[:k]."""
-        ranks = self.ranks
-        for n in range(min(end, self.max_len), 0, -1):
-            token = ranks.get(text[end - n : end])
-            if token is not None and (n == 1 or self.split(token) is not None) and (n == end or self._follows(last[end - n], token)):
-                return token
-        raise ValueError("a byte without a token")
-
-    def prefixes(self, text: bytes, last: list[int] | None = None) -> list[int]:
-        """last tokens of all prefixes (entry 0 is unused); continues those given."""
+    def automaton(self) -> ahocorasick.Automaton:
+        """Finds, at each place of a text, the tokens that end there; only those that merges reach."""
+        if self.finder is None:
+            self.finder = ahocorasick.Automaton()
+            for text, rank in self.ranks.items():
+                if self.reached(rank):
+                    self.finder.add_word(text.decode("latin-1"), (len(text), rank))
+            self.finder.make_automaton()
+        return self.finder
+
+    def prefixes(self, text: bytes, last: list[int] | None = None, stop: int | None = None) -> list[int]:
+        """last tokens of all prefixes up to stop: entry k is the one token that ends the encoding of text[:k] (entry 0 is unused). Continues those given."""
         last = [-1] if last is None else last
-        for end in range(len(last), len(text) + 1):
-            last.append(self.last_token(text, end, last))
+        stop = len(text) if stop is None else stop
+        pairs, done = self.pairs, len(last) - 1
+        begin = max(0, done - self.max_len + 1)
+        for end, (n, token) in self.automaton().iter(text[begin:stop].decode("latin-1")):
+            end += begin + 1
+            if end <= done:
+                continue
+            if end > n:
+                pair = last[end - n] << 32 | token
+                fits = pairs.get(pair)
+                if fits is None:
+                    if len(pairs) >= MOST_PAIRS:
+                        pairs.clear()
+                    fits = pairs[pair] = self.fits(last[end - n], token)
+                if not fits:
+                    continue
+            last.append(token)
+            done = end
+        if done < stop:
+            raise ValueError("a byte without a token")
         return last
 
     def walk(self, last: list[int]) -> list[int]:
@@ -110,7 +125,7 @@ class PrefixBpe:
         edited, shift = text[:start] + new + text[stop:], len(new) - (stop - start)
         out, same, made = last[: start + 1], 0, 0
         for end in range(start + 1, len(edited) + 1):
-            out.append(self.last_token(edited, end, out))
+            self.prefixes(edited, out, end)
             made += 1
             old = end - shift
             same = same + 1 if old > stop and last[old] == out[end] else 0
@@ -135,10 +150,14 @@ def coder(path: str, pattern: str) -> tuple[PrefixBpe, TextEncoder]:
         bpe, cut = PrefixBpe(read_ranks(path)), regex.compile(pattern).findall
 
         def unit(text: str) -> bytes:
+            core = text.rstrip(".,;:!?")
+            if len(core) < len(text) and (core[1:] if core[:1] == " " else core).isalpha():  # letters, then marks: two pieces
+                return (own.spaced[core[1:]] if core[0] == " " else own.bare[core]) + own.bare[text[len(core) :]]
             ids = [i for piece in cut(text) for i in bpe.encode_piece(piece.encode())]
             return struct.pack(f"<{len(ids)}I", *ids)
 
-        _coders[path, pattern] = bpe, TextEncoder(unit)
+        own = TextEncoder(unit)
+        _coders[path, pattern] = bpe, own
     return _coders[path, pattern]
 
 
