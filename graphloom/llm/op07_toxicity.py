@@ -208,7 +208,7 @@ def features(docs: DataFrame, shared, columns: list[str]) -> DataFrame:  # noqa:
 
 
 def score(docs: DataFrame, fitted: tuple, columns: list[str]) -> DataFrame:
-    """columns, score, predicted."""
+    """columns, score, predicted; columns may hold text itself."""
     shared, w = fitted
     if shared is None:
         out = docs.select(*columns).withColumn("score", F.lit(w[0]))
