@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict[str, str] = {}
+from graphloom.plans import base, intervals  # noqa: F401
+
+QUERIES = base.QUERIES
+ORACLE = base.ORACLE
 FLAGSHIP = "w1_w2_j1_window_segments"
