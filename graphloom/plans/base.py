@@ -111,7 +111,7 @@ GRAPH = EDGES + """,
 graph AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, sum(w) AS w FROM edges GROUP BY 1, 2),
 sym AS (SELECT src, dst, w FROM graph UNION ALL SELECT dst, src, w FROM graph WHERE src <> dst),
 nodes AS (SELECT src AS node FROM graph UNION SELECT dst FROM graph),
-part AS (SELECT node, node % 7 AS comm FROM nodes)"""
+grp AS (SELECT node, node % 7 AS comm FROM nodes)"""
 
 
 def partition(nodes: DataFrame, n: int = 7) -> DataFrame:
@@ -135,7 +135,7 @@ def first_centers(pts: DataFrame, k: int = 5) -> DataFrame:
 CENTERS = "ctr AS (SELECT id AS k, v AS c FROM pts WHERE id < 5)"
 ASSIGNED = "near AS (SELECT id, k, list_distance(v, c) AS dist FROM pts, ctr), lab AS (SELECT id, arg_min(k, (dist, k)) AS label, min(dist) AS dist FROM near GROUP BY id)"
 
-TOKENS = "tok AS (SELECT conv_id * 1000 + turn AS sentence, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^a-z]+'), x -> x <> '') AS w FROM conversations))"
+TOKENS = "tok AS (SELECT conv_id * 1000 + turn AS sentence, unnest(w) AS token, unnest(range(len(w))) AS pos FROM (SELECT conv_id, turn, list_filter(string_split_regex(lower(text), '[^a-z]+'), lambda x: x <> '') AS w FROM conversations))"
 
 
 def sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
