@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import table
 
-BINS = 1024
+BINS = 4096
 GRAM_SIZES = (3, 4)
 MAX_LABELLED = 200
 
@@ -25,20 +25,26 @@ RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "b
 
 #: A small labelled table: 1 is unwanted.
 LABELLED = [
-    ("http://casino-royal.example.com/play", 1), ("https://online-casino.example.org/slots/", 1), ("http://www.casino-bonus.example.net/win", 1),
-    ("http://free-bets.example.com/today", 1), ("https://bets-win.example.org/odds", 1), ("http://m.sports-bets.example.net/free", 1),
-    ("http://cheap-pills.example.com/buy", 1), ("https://www.pills-online.example.org/order", 1), ("http://discount-pills.example.net/shop", 1),
-    ("http://adult-cams.example.com/live", 1), ("https://hot-cams.example.org/xxx", 1), ("http://xxx-videos.example.net/free", 1),
-    ("http://win-jackpot.example.com/spin", 1), ("https://poker-win.example.org/table", 1), ("http://free-poker.example.net/cards", 1),
-    ("http://payday-loans.example.com/apply", 1), ("https://fast-loans.example.org/cash", 1), ("http://cheap-watches.example.net/replica", 1),
-    ("http://free-money.example.com/click", 1), ("https://get-rich.example.org/crypto-win", 1),
-    ("http://www.library.example.org/en/1201", 0), ("https://blog.gardens.example.com/en/1450.html", 0), ("https://museum.example.net/fr/2033/", 0),
-    ("http://weather.example.com/de/3310?page=2", 0), ("https://university.example.org/es/4821", 0), ("http://m.recipes.example.net/en/711", 0),
-    ("https://www.history.example.com/fr/6620#top", 0), ("http://science.example.org/en/8100/", 0), ("https://maps.example.net/de/933", 0),
-    ("http://books.example.com/es/1277.html", 0), ("https://therest.example.org/en/412?utm_source=feed", 0), ("http://www.nations.example.com/en/5512", 0),
-    ("https://blog.thinkers.example.net/fr/2290", 0), ("http://m.another.example.org/de/6100/", 0), ("https://stations.example.com/en/3105", 0),
-    ("http://teaching.example.net/es/7718", 0), ("https://www.cityhall.example.org/fr/815.html", 0), ("http://theatre.example.com/en/904#top", 0),
-    ("https://blog.mountains.example.net/en/4477", 0), ("http://rivers.example.org/de/1903?page=2&ref=x", 0),
+    ("http://casino-royal.example.com/en/4410", 1), ("https://m.online-casino.example.org/fr/120/", 1), ("http://www.casino-bonus.example.net/de/7120.html", 1), ("https://casino.example.com/es/31", 1),
+    ("http://free-bets.example.com/en/2210#top", 1), ("https://www.bets-online.example.org/es/905", 1), ("http://m.sports-bets.example.net/en/6001?page=2", 1), ("http://bets.example.org/fr/8", 1),
+    ("http://cheap-pills.example.com/fr/3302", 1), ("https://www.pills-online.example.org/en/811?utm_source=feed", 1), ("http://discount-pills.example.net/de/1207/", 1), ("http://m.pills.example.com/en/5", 1),
+    ("http://adult-cams.example.com/en/77", 1), ("https://blog.hot-cams.example.org/es/4120", 1), ("http://xxx-videos.example.net/fr/8008.html", 1),
+    ("http://win-jackpot.example.com/de/5511", 1), ("https://m.poker-win.example.org/en/3919", 1), ("http://free-poker.example.net/es/2604?page=2&ref=x", 1), ("https://jackpot.example.org/en/66", 1),
+    ("http://payday-loans.example.com/en/915/", 1), ("https://fast-loans.example.org/fr/6100", 1), ("http://cheap-watches.example.net/en/1470#top", 1),
+    ("http://www.free-money.example.com/de/2020", 1), ("https://get-rich.example.org/en/7301?utm_source=feed", 1), ("http://cheap-replica.example.com/es/12", 1),
+    ("http://www.library.example.org/en/1201", 0), ("https://blog.gardens.example.com/en/1450.html", 0), ("https://museum.example.net/fr/2033/", 0), ("http://m.station.example.org/es/66", 0),
+    ("http://weather.example.com/de/3310?page=2", 0), ("https://university.example.org/es/4821", 0), ("http://m.recipes.example.net/en/711", 0), ("https://notes.example.com/fr/8", 0),
+    ("https://www.history.example.com/fr/6620#top", 0), ("http://science.example.org/en/8100/", 0), ("https://maps.example.net/de/933", 0), ("http://thinking.example.com/en/5", 0),
+    ("http://books.example.com/es/1277.html", 0), ("https://therest.example.org/en/412?utm_source=feed", 0), ("http://www.nations.example.com/en/5512", 0), ("https://blog.there.example.org/en/77", 0),
+    ("https://blog.thinkers.example.net/fr/2290", 0), ("http://m.another.example.org/de/6100/", 0), ("https://stations.example.com/en/3105", 0), ("http://onthe.example.net/es/31", 0),
+    ("http://teaching.example.net/es/7718", 0), ("https://www.cityhall.example.org/fr/815.html", 0), ("http://theatre.example.com/en/904#top", 0), ("http://handing.example.org/de/12", 0),
+    ("https://blog.mountains.example.net/en/4477", 0), ("http://rivers.example.org/de/1903?page=2&ref=x", 0), ("https://www.tables.example.com/en/2604", 0), ("http://m.matters.example.net/fr/120", 0),
+    ("http://m.weather.example.org/en/4410", 0), ("http://m.thunder.example.com/en/33", 0), ("https://m.earth.example.org/de/7688", 0), ("http://m.motion.example.net/fr/4200/", 0),
+    ("https://m.nation.example.com/en/12618", 0), ("http://m.within.example.com/es/16", 0), ("https://m.health.example.org/en/34482", 0), ("http://m.question.example.com/fr/6094", 0),
+    ("https://blog.tradition.example.com/en/37238.html", 0), ("http://blog.attention.example.org/en/3", 0), ("https://blog.whether.example.com/de/70", 0), ("http://blog.brother.example.net/es/914", 0),
+    ("http://www.together.example.com/en/1837/", 0), ("https://www.information.example.org/fr/1", 0), ("http://www.another.example.net/en/5", 0), ("https://www.everything.example.com/de/44#top", 0),
+    ("http://edition.example.org/en/41855/", 0), ("https://something.example.com/en/5462", 0), ("http://father.example.net/en/9823", 0), ("https://wanted.example.org/es/3413", 0),
+    ("http://m.ads-banner.example.com/en/612", 1), ("https://ads-server.example.org/de/2201", 1), ("http://track-ads.example.net/fr/93?ref=x", 1), ("https://www.click-track.example.com/en/18/", 1),
 ]
 
 
@@ -61,12 +67,16 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[C
 
 
 def gram_bins(host: Column, path: Column, bins: int = BINS) -> Column:
-    """Bins (crc32 of the gram, modulo) of the character n-grams of `^host$` and of the path, one entry an occurrence."""
+    """Bins (crc32 of the gram, modulo) of the character n-grams of `^host$` and of the path (any digit as 0), one entry an occurrence."""
+
+    def of_size(text: Column, mark: str, n: int) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1)))
+        return F.transform(starts, lambda i: F.pmod(F.crc32(F.concat(F.lit(mark), F.substring(text, i, F.lit(n))).cast("binary")), F.lit(bins)).cast("int"))
 
     def grams(text: Column, mark: str) -> list[Column]:
-        return [F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - (n - 1))), lambda i, n=n: F.pmod(F.crc32(F.concat(F.lit(mark), F.substring(text, i, F.lit(n))).cast("binary")), F.lit(bins)).cast("int")) for n in GRAM_SIZES]
+        return [of_size(text, mark, n) for n in GRAM_SIZES]
 
-    return F.concat(*grams(F.concat(F.lit("^"), host, F.lit("$")), "h"), *grams(path, "p"))
+    return F.concat(*grams(F.concat(F.lit("^"), host, F.lit("$")), "h"), *grams(F.translate(path, "123456789", "000000000"), "p"))
 
 
 def fit(labelled: DataFrame, bins: int = BINS, max_rows: int = MAX_LABELLED) -> tuple[list[float], float]:
@@ -76,10 +86,11 @@ def fit(labelled: DataFrame, bins: int = BINS, max_rows: int = MAX_LABELLED) ->
     if not n:
         return [0.0] * bins, 0.0
     f = with_host_path(labelled, "url", "_host", "_path").select("url", "label", gram_bins(F.col("_host"), F.col("_path"), bins).alias("_bins"))
-    total = F.size("_bins")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter("_bins", lambda b: b == k)) / total)
-    rows = f.select(F.col("label").cast("double").alias("label"), array_to_vector(dense).alias("features"), "url").coalesce(1).sortWithinPartitions("url")
-    model = LogisticRegression(maxIter=60, regParam=1e-4, standardization=False).fit(rows)
+    counts = f.select("url", "label", F.explode("_bins").alias("b")).groupBy("url", "label", "b").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    counts = counts.groupBy("url", "label").agg(F.map_from_entries(F.collect_list(F.struct("b", "n"))).alias("_of"))
+    dense = F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.coalesce(F.try_element_at("_of", k), F.lit(0.0)))
+    rows = counts.select(F.col("label").cast("double").alias("label"), array_to_vector(dense).alias("features"), "url").coalesce(1).sortWithinPartitions("url")
+    model = LogisticRegression(maxIter=60, regParam=0.05, standardization=False).fit(rows)
     return [float(x) for x in model.coefficients], float(model.intercept)
 
 
@@ -90,7 +101,7 @@ def judge(df: DataFrame, model: tuple[list[float], float], rules: list[tuple[str
     w = F.array(*map(F.lit, weights))
     total = F.aggregate("_bins", F.lit(0.0), lambda a, b: a + F.get(w, b))
     rule, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(total / F.size("_bins") + intercept)))
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-(total + intercept)))
     return out.withColumns({"rule": rule, "probability": p}).withColumn("verdict", F.coalesce(verdict, F.when(F.col("probability") >= 0.5, "block").otherwise("allow"))).drop("_bins")
 
 
