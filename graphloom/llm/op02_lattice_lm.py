@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, materialize, remainder, table, tokenizer_file
+from graphloom.llm.common import as_bytes, bounded_batches, materialize, remainder, table, tokenizer_file, worker_cache
 
 FREQUENT = 50_000
 ROUNDS = 1
@@ -116,16 +116,9 @@ class Lattice:
             back[start] = w if o == -math.inf else (o + math.log1p(math.exp(w - o)) if o > w else w + math.log1p(math.exp(o - w)))
 
 
-_lattices: dict[int, Lattice] = {}
-
-
 def lattice(pieces: list[bytes], logs: list[float]) -> Lattice:
     """One a worker process and set of weights."""
-    key = zlib.crc32(np.array(logs).tobytes(), len(pieces))
-    if key not in _lattices:
-        _lattices.clear()
-        _lattices[key] = Lattice(pieces, logs)
-    return _lattices[key]
+    return worker_cache("lattice", zlib.crc32(np.array(logs).tobytes(), len(pieces)), lambda: Lattice(pieces, logs))
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -171,6 +164,7 @@ def expected_pieces(words: DataFrame, pieces: list[bytes], logs: list[float]) ->
 
 def score(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> DataFrame:
     """The contract's columns from docs (doc_id, text, held_out); training rows are those not held out."""
+    bounded_batches(docs.sparkSession)
     words = materialize(count_words(docs.where(~F.col("held_out"))), "lm-words")
     total, kinds, once, twice, ends = words.agg(*(F.coalesce(x, F.lit(0)) for x in (F.sum("c"), F.count("c"), F.sum((F.col("c") == 1).cast("long")), F.sum((F.col("c") == 2).cast("long")), F.sum(F.when(F.col("word") == F.lit(b""), F.col("c")))))).first()
     discount = once / (once + 2 * twice) if once else 0.5

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, table
+from graphloom.llm.common import as_bytes, bounded_batches, table
 
 FRAME = 576
 RATE = 48_000
@@ -293,6 +293,7 @@ def media_digests(df: DataFrame) -> DataFrame:
             columns = list(zip(*(_digest(t or b"") for t in as_bytes(b.column(1))), strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["doc_id", *names])
 
+    bounded_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
 
 

@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import fresh_path, materialize, table, tokenizer_file
+from graphloom.llm.common import bounded_batches, fresh_path, materialize, table, tokenizer_file, worker_cache
 from graphloom.llm.pieces import TextEncoder
 
 END_ID = 0
@@ -41,9 +41,6 @@ SKIPPABLE = 0x184D2A50
 SEEK_SKIPPABLE = 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
 
-_encoders: dict[str, TextEncoder] = {}
-
-
 def _byte_letters() -> dict[int, str]:
     """The letters that stand for bytes in byte-level vocabularies: printable bytes themselves, the others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -57,25 +54,28 @@ def encoder(path: str) -> TextEncoder:
     A unit that is one run of letters is one pre-token, so the library's model alone encodes it; sentence marks that
     follow letters are a pre-token of their own. Every other unit takes the library's whole way.
     """
-    if path not in _encoders:
-        from tokenizers import Tokenizer
+    return worker_cache("token-files", path, lambda: _make_encoder(path))
+
+
+def _make_encoder(path: str) -> TextEncoder:
+    from tokenizers import Tokenizer
 
-        t, letters = Tokenizer.from_file(path), _byte_letters()
-        t.encode_special_tokens = True
-        model = t.model
+    t, letters = Tokenizer.from_file(path), _byte_letters()
+    t.encode_special_tokens = True
+    model = t.model
 
-        def unit(text: str) -> bytes:
-            core = text.rstrip(".,;:!?")
-            if (core[1:] if core[:1] == " " else core).isalpha():
-                if len(core) < len(text):
-                    return (own.spaced[core[1:]] if core[0] == " " else own.bare[core]) + own.bare[text[len(core) :]]
-                ids = [x.id for x in model.tokenize(text.encode().decode("latin-1").translate(letters))]
-            else:
-                ids = t.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}I", *ids)
+    def unit(text: str) -> bytes:
+        core = text.rstrip(".,;:!?")
+        if (core[1:] if core[:1] == " " else core).isalpha():
+            if len(core) < len(text):
+                return (own.spaced[core[1:]] if core[0] == " " else own.bare[core]) + own.bare[text[len(core) :]]
+            ids = [x.id for x in model.tokenize(text.encode().decode("latin-1").translate(letters))]
+        else:
+            ids = t.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-        own = _encoders[path] = TextEncoder(unit)
-    return _encoders[path]
+    own = TextEncoder(unit)
+    return own
 
 
 def compressor(level: int = LEVEL) -> zstandard.ZstdCompressor:
@@ -170,6 +170,7 @@ def token_frames(docs: DataFrame, tokenizer: str, end_id: int = END_ID, width: i
 
 def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, width: int = 2, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
     """Writes the files under path and returns the manifest: shard, uri, documents, tokens; a row a file."""
+    bounded_batches(docs.sparkSession)
     path = re.sub(r"^file:/(?!/)", "file:///", path)
     n = docs.count()
     shards = max(1, -(-n // rows_per_file))

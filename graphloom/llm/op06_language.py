@@ -25,13 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import remainder, table
+from graphloom.llm.common import bounded_batches, remainder, table, worker_cache
 
 DOCS = 64
 DOC_CHARS = 4000
 CHARS = 30_000
 WINDOW = 1024
-BATCH_CHARS = 1_500_000
+BATCH_CHARS = 1_000_000
 UND = "und"
 
 
@@ -149,15 +149,9 @@ class Parser:
         return out
 
 
-_parsers: dict[str, Parser] = {}
-
-
 def parser(references: list[tuple[str, str]]) -> Parser:
-    key = hashlib.sha256(repr(references).encode()).hexdigest()
-    if key not in _parsers:
-        _parsers.clear()
-        _parsers[key] = Parser(references)
-    return _parsers[key]
+    """The references' parser, one a worker process."""
+    return worker_cache("language", hashlib.sha256(repr(references).encode()).hexdigest(), lambda: Parser(references))
 
 
 def references(docs: DataFrame, docs_per_lang: int = DOCS, doc_chars: int = DOC_CHARS, chars: int = CHARS) -> list[tuple[str, str]]:
@@ -170,16 +164,18 @@ def references(docs: DataFrame, docs_per_lang: int = DOCS, doc_chars: int = DOC_
     return [(lang, "\n".join(texts)[:chars]) for lang, texts in found.items()]
 
 
-def predict(docs: DataFrame, refs: list[tuple[str, str]], columns: list[str]) -> DataFrame:
-    """columns, lang_pred, score from docs (columns and text)."""
+def predict(docs: DataFrame, refs: list[tuple[str, str]], columns: list[str], text: str = "text") -> DataFrame:
+    """columns, lang_pred, score from docs (columns and text, which may be one of them)."""
+    at = columns.index(text) if text in columns else len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(refs)
         for b in batches:
-            out = p.judge(b.column(b.num_columns - 1).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], [*b.schema.names[:-1], "lang_pred", "score"])
+            out = p.judge(b.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], [*b.schema.names[: len(columns)], "lang_pred", "score"])
 
-    kept = docs.select(*columns, F.col("text").alias("_text_to_judge"))
+    bounded_batches(docs.sparkSession)
+    kept = docs.select(*columns, *([] if at < len(columns) else [F.col(text).alias("_text_to_judge")]))
     schema = kept.select(*columns).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
     return kept.mapInArrow(run, schema)
 

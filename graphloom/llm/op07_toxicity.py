@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, materialize, remainder, table
+from graphloom.llm.common import as_bytes, bounded_batches, materialize, remainder, table, worker_cache
 
 PER_CLASS = 4000
 CALIBRATE = 4
@@ -192,29 +192,32 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     return shared, [float(v) for v in w]
 
 
-def features(docs: DataFrame, shared, columns: list[str]) -> DataFrame:  # noqa: ANN001
-    """columns, _mean, _top from docs (columns and text); shared: the broadcast model."""
+def features(docs: DataFrame, shared, columns: list[str], text: str = "text") -> DataFrame:  # noqa: ANN001
+    """columns, _mean, _top from docs (columns and text, which may be one of them); shared: the broadcast model."""
+    at = columns.index(text) if text in columns else len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
+        worker_cache("toxicity", 0, lambda: None)  # drops what other operators left
         for b in batches:
-            texts = as_bytes(b.column(b.num_columns - 1))
+            texts = as_bytes(b.column(at))
             f = np.concatenate([model.features(texts[k : k + 500]) for k in range(0, len(texts), 500)]) if texts else np.zeros((0, 2))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(f[:, 0]), pa.array(f[:, 1])], [*b.schema.names[:-1], "_mean", "_top"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(f[:, 0]), pa.array(f[:, 1])], [*b.schema.names[: len(columns)], "_mean", "_top"])
 
-    kept = docs.select(*columns, F.col("text").alias("_text_to_score"))
+    bounded_batches(docs.sparkSession)
+    kept = docs.select(*columns, *([] if at < len(columns) else [F.col(text).alias("_text_to_score")]))
     schema = kept.select(*columns).withColumns({"_mean": F.lit(0.0), "_top": F.lit(0.0)}).schema
     return kept.mapInArrow(run, schema)
 
 
-def score(docs: DataFrame, fitted: tuple, columns: list[str]) -> DataFrame:
+def score(docs: DataFrame, fitted: tuple, columns: list[str], text: str = "text") -> DataFrame:
     """columns, score, predicted; columns may hold text itself."""
     shared, w = fitted
     if shared is None:
         out = docs.select(*columns).withColumn("score", F.lit(w[0]))
     else:
         z = w[0] + w[1] * F.col("_mean") + w[2] * F.col("_top")
-        out = features(docs, shared, columns).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))).drop("_mean", "_top")
+        out = features(docs, shared, columns, text).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))).drop("_mean", "_top")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

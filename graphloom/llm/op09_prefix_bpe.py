@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import table, tokenizer_file
+from graphloom.llm.common import bounded_batches, table, tokenizer_file, worker_cache
 from graphloom.llm.pieces import TextEncoder
 
 MOST_PAIRS = 500_000
@@ -141,24 +141,23 @@ class PrefixBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_coders: dict[tuple[str, str], tuple[PrefixBpe, TextEncoder]] = {}
-
-
 def coder(path: str, pattern: str) -> tuple[PrefixBpe, TextEncoder]:
     """The model and text encoder of a rank file, one a worker process."""
-    if (path, pattern) not in _coders:
-        bpe, cut = PrefixBpe(read_ranks(path)), regex.compile(pattern).findall
+    return worker_cache("prefix-bpe", (path, pattern), lambda: _make_coder(path, pattern))
+
+
+def _make_coder(path: str, pattern: str) -> tuple[PrefixBpe, TextEncoder]:
+    bpe, cut = PrefixBpe(read_ranks(path)), regex.compile(pattern).findall
 
-        def unit(text: str) -> bytes:
-            core = text.rstrip(".,;:!?")
-            if len(core) < len(text) and (core[1:] if core[:1] == " " else core).isalpha():  # letters, then marks: two pieces
-                return (own.spaced[core[1:]] if core[0] == " " else own.bare[core]) + own.bare[text[len(core) :]]
-            ids = [i for piece in cut(text) for i in bpe.encode_piece(piece.encode())]
-            return struct.pack(f"<{len(ids)}I", *ids)
+    def unit(text: str) -> bytes:
+        core = text.rstrip(".,;:!?")
+        if len(core) < len(text) and (core[1:] if core[:1] == " " else core).isalpha():  # letters, then marks: two pieces
+            return (own.spaced[core[1:]] if core[0] == " " else own.bare[core]) + own.bare[text[len(core) :]]
+        ids = [i for piece in cut(text) for i in bpe.encode_piece(piece.encode())]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-        own = TextEncoder(unit)
-        _coders[path, pattern] = bpe, own
-    return _coders[path, pattern]
+    own = TextEncoder(unit)
+    return bpe, own
 
 
 def token_digests(df: DataFrame, ranks: str, pattern: str, columns: list[str] | None = None) -> DataFrame:
@@ -175,6 +174,7 @@ def token_digests(df: DataFrame, ranks: str, pattern: str, columns: list[str] |
                 text_sha.append(hashlib.sha256(bpe.decode(np.frombuffer(ids, "<u4").tolist())).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
+    bounded_batches(df.sparkSession)
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, materialize, table
+from graphloom.llm.common import as_bytes, bounded_batches, materialize, table, worker_cache
 from graphloom.llm.components import components
 
 REGISTERS = 128
@@ -41,7 +41,7 @@ LIMIT = 65535
 PERCENT = 80
 LEAST_ESTIMATE = 0.62  # five standard deviations of the estimate below 0.8
 BLOCK = 512
-CACHED = 500_000
+CACHED = 300_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -53,16 +53,21 @@ class WordHashes(dict):
         return h
 
 
-_hashes = WordHashes()
 _factors = np.random.default_rng(5).integers(1, 1 << 63, REGISTERS, np.uint64) << np.uint64(1) | np.uint64(1)
 
 
-def shingles(text: bytes | None) -> np.ndarray:
+def word_hashes() -> WordHashes:
+    """One a worker process."""
+    return worker_cache("shingles", 0, WordHashes)
+
+
+def shingles(text: bytes | None, hashes: WordHashes | None = None) -> np.ndarray:
     """Distinct 64-bit values of the two-word shingles, ascending."""
+    hashes = word_hashes() if hashes is None else hashes
     words = (text or b"").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
     first, second = (h[:-1], h[1:]) if len(h) > 1 else (h, np.zeros(1, np.uint64))
     x = first * _M1 + (second ^ (second >> np.uint64(29))) * _M2
     x = (x ^ (x >> np.uint64(31))) * _M3
@@ -108,10 +113,11 @@ def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n, fp (of the whole set; null if empty), reg."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
         for b in batches:
             n, fp, reg = [], [], []
             for text in as_bytes(b.column(1)):
-                s = shingles(text)
+                s = shingles(text, hashes)
                 n.append(len(s))
                 fp.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
                 reg.append(registers(s).tobytes() if len(s) else None)
@@ -124,8 +130,9 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     """id, full (64-bit values), short (their distinct low 32 bits) of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = word_hashes()
         for b in batches:
-            full = [shingles(t) for t in as_bytes(b.column(1))]
+            full = [shingles(t, hashes) for t in as_bytes(b.column(1))]
             short = [np.unique(s.astype(np.uint32)).tobytes() for s in full]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in full], pa.binary()), pa.array(short, pa.binary())], ["id", "full", "short"])
 
@@ -229,6 +236,7 @@ def rest_links(members: DataFrame, comp: DataFrame, sets: DataFrame, block: int
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for docs (doc_id, text)."""
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     all_rows = materialize(sketches(docs), "dup-sketches")
     reps = materialize(all_rows.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("reg").alias("reg")), "dup-reps")
