@@ -13,16 +13,24 @@ from graphloom.llm import op06_language, op07_toxicity, op08_mixing, op09_prefix
 from graphloom.llm.common import materialize, table, tokenizer_file
 
 
+def _guarded(docs: DataFrame) -> tuple[DataFrame, list[str], str]:
+    """docs under names that no operator uses, the names, and that of the text."""
+    names = [f"_in{k}" for k in range(len(docs.columns))]
+    return docs.toDF(*names), names, names[docs.columns.index("text")]
+
+
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents predicted toxic; learns from the labelled ones among those it is given."""
     fitted = op07_toxicity.learn(docs, table(spark, sf_dir, "labels"))
-    return op07_toxicity.score(docs, fitted, docs.columns).where("predicted = 0").select(*docs.columns)
+    guarded, names, text = _guarded(docs)
+    return op07_toxicity.score(guarded, fitted, names, text).where("predicted = 0").select(*names).toDF(*docs.columns)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents without a language: null or letterless texts. Clean text in any learned language stays."""
-    judged = op06_language.predict(docs, op06_language.learn(docs), docs.columns)
-    return judged.where(F.col("lang_pred") != op06_language.UND).select(*docs.columns)
+    guarded, names, text = _guarded(docs)
+    judged = op06_language.predict(guarded, op06_language.learn(docs), names, text)
+    return judged.where(F.col("lang_pred") != op06_language.UND).select(*names).toDF(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,11 +42,12 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and leaves out documents so that sources meet their target weights."""
-    sized = docs.withColumn("_size", op08_mixing.size_of(F.col("text")))
-    sizes = materialize(sized.select("doc_id", "source", F.col("_size").alias("size")), "mix-sizes")
-    plan = op08_mixing.plan_of(sizes)
-    mixed = op08_mixing.copies(sized.withColumnRenamed("_size", "size"), plan).where("copies > 0")
-    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*docs.columns)
+    names = [f"_in{k}" for k in range(len(docs.columns))]
+    own = [F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)]
+    sized = docs.select(*own, "doc_id", "source", op08_mixing.size_of(F.col("text")).alias("size"))
+    plan = op08_mixing.plan_of(materialize(sized.select("doc_id", "source", "size"), "mix-sizes"))
+    mixed = op08_mixing.copies(sized, plan).where("copies > 0")
+    return mixed.select(*names, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*names).toDF(*docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

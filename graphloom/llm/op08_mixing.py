@@ -1,7 +1,7 @@
 """Mixing sources to target weights [native]: certain whole copies, then Pareto order sampling of fixed size in words.
 
-A document's expected copies are its source's target over its size (times an own weight, if a weight column is
-given). Whole copies are certain; the rest is an inclusion probability p. Documents are ranked by their random odds
+A document's expected copies are its source's target over its source's size (shared out by an own weight, if a weight
+column is given). Whole copies are certain; the rest is an inclusion probability p. Documents are ranked by their random odds
 u/(1-u) over their inclusion odds p/(1-p), and taken in that order until the source's remaining words are met; a second
 pass in the same order fills what the first too long document left open. Both passes end in a cut-off per source, so the
 decision is a row-wise comparison and no text is ever shuffled.
@@ -61,7 +61,7 @@ def _with_rank(df: DataFrame, plan: DataFrame, seed: int, weight: str | None) ->
     plan = plan.withColumnRenamed("source", "_source")
     out = df.join(plan, df["source"].eqNullSafe(plan["_source"])).drop("_source")
     own = F.lit(1.0) if weight is None else F.col(weight).cast("double")
-    copies = F.when(F.col("source_size") > 0, F.least(F.lit(float(MOST)), own * F.col("target") / F.col("source_size"))).otherwise(0.0)
+    copies = F.when(F.col("_weighted") > 0, F.least(F.lit(float(MOST)), own * F.col("target") / F.col("_weighted"))).otherwise(0.0)
     out = out.withColumn("_copies", copies).withColumn("_whole", F.floor("_copies").cast("long"))
     p, u = F.col("_copies") - F.col("_whole"), uniform(F.col("doc_id"), seed)
     return out.withColumn("_q", F.when(p > 0, (u / (1 - u)) / (p / (1 - p)))).withColumn("_id", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
@@ -88,8 +88,11 @@ def _after(cut: str) -> Column:
 
 
 def plan_of(docs: DataFrame, seed: int = SEED, weight: str | None = None, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, most: int = MOST) -> DataFrame:
-    """source, source_size, target, cut1, left1, cut2 from docs (doc_id, source, size, any weight): a row a source."""
-    plan = materialize(targets(docs, weights, share, most), "mix-targets")
+    """source, source_size, target, _weighted, cut1, left1, cut2 from docs (doc_id, source, size, any weight): a row a source."""
+    plan = targets(docs, weights, share, most)
+    own = F.lit(1) if weight is None else F.col(weight)
+    mass = docs.groupBy(F.col("source").alias("_source")).agg(F.sum(own * F.col("size")).cast("double").alias("_weighted"))
+    plan = materialize(plan.join(mass, plan["source"].eqNullSafe(mass["_source"])).drop("_source"), "mix-targets")
     ranked = _with_rank(docs, plan, seed, weight)
     sure = ranked.groupBy("source").agg(F.sum(F.col("_whole") * F.col("size")).alias("_sure"))
     sure = materialize(sure, "mix-sure").withColumnRenamed("source", "_source")
@@ -106,7 +109,7 @@ def copies(docs: DataFrame, plan: DataFrame, seed: int = SEED, weight: str | Non
     """docs (with doc_id, source, size) plus the plan's columns and `copies`, row by row."""
     out = _with_rank(docs, plan, seed, weight)
     one = F.col("_q").isNotNull() & (~_after("cut1") | ((F.col("size") <= F.col("left1")) & F.col("cut2").isNotNull() & (F.struct("_q", "_id") <= F.col("cut2"))))
-    return out.withColumn("copies", F.col("_whole") + F.when(F.coalesce(one, F.lit(False)), 1).otherwise(0)).drop("_q", "_id", "_whole", "_copies", "cut1", "cut2", "left1")
+    return out.withColumn("copies", F.col("_whole") + F.when(F.coalesce(one, F.lit(False)), 1).otherwise(0)).drop("_q", "_id", "_whole", "_copies", "cut1", "cut2", "left1", "_weighted")
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
