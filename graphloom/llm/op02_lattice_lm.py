@@ -10,8 +10,8 @@ Pieces carry the word start, so M sums to 1 over all words, P over words and the
 vocabulary's own scores (those of a BPE vocabulary are ranks; a rank r weighs 1/r) and take `ROUNDS` rounds of
 expectation over every distinct training word. The vocabulary itself is not changed.
 
-Scale: counts are summed in the workers before they are shuffled. The `FREQUENT` most frequent words (a fixed number) go to
-all workers and cover most tokens where the text is read; the other words of a batch of documents travel packed, by
+Scale: counts are summed in the workers before they are shuffled. Words that are at least one in `FREQUENT` tokens (so
+there are no more than that, whatever the corpus) go to all workers and cover most tokens where the text is read; the other words of a batch of documents travel packed, by
 bucket of the word, to where the bucket's counts are, and come back as one sum a document and bucket. No other
 table is broadcast; frequent words never meet in one task.
 
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm.common import as_bytes, bounded_batches, materialize, remainder, table, tokenizer_file, worker_cache
 
-FREQUENT = 50_000
+FREQUENT = 500_000
 ROUNDS = 1
 PRIOR = 1000.0
 WORDS_PER_BUCKET = 200_000
@@ -189,7 +189,7 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> DataFrame:
         return base, rest / LN10
 
     buckets = max(8, -(-kinds // WORDS_PER_BUCKET))
-    common = words.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()  # a fixed number of rows
+    common = words.where(F.col("c") * FREQUENT >= total).toArrow()  # shares of 1 / FREQUENT at least: so many rows at most
     own = Lattice(pieces, weights)
     frequent = {w: (*word_scores(own, w, c), 1) for w, c in zip(map(bytes, common["word"].to_pylist()), common["c"].to_pylist(), strict=True)}
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
