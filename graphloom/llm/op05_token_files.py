@@ -34,6 +34,7 @@ from graphloom.llm.pieces import TextEncoder
 
 END_ID = 0
 ROWS_PER_FILE = 8192
+MOST_FILES = 20_000
 LEVEL = 3
 
 # Of the seekable format: fixed values.
@@ -173,7 +174,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     bounded_batches(docs.sparkSession)
     path = re.sub(r"^file:/(?!/)", "file:///", path)
     n = docs.count()
-    shards = max(1, -(-n // rows_per_file))
+    shards = max(1, min(MOST_FILES, -(-n // rows_per_file)))
     bounds = docs.select(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else None
     bounds = sorted(set(bounds or []))
     # The number of bounds that the id reaches, by bisection.
