@@ -52,6 +52,11 @@ def remainder(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(modulus))
 
 
+def hash_limit(wanted: int, rows: int) -> int:
+    """The 64-bit hash up to which about `wanted` of so many rows lie; all of them, if there are no more than that."""
+    return 2**63 - 1 if rows <= wanted else -(2**63) + int(2**64 * wanted / rows)
+
+
 def py_remainder(doc_id: int | None, modulus: int) -> int:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % modulus
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bounded_batches, remainder, table, worker_cache
+from graphloom.llm.common import bounded_batches, hash_limit, remainder, table, worker_cache
 
 DOCS = 64
 DOC_CHARS = 4000
@@ -156,7 +156,14 @@ def parser(references: list[tuple[str, str]]) -> Parser:
 
 def references(docs: DataFrame, docs_per_lang: int = DOCS, doc_chars: int = DOC_CHARS, chars: int = CHARS) -> list[tuple[str, str]]:
     """(language, text) pairs, by language, from docs (doc_id, text, lang); at most `chars` characters each."""
-    known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("lang", F.xxhash64("doc_id").alias("_h"), F.substring("text", 1, doc_chars).alias("_t"))
+    known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
+    counts = dict(known.groupBy("lang").count().collect())  # a row a language
+    if not counts:
+        return []
+    # Only ids whose hash is small enough to be among the first take part in the ranking, so it is as small as the sample.
+    known = known.select("lang", F.xxhash64("doc_id").alias("_h"), F.substring("text", 1, doc_chars).alias("_t"))
+    limit = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, hash_limit(8 * docs_per_lang, n))))
+    known = known.where(F.col("_h") <= F.try_element_at(limit, F.col("lang")))
     first = known.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_t"))).where(F.col("_k") <= docs_per_lang)
     found: dict[str, list[str]] = {}
     for r in sorted(first.select("lang", "_k", "_t").collect(), key=lambda r: (r["lang"], r["_k"])):

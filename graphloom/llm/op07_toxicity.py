@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, bounded_batches, materialize, remainder, table, worker_cache
+from graphloom.llm.common import as_bytes, bounded_batches, hash_limit, materialize, remainder, table, worker_cache
 
 PER_CLASS = 4000
 CALIBRATE = 4
@@ -42,7 +42,11 @@ def words_of(text: bytes | None) -> list[bytes]:
 def sample_ids(labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     """doc_id, toxic, part of at most per_class documents a class; part 0 is for calibration."""
     one = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id")
+    counts = dict(one.groupBy("toxic").count().collect())  # two rows
+    # Only ids whose hash is small enough to be among the first are ranked, so the ranking is as small as the sample.
+    one = one.withColumn("_h", F.xxhash64("doc_id", F.lit(7)))
+    one = one.where(F.col("_h") <= F.when(F.col("toxic") == 1, hash_limit(2 * per_class, counts.get(1, 0))).otherwise(hash_limit(2 * per_class, counts.get(0, 0))))
+    order = Window.partitionBy("toxic").orderBy("_h", "doc_id")
     return one.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_class).select("doc_id", "toxic", F.pmod("_k", F.lit(CALIBRATE)).alias("part"))
 
 
