@@ -45,7 +45,7 @@ def block_order(rows: DataFrame, pos: str, block: int, seed: int = 0) -> DataFra
 
 def mixup(rows: DataFrame, key: str, columns: list[str], share: float, seed: int = 0, groups: int = 64) -> DataFrame:
     """share * row + (1 - share) * partner: partners are the next rows in hash order, within groups of the key's hash."""
-    g = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(groups))
+    g = F.floor(uniform(seed + 1, F.col(key)) * groups)
     w = Window.partitionBy("_g").orderBy(uniform(seed, F.col(key)), key)
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     out = rows.withColumn("_g", g)

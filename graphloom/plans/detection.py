@@ -103,14 +103,17 @@ def e7_best_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.best_thresholds(points, npos).select("cls", F.round("threshold", 6).alias("threshold"))
 
 
-@query()
+POINTS_101 = "SELECT cls, {t} AS threshold, round(sum(p) / 101, 9) AS ap FROM (SELECT cls, k, coalesce(max(CASE WHEN recall >= k / 100.0::DOUBLE THEN prec END), 0) AS p FROM pts, range(101) r(k) GROUP BY cls, k) GROUP BY cls"
+
+
+@query(" UNION ALL ".join(f"(SELECT cls, CAST(threshold AS BIGINT) AS threshold, ap FROM ({MATCHED.replace('iou > 0.5', f'iou > {t / 100}')} {POINTS_101.format(t=t)}))" for t in (50, 75, 95)))
 def e10_precision_over_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Our own version with 101 points; not a reimplementation of any tool."""
     d, g = _inputs(spark, sf_dir)
     npos, out = evaluate.positives(g), None
     pairs = evaluate.pairs_2d(d, g)
     for k in (50, 75, 95):
-        one = evaluate.average_precision(evaluate.curve(evaluate.match(pairs, k / 100), npos), "101point").withColumn("threshold", F.lit(k))
+        one = evaluate.average_precision(evaluate.curve(evaluate.match(pairs, k / 100), npos), "101point").select("cls", F.lit(k).cast("long").alias("threshold"), F.round("ap", 9).alias("ap"))
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -162,12 +165,28 @@ o AS (SELECT a.cls, a.item, a.id AS i, b.id AS j, greatest(least(a.x2, b.x2) - g
 e AS (SELECT i, j FROM o WHERE inter / (lens - inter) >= 0.4)"""
 
 
-@query()
+def _greedy(source: str, keys: str, threshold: float, strict: bool, rounds: int = 10) -> str:
+    """CTEs after `source` (keys, id, score, x1, x2): greedy suppression as rounds over overlap edges; `kept` has the ids."""
+    on = " AND ".join(f"a.{k} = b.{k}" for k in keys.split(", "))
+    sign = ">" if strict else ">="
+    out = f""", ov AS (SELECT a.id AS i, b.id AS j, greatest(least(a.x2, b.x2) - greatest(a.x1, b.x1) + 1, 0) AS inter, a.x2 - a.x1 + b.x2 - b.x1 + 2 AS lens FROM {source} a JOIN {source} b ON {on} WHERE a.score > b.score OR (a.score = b.score AND a.id < b.id)),
+e0 AS MATERIALIZED (SELECT i, j FROM ov WHERE inter / (lens - inter) {sign} {threshold})"""
+    for k in range(rounds):
+        out += f""", f{k} AS MATERIALIZED (SELECT DISTINCT i FROM e{k} WHERE i NOT IN (SELECT j FROM e{k})), g{k} AS MATERIALIZED (SELECT DISTINCT j FROM e{k} WHERE i IN (SELECT i FROM f{k})),
+e{k + 1} AS MATERIALIZED (SELECT i, j FROM e{k} WHERE j NOT IN (SELECT j FROM g{k}) AND i NOT IN (SELECT j FROM g{k}) AND i NOT IN (SELECT i FROM f{k}))"""
+    gone = " UNION ALL ".join(f"SELECT j FROM g{k}" for k in range(rounds))
+    return f"{out}, kept AS (SELECT * FROM {source} WHERE id NOT IN ({gone}))"
+
+
+DENSE = f"{SEG}, d AS (SELECT cls, item % 50 AS item, id, score, x1 - 4 * (x2 - x1) AS x1, x2 FROM det)"
+
+
+@query(f"{DENSE}{_greedy('d', 'cls, item', 0.4, False)} SELECT cls, item, id, score, x1, x2 FROM kept")
 def n1_nms_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.nms(_crowded(spark, sf_dir), ["cls", "item"], 0.4)
 
 
-@query()
+@query(f"{DENSE}{_greedy('d', 'cls, item', 0.4, True)} SELECT cls, item, id, score, x1, x2 FROM kept")
 def n1_n2_nms_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.nms_fixpoint(_crowded(spark, sf_dir), ["cls", "item"], 0.4, inclusive=False, bucket=4096.0)
 
@@ -183,15 +202,19 @@ def n1_first_round_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.join(e.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
 
 
-@query()
+@query(f"""{SEG}, len AS (SELECT item, max(e) AS length FROM seg GROUP BY item), q AS (SELECT det.item, id, score, length, (id % 9 - 4) / 8.0 * (x2 - x1 + 1) + x1 + (x2 - x1 + 1) * 0.5 AS c, exp((id % 5 - 2) / 4.0) * (x2 - x1 + 1) AS l FROM det JOIN len USING (item)),
+c AS (SELECT item, id, score, least(greatest(c - l * 0.5, 0), length - 1) AS x1, least(greatest(c + l * 0.5, 0), length - 1) AS x2 FROM q), s AS (SELECT item, id, x1, x2, CASE WHEN x2 - x1 + 1 < 8 THEN 0.0 ELSE score END AS score FROM c),
+d AS MATERIALIZED (SELECT item, id, x1, x2, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, id) AS k FROM s) WHERE k <= 60){_greedy('d', 'item', 0.8, False)}
+SELECT item, id, round(x1, 6) AS x1, round(x2, 6) AS x2, score FROM (SELECT *, row_number() OVER (PARTITION BY item ORDER BY score DESC, id) AS k FROM kept) WHERE k <= 20""")
 def n4_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
     rows = detections(seg).join(seg.groupBy("item").agg(F.max("e").alias("length")), "item")
     rows = rows.select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"), ((F.pmod("id", F.lit(9)) - 4) / 8.0).alias("dx"), ((F.pmod("id", F.lit(5)) - 2) / 4.0).alias("dl"), "score", "length")
-    return detect.proposals(rows, least_length=8.0, before=60, after=20, threshold=0.8)
+    out = detect.proposals(rows, least_length=8.0, before=60, after=20, threshold=0.8)
+    return out.select("item", "id", F.round("x1", 6).alias("x1"), F.round("x2", 6).alias("x2"), "score")
 
 
-@query()
+@query(f"{DENSE}, h AS (SELECT * FROM d WHERE cls >= 1 AND score > 1.0){_greedy('h', 'cls, item', 0.4, False)} SELECT cls, item, id, score, x1, x2 FROM (SELECT *, rank() OVER (PARTITION BY item ORDER BY score DESC) AS k FROM kept) WHERE k <= 10")
 def n7_assembled_detections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.assemble(_crowded(spark, sf_dir), least=1.0, threshold=0.4, per_item=10)
 

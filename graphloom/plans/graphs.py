@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.functions.rand import uniform_sql
 from graphloom.functions.vector import EDGE_FEATURES
 from graphloom.operators import embed, joins, validate
 from graphloom.operators import graph as G
@@ -177,10 +178,15 @@ def c6_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.louvain(part_edges(spark, sf_dir).where("src <= 400 and dst <= 400"), max_passes=2, max_rounds=3)
 
 
-@query()
+STEP = """s{m} AS (SELECT start, CASE WHEN f IS NOT NULL AND len(f) > 0 THEN list_append(path, f[1 + CAST(floor(u * len(f)) AS BIGINT)]) ELSE path END AS path, CASE WHEN f IS NOT NULL AND len(f) > 0 THEN f[1 + CAST(floor(u * len(f)) AS BIGINT)] END AS cur
+FROM (SELECT start, path, CASE WHEN cur IS NULL THEN NULL ELSE list_filter(nbrs, lambda x: NOT list_contains(path, x)) END AS f, {u} AS u FROM s{n} LEFT JOIN adj ON adj.src = cur))"""
+
+
+@query(f"""{WITH}, adj AS (SELECT src, list_sort(list(DISTINCT dst)) AS nbrs FROM sym GROUP BY src), s0 AS (SELECT node AS start, [node] AS path, node AS cur FROM nodes),
+{', '.join(STEP.format(m=k, n=k - 1, u=uniform_sql(5, 'start', '0', str(k))) for k in range(1, 6))} SELECT start, array_to_string(path, '-') AS path FROM s5""")
 def c7_random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = G.symmetric(_graph(spark, sf_dir))
-    return G.random_walks(g, G.nodes(g), length=6, walks=1, seed=5)
+    return G.random_walks(g, G.nodes(g), length=6, walks=1, seed=5).select("start", F.concat_ws("-", F.col("path").cast("array<string>")).alias("path"))
 
 
 @query()

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import segment
+from graphloom.functions.rand import uniform_sql
 from graphloom.operators import cluster, detect, joins, validate, windows
 from graphloom.plans.base import DETECTIONS, ITEMS, SEGMENTS, detections, items, query, read, segments, truths
 from graphloom.sources.readers import class_dictionary
@@ -235,11 +236,19 @@ def n6_roi_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item", "id", F.round("best_iou", 9).alias("best_iou"), "gid", "kind")
 
 
-@query()
+LABELLED = f"""{WITH}, {DETECTIONS}, anchors AS (SELECT item, id, x1 AS a1, x2 AS a2 FROM det WHERE id % 4 = 0), tr AS (SELECT item, gid, g1, g2 FROM gt WHERE gid % 2 = 0),
+p AS (SELECT a.*, g1, g2, {IOU} AS iou FROM anchors a JOIN tr USING (item)), q AS (SELECT *, max(iou) OVER (PARTITION BY item, g1, g2) AS gmax FROM p),
+b AS (SELECT item, id, max(iou) AS best, max(CASE WHEN iou = gmax AND gmax > 0 THEN 1 ELSE 0 END) AS isb FROM q GROUP BY ALL),
+l AS (SELECT item, id, CASE WHEN best >= 0.7 OR isb = 1 THEN 1 WHEN best < 0.3 THEN 0 ELSE -1 END AS label FROM b)"""
+
+
+@query(f"""{LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY item, label ORDER BY {uniform_sql(0, 'item', 'id')}, id) AS k, least(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY item), 8) AS fg FROM l)
+SELECT item, id, CAST(CASE WHEN (label = 1 AND k > fg) OR (label = 0 AND k > 16 - fg) THEN -1 ELSE label END AS BIGINT) AS label FROM r""")
 def n5_subsampled_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
     a = detections(seg).where("id % 4 = 0").select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
-    return detect.subsample(detect.anchor_labels(a, truths(seg).where("gid % 2 = 0").select("item", "gid", "g1", "g2")), batch=16)
+    out = detect.subsample(detect.anchor_labels(a, truths(seg).where("gid % 2 = 0").select("item", "gid", "g1", "g2")), batch=16)
+    return out.select("item", "id", F.col("label").cast("long").alias("label"))
 
 
 @query()

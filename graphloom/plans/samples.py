@@ -137,9 +137,11 @@ def w14_block_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "block", "in_block", F.round("shuffle_key", 9).alias("shuffle_key"))
 
 
-@query()
+@query(f"""WITH {JUDGED}, g AS (SELECT doc_id, score, label, floor({uniform_sql(5, 'doc_id')} * 64) AS g, {uniform_sql(4, 'doc_id')} AS u FROM judged),
+p AS (SELECT *, coalesce(lead(doc_id) OVER w, first_value(doc_id) OVER w) AS partner FROM g WINDOW w AS (PARTITION BY g ORDER BY u, doc_id))
+SELECT p.doc_id, partner, round(0.3 * p.score + 0.7 * o.score, 9) AS score, round(0.3 * p.label + 0.7 * o.label, 9) AS label FROM p JOIN judged o ON o.doc_id = partner""")
 def p25_mixup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.mixup(judged(spark, sf_dir), "doc_id", ["score", "label"], 0.3, 4)
+    return sampling.mixup(judged(spark, sf_dir), "doc_id", ["score", "label"], 0.3, 4).select("doc_id", "partner", F.round("score", 9).alias("score"), F.round("label", 9).alias("label"))
 
 
 @query("SELECT c_custkey AS id, 'customer' AS kind FROM customer UNION ALL SELECT s_suppkey, 'supplier' FROM supplier")
