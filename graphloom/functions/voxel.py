@@ -61,3 +61,18 @@ def mirror(voxels: DataFrame, axis: str, size: int, symmetrize: bool = True) ->
     second = voxels.where(F.col(axis) >= size - size // 2)
     middle = voxels.where((F.col(axis) >= size // 2) & (F.col(axis) < size - size // 2))
     return reflect(second, axis, size).unionByName(second).unionByName(middle)
+
+
+def resample_nearest(voxels: DataFrame, size: tuple[int, int, int], new: tuple[int, int, int]) -> DataFrame:
+    """Volumes of another size, every target voxel from the nearest source voxel; splines aren't offered."""
+    out = voxels.select("id").distinct()
+    for axis, n, m in zip(AXES, size, new, strict=True):
+        out = out.withColumn(f"_{axis}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
+        out = out.withColumn(axis, F.least(F.floor((F.col(f"_{axis}") + 0.5) * n / m), F.lit(n - 1)).cast("long"))
+    out = out.join(voxels.select("id", *(F.col(a).cast("long").alias(a) for a in AXES), "val"), ["id", *AXES])
+    return out.select("id", *(F.col(f"_{a}").alias(a) for a in AXES), "val")
+
+
+def with_channel(shape: Column, at: int = 0) -> Column:
+    """A shape with a dimension of 1 put in; the values of a long volume don't change."""
+    return F.concat(F.slice(shape, 1, at), F.array(F.lit(1)), F.slice(shape, at + 1, F.size(shape)))

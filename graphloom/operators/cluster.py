@@ -79,8 +79,12 @@ def lloyd(points: DataFrame, centers: DataFrame, rounds: int = 300, tol: float =
     return assign(points, centers), centers, taken
 
 
-def seed_centers(points: DataFrame, k: int, seed: int) -> DataFrame:
-    """k points by hash order: a top-k, never a global sort."""
+def seed_centers(points: DataFrame, k: int, seed: int, init_size: int | None = None) -> DataFrame:
+    """k points by hash order: a top-k, never a global sort. init_size: from about so many points, by another hash."""
+    if init_size is not None:
+        n = points.count()
+        if n > init_size:
+            points = points.where(uniform(seed + 7919, F.col("id")) < max(init_size, 4 * k) / n)
     rows = points.orderBy(uniform(seed, F.col("id")), "id").limit(k).collect()
     return _frame(points, [r["v"] for r in rows])
 
@@ -178,7 +182,20 @@ def weighted_parameters(points: DataFrame, resp: DataFrame, eps: float = 1e-6) -
 class GaussianMixture:
     """Full-covariance EM. Sums run distributed; Cholesky factors of k small matrices on the driver."""
 
-    def __init__(self, n_components: int = 5, tol: float = 1e-4, eps: float = 1e-6, max_iter: int = 100, seed: int = 0):
+    def __init__(self, n_components: int = 5, tol: float = 1e-4, eps: float = 1e-6, max_iter: int = 100, seed: int = 0, weights_init: list | None = None, means_init: list | None = None, precisions_init: list | None = None):
+        given = [x is not None for x in (weights_init, means_init, precisions_init)]
+        if any(given) and not all(given):
+            raise ValueError("weights, means and precisions are given together")
+        self.start = None
+        if all(given):
+            w, m, p = (np.asarray(x, float) for x in (weights_init, means_init, precisions_init))
+            if w.shape != (n_components,) or (w < 0).any() or not np.isclose(w.sum(), 1):
+                raise ValueError("weights must be n_components shares that sum to 1")
+            if m.ndim != 2 or len(m) != n_components or p.shape != (n_components, m.shape[1], m.shape[1]):
+                raise ValueError("means must be (k, d) and precisions (k, d, d)")
+            if any(not np.allclose(x, x.T) or (np.linalg.eigvalsh(x) <= 0).any() for x in p):
+                raise ValueError("precisions must be symmetric and positive definite")
+            self.start = (w, m, np.linalg.inv(p))
         self.k, self.tol, self.eps, self.max_iter, self.seed = n_components, tol, eps, max_iter, seed
         self.params: tuple | None = None
 
@@ -195,8 +212,12 @@ class GaussianMixture:
         return points.join(F.broadcast(params)).withColumn("_d", d).select("id", "k", (F.col("const") - 0.5 * vector.total(F.transform("inv", lambda r: F.pow(vector.dot(r, F.col("_d")), 2)))).alias("lp"))
 
     def fit(self, points: DataFrame) -> GaussianMixture:
-        start = KMeans(self.k, "random", 1, 10, seed=self.seed).fit(points)
-        resp = start.predict(points).select("id", F.col("label").alias("k"), F.lit(1.0).alias("resp"))
+        if self.start is not None:
+            self.params = self.start
+            resp = responsibilities(self._logs(points))
+        else:
+            start = KMeans(self.k, "random", 1, 10, seed=self.seed).fit(points)
+            resp = start.predict(points).select("id", F.col("label").alias("k"), F.lit(1.0).alias("resp"))
         before = None
         for _ in range(self.max_iter):
             nk, mean, cov = weighted_parameters(points, resp, self.eps)

@@ -106,6 +106,12 @@ def subsample(labelled: DataFrame, batch: int, share: float = 0.5, seed: int = 0
     return rows.withColumn("label", F.when(drop, -1).otherwise(F.col("label"))).drop("_k", "_fg")
 
 
+def batch_summary(labelled: DataFrame, key: str = "item") -> DataFrame:
+    """key, fg, bg, ignored, weight: counts of labels, and 1 / (labels that count) as each one's weight."""
+    counts = labelled.groupBy(key).agg(*(F.sum((F.col("label") == v).cast("long")).alias(n) for n, v in (("fg", 1), ("bg", 0), ("ignored", -1))))
+    return counts.withColumn("weight", F.when(F.col("fg") + F.col("bg") > 0, 1.0 / (F.col("fg") + F.col("bg"))))
+
+
 def candidates(rois: DataFrame, truths: DataFrame, fg: float = 0.5, high: float = 0.5, low: float = 0.1, key: str = "item") -> DataFrame:
     """RoIs and the truths themselves with best_iou, best truth and kind: fg, bg (low <= IoU < high) or none."""
     own = truths.select(key, F.concat(F.lit("g"), F.col("gid").cast("string")).alias("id"), F.col("g1").cast("double").alias("a1"), F.col("g2").cast("double").alias("a2"))

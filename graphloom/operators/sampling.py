@@ -14,6 +14,12 @@ def stratified_folds(rows: DataFrame, strata: str, folds: int, key: str, seed: i
     return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(folds)))
 
 
+def split(rows: DataFrame, key: str, share: float = 0.75, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """About `share` of the rows and the rest, by hash."""
+    u = uniform(seed, F.col(key))
+    return rows.where(u < share), rows.where(u >= share)
+
+
 def balanced_batches(rows: DataFrame, label: str, sizes: dict[int, int], batches: int, key: str, seed: int = 0) -> DataFrame:
     """batch, slot, label, key: in each batch sizes[label] rows of each label, cycling through a label in fresh orders."""
     n = rows.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))

@@ -235,3 +235,34 @@ def test_roi_sampling_fills_batches(spark):
     c = spark.createDataFrame([(1, f"r{k}", 0.0, 1.0, 0.6 if k < 2 else 0.2, 0, "fg" if k < 2 else "bg") for k in range(9)] + [(2, "r9", 0.0, 1.0, 0.9, 0, "fg")], "item long, id string, a1 double, a2 double, best_iou double, gid long, kind string")
     out = detect.sample_rois(c, 8, 0.5).groupBy("item", "kind").count().collect()
     assert {(r["item"], r["kind"], r["count"]) for r in out} == {(1, "fg", 2), (1, "bg", 6), (2, "fg", 8)}
+
+
+def test_resample_and_channel(spark):
+    v = spark.range(4).selectExpr("0L as id", "id as z", "0L as y", "0L as x", "cast(id as double) as val")
+    assert [r["val"] for r in voxel.resample_nearest(v, (4, 1, 1), (8, 1, 1)).orderBy("z").collect()] == [0, 0, 1, 1, 2, 2, 3, 3]
+    assert [r["val"] for r in voxel.resample_nearest(v, (4, 1, 1), (2, 1, 1)).orderBy("z").collect()] == [1, 3]
+    assert first(spark, voxel.with_channel(F.array(F.lit(5), F.lit(6)))) == [1, 5, 6]
+
+
+def test_given_mixture_parameters_are_checked(spark):
+    eye = [[1.0, 0.0], [0.0, 1.0]]
+    for bad in ([0.5, 0.6], [1.5, -0.5], [1.0]):
+        with pytest.raises(ValueError, match="weights"):
+            cluster.GaussianMixture(2, weights_init=bad, means_init=[[0, 0], [1, 1]], precisions_init=[eye, eye])
+    with pytest.raises(ValueError, match="positive definite"):
+        cluster.GaussianMixture(2, weights_init=[0.5, 0.5], means_init=[[0, 0], [1, 1]], precisions_init=[eye, [[1.0, 2.0], [2.0, 1.0]]])
+    pts = spark.range(40).selectExpr("id", "array(cast(id % 2 * 9 + id % 5 as double), cast(id % 3 as double)) as v")
+    model = cluster.GaussianMixture(2, max_iter=1, weights_init=[0.5, 0.5], means_init=[[2, 1], [11, 1]], precisions_init=[eye, eye]).fit(pts)
+    assert {(r["id"] % 2, r["label"]) for r in model.predict(pts).collect()} == {(0, 0), (1, 1)}
+    with pytest.raises(ValueError, match="not fitted"):
+        cluster.GaussianMixture(2).predict(pts)
+    with pytest.raises(ValueError, match="fewer points"):
+        cluster.KMeans(50).fit(pts)
+
+
+def test_batch_summary_and_split(spark):
+    rows = spark.createDataFrame([(1, k, [1, 0, 0, -1][k]) for k in range(4)], "item long, id long, label int")
+    assert tuple(detect.batch_summary(rows).first()) == (1, 1, 2, 1, pytest.approx(1 / 3))
+    a, b = sampling.split(spark.range(4000), "id")
+    assert a.count() + b.count() == 4000 and 2850 < a.count() < 3150
+    assert cluster.seed_centers(spark.range(500).selectExpr("id", "array(cast(id as double)) as v"), 3, 1, init_size=50).count() == 3
