@@ -38,6 +38,7 @@ FREQUENT = 500_000
 ROUNDS = 1
 PRIOR = 1000.0
 WORDS_PER_BUCKET = 200_000
+TOKENS_PER_BUCKET = 2_000_000
 FLUSH = 300_000
 PACK_WORDS = 1_000_000
 LN10 = math.log(10)
@@ -188,8 +189,9 @@ def score(docs: DataFrame, vocabulary: str, rounds: int = ROUNDS) -> DataFrame:
             rest = max(own, rest) + math.log1p(math.exp(-abs(own - rest)))
         return base, rest / LN10
 
-    buckets = max(8, -(-kinds // WORDS_PER_BUCKET))
     common = words.where(F.col("c") * FREQUENT >= total).toArrow()  # shares of 1 / FREQUENT at least: so many rows at most
+    rest_tokens = total - sum(common["c"].to_pylist())
+    buckets = max(8, -(-kinds // WORDS_PER_BUCKET), -(-rest_tokens // TOKENS_PER_BUCKET))
     own = Lattice(pieces, weights)
     frequent = {w: (*word_scores(own, w, c), 1) for w, c in zip(map(bytes, common["word"].to_pylist()), common["c"].to_pylist(), strict=True)}
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
