@@ -118,11 +118,21 @@ def e10_precision_over_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame
     return out
 
 
-@query()
+def _one_to_one(rounds: int = 8) -> str:
+    """Greedy matching as rounds: edges that are the best of both their ends are taken, and what shares an end goes."""
+    out = ""
+    for k in range(rounds):
+        out += f""", t{k} AS MATERIALIZED (SELECT * FROM e{k} QUALIFY row_number() OVER (PARTITION BY item, id ORDER BY iou DESC, gid, id) = 1 AND row_number() OVER (PARTITION BY item, gid ORDER BY iou DESC, gid, id) = 1),
+e{k + 1} AS MATERIALIZED (SELECT * FROM e{k} e WHERE NOT EXISTS (SELECT 1 FROM t{k} t WHERE t.item = e.item AND (t.id = e.id OR t.gid = e.gid)))"""
+    return out + ", taken AS (" + " UNION ALL ".join(f"SELECT iou FROM t{k}" for k in range(rounds)) + ")"
+
+
+@query(f"""WITH {BOXES}, {BOX_TRUTHS}, pr AS (SELECT b.item, b.id, gid, {BOX_IOU} FROM box b JOIN bgt g ON b.item = g.item), e0 AS MATERIALIZED (SELECT item, id, gid, inter / (areas - inter) AS iou FROM pr WHERE inter > 0){_one_to_one()}
+SELECT round(0.5 + k * 0.05, 2)::DOUBLE AS threshold, round((SELECT count(*) FROM taken WHERE iou >= 0.5::DOUBLE + k * 0.05::DOUBLE) / (SELECT count(*) FROM bgt), 9) AS recall FROM range(10) r(k)""")
 def e8_proposal_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)
     g = box_truths(b).drop("cls")
-    return evaluate.recall(joins.iou_2d(b.drop("cls"), g, ["item"]), g)
+    return evaluate.recall(joins.iou_2d(b.drop("cls"), g, ["item"]), g).select("threshold", F.round("recall", 9).alias("recall"))
 
 
 SEG = f"WITH {SEGMENTS}, {DETECTIONS}"

@@ -189,10 +189,18 @@ def c7_random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.random_walks(g, G.nodes(g), length=6, walks=1, seed=5).select("start", F.concat_ws("-", F.col("path").cast("array<string>")).alias("path"))
 
 
-@query()
+HOP = """w{m} AS (SELECT start, CASE WHEN n IS NULL THEN path ELSE list_append(path, n) END AS path, CASE WHEN n IS NOT NULL THEN cur END AS prev, n AS cur FROM (
+SELECT start, any_value(path) AS path, any_value(w{n}.cur) AS cur, min(nxt) FILTER (WHERE c > {u} * 0.999999999) AS n FROM w{n} LEFT JOIN cum ON cum.prev = w{n}.prev AND cum.cur = w{n}.cur GROUP BY start))"""
+
+
+@query(f"""{SMALL}, adj AS (SELECT src, list_sort(list(dst)) AS nbrs FROM sym GROUP BY src),
+t AS (SELECT e1.src AS prev, e1.dst AS cur, e2.dst AS nxt, CASE WHEN e2.dst = e1.src THEN e2.w / 2.0 WHEN e3.src IS NOT NULL THEN e2.w ELSE e2.w / 4.0 END AS w FROM sym e1 JOIN sym e2 ON e2.src = e1.dst LEFT JOIN sym e3 ON e3.src = e1.src AND e3.dst = e2.dst),
+pr AS (SELECT prev, cur, nxt, w / sum(w) OVER (PARTITION BY prev, cur) AS p FROM t), cum AS MATERIALIZED (SELECT prev, cur, nxt, sum(p) OVER (PARTITION BY prev, cur ORDER BY nxt) AS c FROM pr),
+w1 AS (SELECT node AS start, [node, nbrs[1 + CAST(floor({uniform_sql(5, 'node', '0', '1')} * len(nbrs)) AS BIGINT)]] AS path, node AS prev, nbrs[1 + CAST(floor({uniform_sql(5, 'node', '0', '1')} * len(nbrs)) AS BIGINT)] AS cur FROM nodes JOIN adj ON adj.src = node),
+{', '.join(HOP.format(m=k, n=k - 1, u=uniform_sql(5, 'start', '0', str(k))) for k in range(2, 5))} SELECT start, array_to_string(path, '-') AS path FROM w4""")
 def c8_biased_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     g = _small(spark, sf_dir)
-    return G.biased_walks(g, G.nodes(g), length=5, walks=1, p=2.0, q=4.0, seed=5)
+    return G.biased_walks(g, G.nodes(g), length=5, walks=1, p=2.0, q=4.0, seed=5).select("start", F.concat_ws("-", F.col("path").cast("array<string>")).alias("path"))
 
 
 @query()

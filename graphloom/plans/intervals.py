@@ -251,11 +251,18 @@ def n5_subsampled_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("item", "id", F.col("label").cast("long").alias("label"))
 
 
-@query()
+@query(f"""{WITH}, {DETECTIONS}, tr AS (SELECT item, gid, g1, g2 FROM gt WHERE gid % 2 = 0), rois AS (SELECT item, 'r' || id AS id, x1 AS a1, x2 AS a2 FROM det WHERE id % 4 = 0 UNION ALL SELECT item, 'g' || gid, g1, g2 FROM tr),
+p AS (SELECT r.*, gid, {IOU} AS iou FROM rois r JOIN tr USING (item)), b AS (SELECT item, id, max(iou) AS best FROM p GROUP BY item, id),
+c AS (SELECT item, id, CASE WHEN best >= 0.5 THEN 'fg' WHEN best >= 0.1 THEN 'bg' ELSE 'none' END AS kind FROM b),
+k AS (SELECT *, row_number() OVER (PARTITION BY item, kind ORDER BY {uniform_sql(0, 'item', 'id')}, id) AS k FROM c WHERE kind <> 'none'),
+n AS (SELECT item, sum(CASE WHEN kind = 'fg' THEN 1 ELSE 0 END) AS nf, sum(CASE WHEN kind = 'bg' THEN 1 ELSE 0 END) AS nb FROM k GROUP BY item),
+s AS (SELECT item, nf, nb, unnest(range(1, 17)) AS slot FROM n), t AS (SELECT *, CASE WHEN nf = 0 THEN 'bg' WHEN nb = 0 THEN 'fg' WHEN slot <= least(nf, 4) THEN 'fg' ELSE 'bg' END AS kind FROM s),
+u AS (SELECT *, CASE WHEN kind = 'fg' AND nb > 0 THEN slot ELSE floor({uniform_sql(0, 'item', 'slot')} * CASE WHEN kind = 'fg' THEN nf ELSE nb END) + 1 END AS pick FROM t)
+SELECT u.item, CAST(slot AS BIGINT) AS slot, u.kind, id FROM u JOIN k ON k.item = u.item AND k.kind = u.kind AND k.k = u.pick""")
 def n6_sampled_rois(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
     rois = detections(seg).where("id % 4 = 0").select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
-    return detect.sample_rois(detect.candidates(rois, truths(seg).where("gid % 2 = 0").select("item", "gid", "g1", "g2")), batch=16)
+    return detect.sample_rois(detect.candidates(rois, truths(seg).where("gid % 2 = 0").select("item", "gid", "g1", "g2")), batch=16).select("item", F.col("slot").cast("long").alias("slot"), "kind", "id")
 
 
 @query(f"{WITH} SELECT CAST(count(*) AS BIGINT) AS bad FROM seg WHERE e <= s")
