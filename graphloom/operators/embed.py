@@ -14,6 +14,7 @@ from graphloom.functions import vector
 from graphloom.functions.rand import uniform
 from graphloom.operators import graph as G
 from graphloom.operators.joins import both_ends
+from graphloom.operators.prefix import running
 
 
 def tokens(docs: DataFrame, key: str, text: str, pattern: str = "[^a-z]+") -> DataFrame:
@@ -28,8 +29,9 @@ def counts(token_rows: DataFrame, least: int = 1) -> DataFrame:
 
 
 def vocabulary(token_counts: DataFrame) -> DataFrame:
-    """Adds idx, by count descending then token. The vocabulary is ranked, not the corpus."""
-    return token_counts.withColumn("idx", (F.row_number().over(Window.orderBy(F.desc("cnt"), "token")) - 1).cast("long"))
+    """Adds idx, by count descending then token: ranks inside buckets of one count and two first letters, after those before."""
+    rows = running(token_counts, [], {"_c": -F.col("cnt"), "_t": F.substring("token", 1, 2)}, [F.col("_c"), F.col("_t")], [F.col("token")], {"idx": F.lit(1).cast("long")})
+    return rows.select(*token_counts.columns, (F.col("idx") - 1).alias("idx"))
 
 
 def sampling(vocab: DataFrame, sample: float = 1e-3) -> DataFrame:
@@ -52,8 +54,9 @@ def kept(token_rows: DataFrame, probabilities: DataFrame, seed: int, key: str =
 def noise_table(vocab: DataFrame, exponent: float = 0.75, domain: int = 2**31 - 1) -> DataFrame:
     """Adds cum: the running share of cnt ** exponent in order of idx, scaled to domain and rounded half to even."""
     p = F.pow(F.col("cnt").cast("double"), F.lit(exponent))
-    w = Window.orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return vocab.withColumn("_p", p).withColumn("cum", F.bround(F.sum("_p").over(w) / F.sum("_p").over(Window.partitionBy()) * domain).cast("long")).drop("_p")
+    rows = running(vocab, [], {"_block": F.floor(F.col("idx") / 65_536)}, [F.col("_block")], [F.col("idx")], {"_cum": p})
+    total = vocab.agg(F.sum(p).alias("_total"))
+    return rows.join(F.broadcast(total)).select(*vocab.columns, F.bround(F.col("_cum") / F.col("_total") * domain).cast("long").alias("cum"))
 
 
 def huffman(vocab: DataFrame) -> list[tuple[str, str]]:

@@ -29,10 +29,10 @@ def both(items: DataFrame, window: int, step: int, length: str = "length") -> Da
 def budgeted(items: DataFrame, window: int, step: int, budget: int, key: str, length: str = "length") -> DataFrame:
     """The first budget // 2 windows in order of item, forward before backward: each window costs two, whether used or not.
 
-    The order is global, but only the number of windows of each item is: items are ranked by prefix sums of their
-    counts, and windows within their item.
+    Every item has a window, so only the first budget // 2 items can matter: a top-k. Those are ranked by running sums of
+    their counts, and windows within their item.
     """
-    counts = items.withColumn("_n", F.floor(F.greatest(F.lit(0), F.col(length) - window) / step) + 1 + F.when(F.col(length) >= window, F.floor((F.col(length) - window) / step) + 1).otherwise(0))
+    counts = items.orderBy(key).limit(max(budget // 2, 0)).withColumn("_n", F.floor(F.greatest(F.lit(0), F.col(length) - window) / step) + 1 + F.when(F.col(length) >= window, F.floor((F.col(length) - window) / step) + 1).otherwise(0))
     order = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0))).where(F.col("_before") < budget // 2)
     rows = both(counts.drop("_n"), window, step, length)
