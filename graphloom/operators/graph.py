@@ -17,11 +17,12 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def symmetric(graph: DataFrame) -> DataFrame:
     """Both directions of an undirected edge table; a loop comes once."""
-    return graph.select("src", "dst", "w").unionByName(graph.where("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w"))
+    ends = F.array(F.struct("src", "dst", "w"), F.when(F.col("src") != F.col("dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst"), "w")))
+    return graph.select(F.explode(F.array_compact(ends)).alias("e")).select("e.*")
 
 
 def nodes(edges: DataFrame) -> DataFrame:
-    return edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct()
+    return edges.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -31,7 +32,9 @@ def adjacency(edges: DataFrame) -> DataFrame:
 
 def degrees(graph: DataFrame) -> DataFrame:
     """node, degree (weighted, loops twice), loop."""
-    ends = graph.select(F.col("src").alias("node"), "w", F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0).alias("loop")).unionAll(graph.select("dst", "w", F.lit(0.0)))
+    own = F.when(F.col("src") == F.col("dst"), F.col("w")).otherwise(0.0)
+    both = F.array(F.struct(F.col("src").alias("node"), "w", own.alias("loop")), F.struct(F.col("dst").alias("node"), "w", F.lit(0.0).alias("loop")))
+    ends = graph.select(F.explode(both).alias("e")).select("e.*")
     return ends.groupBy("node").agg(F.sum("w").alias("degree"), F.sum("loop").alias("loop"))
 
 

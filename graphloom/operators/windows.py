@@ -21,9 +21,16 @@ def backward(items: DataFrame, window: int, step: int, length: str = "length") -
 
 
 def both(items: DataFrame, window: int, step: int, length: str = "length") -> DataFrame:
-    """Forward and backward windows with `direction`; windows that come both ways are kept twice."""
-    f = forward(items, window, step, length).withColumn("direction", F.lit("forward"))
-    return f.unionByName(backward(items, window, step, length).withColumn("direction", F.lit("backward")))
+    """Forward and backward windows with `direction`; windows that come both ways are kept twice. One pass over the items."""
+    n, w, s = F.col(length).cast("long"), F.lit(window).cast("long"), F.lit(step).cast("long")
+
+    def one(start: Column, end: Column, direction: str) -> Column:
+        return F.struct(start.alias("win_start"), end.alias("win_end"), F.lit(direction).alias("direction"))
+
+    ahead = F.transform(F.sequence(F.lit(0).cast("long"), F.greatest(F.lit(0).cast("long"), n - w), s), lambda a: one(a, F.least(a + w, n), "forward"))
+    back = F.transform(F.sequence(n, w, -s), lambda b: one(b - w, b, "backward"))
+    rows = items.withColumn("_w", F.explode(F.when(n >= w, F.concat(ahead, back)).otherwise(ahead)))
+    return rows.select(*items.columns, "_w.win_start", "_w.win_end", "_w.direction")
 
 
 def budgeted(items: DataFrame, window: int, step: int, budget: int, key: str, length: str = "length") -> DataFrame:
