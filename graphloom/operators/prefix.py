@@ -32,3 +32,11 @@ def by_range(rows: DataFrame, keys: list[str], column: str, n: int = 1024, desce
     share = F.when(F.col("_hi") > F.col("_lo"), (F.col(column) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
     b = F.floor(F.least(share, F.lit(1.0)) * n).cast("int")
     return rows, {"_bucket": -b if descending else b}
+
+
+def positions(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """rows with pos, from 1, in order of a numeric column."""
+    spread, bucket = by_range(rows, [], column, descending=descending)
+    order = F.desc(column) if descending else F.asc(column)
+    out = running(spread, [], bucket, [F.col("_bucket")], [order], {"pos": F.lit(1).cast("long")})
+    return out.select(*rows.columns, "pos")

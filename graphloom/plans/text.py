@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions.rand import uniform_sql
 from graphloom.operators import embed, windows
+from graphloom.operators.prefix import positions
 from graphloom.plans.base import TOKENS, query, read, sentences
 
 WITH = f"WITH {TOKENS}"
@@ -112,8 +113,7 @@ def j12_mapped_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT a.doc_id, b.doc_id AS other FROM (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS pos FROM labels) a JOIN (SELECT doc_id, row_number() OVER (ORDER BY doc_id DESC) AS pos FROM labels) b USING (pos)")
 def j13_positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "labels").select("doc_id")
-    a = rows.withColumn("pos", F.row_number().over(Window.orderBy("doc_id")))
-    b = rows.withColumn("pos", F.row_number().over(Window.orderBy(F.desc("doc_id")))).withColumnRenamed("doc_id", "other")
+    a, b = positions(rows, "doc_id"), positions(rows, "doc_id", descending=True).withColumnRenamed("doc_id", "other")
     return a.join(b, "pos").select("doc_id", "other")
 
 
