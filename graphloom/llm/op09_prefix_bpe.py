@@ -28,7 +28,8 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import bounded_batches, table, tokenizer_file, worker_cache
 from graphloom.llm.pieces import TextEncoder
 
-MOST_PAIRS = 500_000
+MOST_PAIRS = 300_000
+MOST_UNITS = 500_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -156,7 +157,7 @@ def _make_coder(path: str, pattern: str) -> tuple[PrefixBpe, TextEncoder]:
         ids = [i for piece in cut(text) for i in bpe.encode_piece(piece.encode())]
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    own = TextEncoder(unit)
+    own = TextEncoder(unit, MOST_UNITS)
     return bpe, own
 
 
