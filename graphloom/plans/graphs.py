@@ -9,7 +9,7 @@ from graphloom.functions.rand import uniform_sql
 from graphloom.functions.vector import EDGE_FEATURES
 from graphloom.operators import embed, joins, validate
 from graphloom.operators import graph as G
-from graphloom.plans.base import EDGES, GRAPH, POINTS, part_edges, partition, points, query
+from graphloom.plans.base import EDGES, GRAPH, POINTS, part_edges, partition, points, query, whole
 
 WITH = f"WITH {GRAPH}"
 DEG = "deg AS (SELECT node, sum(w) AS degree FROM (SELECT src AS node, w FROM graph UNION ALL SELECT dst, w FROM graph) GROUP BY node)"
@@ -122,14 +122,15 @@ def c5_pagerank_five_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 SMALL = WITH.replace("WHERE dst IS NOT NULL", "WHERE src <= 300 AND dst <= 300 AND dst IS NOT NULL")
 
 
-def _small(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.undirected(part_edges(spark, sf_dir).where("src <= 300 and dst <= 300"))
+def _small(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
+    edges = part_edges(spark, sf_dir)
+    return G.undirected(edges.where("src <= 300 and dst <= 300") if part else edges)
 
 
 @query(f"""{SMALL}, t AS (SELECT e1.src AS prev, e1.dst AS cur, e2.dst AS nxt, CASE WHEN e2.dst = e1.src THEN e2.w / 2.0 WHEN e3.src IS NOT NULL THEN e2.w ELSE e2.w / 4.0 END AS w FROM sym e1 JOIN sym e2 ON e2.src = e1.dst LEFT JOIN sym e3 ON e3.src = e1.src AND e3.dst = e2.dst)
 SELECT prev, cur, nxt, round(w / sum(w) OVER (PARTITION BY prev, cur), 9) AS prob FROM t""")
-def j9_c8_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.transitions(_small(spark, sf_dir), 2.0, 4.0).select("prev", "cur", "nxt", F.round("prob", 9).alias("prob"))
+def j9_c8_transitions(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
+    return G.transitions(_small(spark, sf_dir, part), 2.0, 4.0).select("prev", "cur", "nxt", F.round("prob", 9).alias("prob"))
 
 
 @query(f"{WITH} SELECT node FROM nodes UNION SELECT p_partkey FROM part WHERE p_partkey % 3 = 0")
@@ -175,7 +176,7 @@ def j6_missing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def c6_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.louvain(part_edges(spark, sf_dir).where("src <= 400 and dst <= 400"), max_passes=2, max_rounds=3)
+    return G.louvain(part_edges(spark, sf_dir), max_passes=2, max_rounds=3)
 
 
 STEP = """s{m} AS (SELECT start, CASE WHEN f IS NOT NULL AND len(f) > 0 THEN list_append(path, f[1 + CAST(floor(u * len(f)) AS BIGINT)]) ELSE path END AS path, CASE WHEN f IS NOT NULL AND len(f) > 0 THEN f[1 + CAST(floor(u * len(f)) AS BIGINT)] END AS cur
@@ -198,14 +199,17 @@ t AS (SELECT e1.src AS prev, e1.dst AS cur, e2.dst AS nxt, CASE WHEN e2.dst = e1
 pr AS (SELECT prev, cur, nxt, w / sum(w) OVER (PARTITION BY prev, cur) AS p FROM t), cum AS MATERIALIZED (SELECT prev, cur, nxt, sum(p) OVER (PARTITION BY prev, cur ORDER BY nxt) AS c FROM pr),
 w1 AS (SELECT node AS start, [node, nbrs[1 + CAST(floor({uniform_sql(5, 'node', '0', '1')} * len(nbrs)) AS BIGINT)]] AS path, node AS prev, nbrs[1 + CAST(floor({uniform_sql(5, 'node', '0', '1')} * len(nbrs)) AS BIGINT)] AS cur FROM nodes JOIN adj ON adj.src = node),
 {', '.join(HOP.format(m=k, n=k - 1, u=uniform_sql(5, 'start', '0', str(k))) for k in range(2, 5))} SELECT start, array_to_string(path, '-') AS path FROM w4""")
-def c8_biased_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = _small(spark, sf_dir)
+def c8_biased_walks(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
+    g = _small(spark, sf_dir, part)
     return G.biased_walks(g, G.nodes(g), length=5, walks=1, p=2.0, q=4.0, seed=5).select("start", F.concat_ws("-", F.col("path").cast("array<string>")).alias("path"))
 
 
+whole(j9_c8_transitions, c8_biased_walks)
+
+
 @query()
 def c9_deepwalk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embed.deepwalk(part_edges(spark, sf_dir).where("src <= 300 and dst <= 300"), size=8, length=5, walks=1)
+    return embed.deepwalk(part_edges(spark, sf_dir), size=8, length=5, walks=1)
 
 
 @query()
