@@ -13,6 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables he
 IDS = "src <= 300 AND dst <= 300 AND "
 #: The cuts of each query's SQL.
 CUTS = {"j9_c8_transitions": [IDS], "c8_biased_walks": [IDS]}
+CUTS |= {n: [" WHERE s_suppkey <= 20"] for n in "p17_window_clip p18_masked p19_cropped p20_padded_crop p21_rotated p22_reordered_reflected p23_mirrored c17_augmented e13_dice_loss".split()}
 
 
 @pytest.fixture(scope="module")
