@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import segment
 from graphloom.functions.rand import uniform_sql
 from graphloom.operators import cluster, detect, joins, validate, windows
-from graphloom.plans.base import DETECTIONS, ITEMS, SEGMENTS, detections, items, query, read, segments, truths
+from graphloom.plans.base import DETECTIONS, ITEMS, SEGMENTS, detections, items, query, read, segments, truths, whole
 from graphloom.sources.readers import class_dictionary
 from graphloom.streaming.windows import event_windows
 
@@ -123,10 +123,11 @@ def w12_mask_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.mask_cells(seg, seg, "item", 512, 64).select("item", F.col("cell").cast("long").alias("cell"), F.col("mask").cast("long").alias("mask"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _pairs(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
     seg = segments(spark, sf_dir)
     d = detections(seg).select("item", F.col("id").alias("aid"), F.col("x1").alias("a1"), F.col("x2").alias("a2"))
-    return d.join(seg.select("item", F.col("id").alias("gid"), F.col("s").alias("g1"), F.col("e").alias("g2")), "item").where(F.abs(F.col("aid") - F.col("gid")) <= 400)
+    rows = d.join(seg.select("item", F.col("id").alias("gid"), F.col("s").alias("g1"), F.col("e").alias("g2")), "item")
+    return rows.where(F.abs(F.col("aid") - F.col("gid")) <= 400) if part else rows
 
 
 PAIRS = f"{WITH}, {DETECTIONS}, pairs AS (SELECT det.item, det.id AS aid, x1 AS a1, x2 AS a2, seg.id AS gid, s AS g1, e AS g2 FROM det JOIN seg ON det.item = seg.item WHERE abs(det.id - seg.id) <= 400)"
@@ -134,17 +135,20 @@ IOU = "CASE WHEN a2 - a1 + 1 = 1 THEN -1.0 WHEN g2 - g1 + 1 = 1 THEN 0.0 ELSE gr
 
 
 @query(f"{PAIRS} SELECT item, aid, gid, round({IOU}, 9) AS iou FROM pairs")
-def j3_segment_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(spark, sf_dir).select("item", "aid", "gid", F.round(segment.iou(F.col("a1"), F.col("a2"), F.col("g1"), F.col("g2")), 9).alias("iou"))
+def j3_segment_iou(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
+    return _pairs(spark, sf_dir, part).select("item", "aid", "gid", F.round(segment.iou(F.col("a1"), F.col("a2"), F.col("g1"), F.col("g2")), 9).alias("iou"))
 
 
 ENCODED = "enc AS (SELECT *, ((g1 + (g2 - g1 + 1) * 0.5) - (a1 + (a2 - a1 + 1) * 0.5)) / (a2 - a1 + 1) AS dx, ln((g2 - g1 + 1) / (a2 - a1 + 1)) AS dl FROM pairs)"
 
 
 @query(f"{PAIRS}, {ENCODED} SELECT item, aid, gid, round(dx, 6) AS dx, round(dl, 6) AS dl, round((dx - 0.1) / 0.2, 6) AS ndx FROM enc")
-def p3_p6_segment_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
+def p3_p6_segment_encode(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
     dx, dl = segment.encode(*(F.col(c) for c in ("a1", "a2", "g1", "g2")))
-    return _pairs(spark, sf_dir).select("item", "aid", "gid", F.round(dx, 6).alias("dx"), F.round(dl, 6).alias("dl"), F.round(segment.normalize(dx, 0.1, 0.2), 6).alias("ndx"))
+    return _pairs(spark, sf_dir, part).select("item", "aid", "gid", F.round(dx, 6).alias("dx"), F.round(dl, 6).alias("dl"), F.round(segment.normalize(dx, 0.1, 0.2), 6).alias("ndx"))
+
+
+whole(j3_segment_iou, p3_p6_segment_encode)
 
 
 @query(f"""{WITH}, {DETECTIONS}, dec AS (SELECT det.*, length, (id % 9 - 4) / 8.0 * (x2 - x1 + 1) + x1 + (x2 - x1 + 1) * 0.5 AS c, exp((id % 5 - 2) / 4.0) * (x2 - x1 + 1) AS l FROM det JOIN items USING (item))

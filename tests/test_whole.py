@@ -2,6 +2,7 @@
 
 import os
 
+import numpy as np
 import pytest
 
 from graphloom.plans.base import part_edges
@@ -14,6 +15,7 @@ IDS = "src <= 300 AND dst <= 300 AND "
 #: The cuts of each query's SQL.
 CUTS = {"j9_c8_transitions": [IDS], "c8_biased_walks": [IDS]}
 CUTS |= {n: [" WHERE s_suppkey <= 20"] for n in "p17_window_clip p18_masked p19_cropped p20_padded_crop p21_rotated p22_reordered_reflected p23_mirrored c17_augmented e13_dice_loss".split()}
+CUTS |= {n: [" WHERE abs(det.id - seg.id) <= 400"] for n in ("j3_segment_iou", "p3_p6_segment_encode")}
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +40,12 @@ def test_whole_equals_sql_without_cut(spark, moved, name):
         sql = sql.replace(cut, "")
     got, want = QUERIES[f"{name}_whole"](spark, moved).toPandas(), connect(moved).sql(sql).df()
     assert sorted(got.columns) == sorted(want.columns)
-    assert len(want) and rows(got) == rows(want)
+    floats = [c for c in want.columns if want[c].dtype == float]
+    keys = [c for c in want.columns if c not in floats]
+    got, want = (d.sort_values(keys) for d in (got, want))
+    assert len(want) and rows(got[keys]) == rows(want[keys])
+    # The engines round halves at the last place differently.
+    np.testing.assert_allclose(got[floats].to_numpy(), want[floats].to_numpy(), atol=1.1e-6, rtol=1e-9)
 
 
 @pytest.mark.parametrize(("name", "node"), [("c6_louvain", "node"), ("c9_deepwalk", "id")])
