@@ -209,9 +209,9 @@ def r1_l12_sorted_segments_of_known(spark: SparkSession, sf_dir: str) -> DataFra
 
 
 @query("WITH ids AS (SELECT DISTINCT substr(p_name, 1, 8) AS id FROM part), names AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 2 = 0), h AS (SELECT id, count(*) AS n, min(name) AS name FROM ids JOIN names ON contains(name, id) GROUP BY id) SELECT id, name FROM h WHERE n = 1")
-def l13_single_substring_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+def l13_single_substring_match(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
     p = read(spark, sf_dir, "part")
-    return joins.contains_once(p.select(F.substring("p_name", 1, 8).alias("id")).distinct(), p.where("p_partkey % 2 = 0").select(F.col("p_name").alias("name")).distinct())
+    return joins.contains_once(p.select(F.substring("p_name", 1, 8).alias("id")).distinct(), p.where("p_partkey % 2 = 0" if part else "true").select(F.col("p_name").alias("name")).distinct())
 
 
 @query(f"{WITH} SELECT item, id, s, e FROM seg WHERE cls = 2 AND item % 2 = 0")
@@ -223,20 +223,20 @@ def l15_subset_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 p AS (SELECT a.*, g1, g2, {IOU} AS iou FROM anchors a JOIN tr USING (item)), q AS (SELECT *, max(iou) OVER (PARTITION BY item, g1, g2) AS gmax FROM p),
 b AS (SELECT item, id, a1, a2, max(iou) AS best, max(CASE WHEN iou = gmax AND gmax > 0 THEN 1 ELSE 0 END) AS isb FROM q GROUP BY ALL)
 SELECT item, id, round(best, 9) AS best_iou, CAST(CASE WHEN best >= 0.7 OR isb = 1 THEN 1 WHEN best < 0.3 THEN 0 ELSE -1 END AS BIGINT) AS label FROM b""")
-def n5_anchor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+def n5_anchor_labels(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
     seg = segments(spark, sf_dir)
-    a = detections(seg).where("id % 4 = 0").select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
-    out = detect.anchor_labels(a, truths(seg).where("gid % 2 = 0").select("item", "gid", "g1", "g2"))
+    a = detections(seg).where("id % 4 = 0" if part else "true").select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
+    out = detect.anchor_labels(a, truths(seg).where("gid % 2 = 0" if part else "true").select("item", "gid", "g1", "g2"))
     return out.select("item", "id", F.round("best_iou", 9).alias("best_iou"), F.col("label").cast("long").alias("label"))
 
 
 @query(f"""{WITH}, {DETECTIONS}, tr AS (SELECT item, gid, g1, g2 FROM gt WHERE gid % 2 = 0), rois AS (SELECT item, 'r' || id AS id, x1 AS a1, x2 AS a2 FROM det WHERE id % 4 = 0 UNION ALL SELECT item, 'g' || gid, g1, g2 FROM tr),
 p AS (SELECT r.*, gid, {IOU} AS iou FROM rois r JOIN tr USING (item)), b AS (SELECT item, id, max(iou) AS best, arg_max(gid, (iou, -gid)) AS gid FROM p GROUP BY item, id)
 SELECT item, id, round(best, 9) AS best_iou, gid, CASE WHEN best >= 0.5 THEN 'fg' WHEN best >= 0.1 THEN 'bg' ELSE 'none' END AS kind FROM b""")
-def n6_roi_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def n6_roi_candidates(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
     seg = segments(spark, sf_dir)
-    rois = detections(seg).where("id % 4 = 0").select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
-    out = detect.candidates(rois, truths(seg).where("gid % 2 = 0").select("item", "gid", "g1", "g2"))
+    rois = detections(seg).where("id % 4 = 0" if part else "true").select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
+    out = detect.candidates(rois, truths(seg).where("gid % 2 = 0" if part else "true").select("item", "gid", "g1", "g2"))
     return out.select("item", "id", F.round("best_iou", 9).alias("best_iou"), "gid", "kind")
 
 
@@ -248,10 +248,10 @@ l AS (SELECT item, id, CASE WHEN best >= 0.7 OR isb = 1 THEN 1 WHEN best < 0.3 T
 
 @query(f"""{LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY item, label ORDER BY {uniform_sql(0, 'item', 'id')}, id) AS k, least(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY item), 8) AS fg FROM l)
 SELECT item, id, CAST(CASE WHEN (label = 1 AND k > fg) OR (label = 0 AND k > 16 - fg) THEN -1 ELSE label END AS BIGINT) AS label FROM r""")
-def n5_subsampled_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def n5_subsampled_anchors(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
     seg = segments(spark, sf_dir)
-    a = detections(seg).where("id % 4 = 0").select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
-    out = detect.subsample(detect.anchor_labels(a, truths(seg).where("gid % 2 = 0").select("item", "gid", "g1", "g2")), batch=16)
+    a = detections(seg).where("id % 4 = 0" if part else "true").select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
+    out = detect.subsample(detect.anchor_labels(a, truths(seg).where("gid % 2 = 0" if part else "true").select("item", "gid", "g1", "g2")), batch=16)
     return out.select("item", "id", F.col("label").cast("long").alias("label"))
 
 
@@ -263,10 +263,13 @@ n AS (SELECT item, sum(CASE WHEN kind = 'fg' THEN 1 ELSE 0 END) AS nf, sum(CASE
 s AS (SELECT item, nf, nb, unnest(range(1, 17)) AS slot FROM n), t AS (SELECT *, CASE WHEN nf = 0 THEN 'bg' WHEN nb = 0 THEN 'fg' WHEN slot <= least(nf, 4) THEN 'fg' ELSE 'bg' END AS kind FROM s),
 u AS (SELECT *, CASE WHEN kind = 'fg' AND nb > 0 THEN slot ELSE floor({uniform_sql(0, 'item', 'slot')} * CASE WHEN kind = 'fg' THEN nf ELSE nb END) + 1 END AS pick FROM t)
 SELECT u.item, CAST(slot AS BIGINT) AS slot, u.kind, id FROM u JOIN k ON k.item = u.item AND k.kind = u.kind AND k.k = u.pick""")
-def n6_sampled_rois(spark: SparkSession, sf_dir: str) -> DataFrame:
+def n6_sampled_rois(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
     seg = segments(spark, sf_dir)
-    rois = detections(seg).where("id % 4 = 0").select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
-    return detect.sample_rois(detect.candidates(rois, truths(seg).where("gid % 2 = 0").select("item", "gid", "g1", "g2")), batch=16).select("item", F.col("slot").cast("long").alias("slot"), "kind", "id")
+    rois = detections(seg).where("id % 4 = 0" if part else "true").select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
+    return detect.sample_rois(detect.candidates(rois, truths(seg).where("gid % 2 = 0" if part else "true").select("item", "gid", "g1", "g2")), batch=16).select("item", F.col("slot").cast("long").alias("slot"), "kind", "id")
+
+
+whole(l13_single_substring_match, n5_anchor_labels, n6_roi_candidates, n5_subsampled_anchors, n6_sampled_rois)
 
 
 @query(f"{WITH} SELECT CAST(count(*) AS BIGINT) AS bad FROM seg WHERE e <= s")

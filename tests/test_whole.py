@@ -17,6 +17,8 @@ CUTS = {"j9_c8_transitions": [IDS], "c8_biased_walks": [IDS]}
 CUTS |= {n: [" WHERE s_suppkey <= 20"] for n in "p17_window_clip p18_masked p19_cropped p20_padded_crop p21_rotated p22_reordered_reflected p23_mirrored c17_augmented e13_dice_loss".split()}
 CUTS |= {n: [" WHERE abs(det.id - seg.id) <= 400"] for n in ("j3_segment_iou", "p3_p6_segment_encode")}
 CUTS |= {n: [" AND a.sentence % 4 = 0"] for n in ("w10_context_pairs", "w11_context_means")}
+CUTS |= {n: [" WHERE id % 4 = 0", " WHERE gid % 2 = 0"] for n in ("n5_anchor_labels", "n5_subsampled_anchors", "n6_roi_candidates", "n6_sampled_rois")}
+CUTS |= {"l13_single_substring_match": [" WHERE p_partkey % 2 = 0"]}
 
 
 @pytest.fixture(scope="module")
