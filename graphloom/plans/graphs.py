@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from graphloom.functions.rand import uniform_sql
+from graphloom.functions.rand import uniform, uniform_sql
 from graphloom.functions.vector import EDGE_FEATURES
 from graphloom.operators import embed, joins, validate
 from graphloom.operators import graph as G
+from graphloom.operators.prefix import positions
 from graphloom.plans.base import EDGES, GRAPH, POINTS, part_edges, partition, points, query, whole
 
 WITH = f"WITH {GRAPH}"
@@ -212,9 +213,18 @@ def c9_deepwalk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.deepwalk(part_edges(spark, sf_dir), size=8, length=5, walks=1)
 
 
+def random_pairs(v: DataFrame, seed: int) -> DataFrame:
+    """src, dst: each odd id with another id, drawn by hash from all."""
+    at = positions(v.select("id"), "id")
+    n = at.count()
+    away = F.floor(uniform(seed, F.col("id")) * (n - 1)) + 1
+    drawn = at.where("id % 2 = 1").select(F.col("id").alias("src"), (F.pmod(F.col("pos") - 1 + away, F.lit(n)) + 1).alias("pos"))
+    return drawn.join(at.withColumnRenamed("id", "dst"), "pos").select("src", "dst")
+
+
 @query()
 def c10_link_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = points(spark, sf_dir).select("id", "v")
     pos = v.where("id % 2 = 0").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
-    neg = v.where("id % 2 = 1").select(F.col("id").alias("src"), F.pmod(F.col("id") * 7, F.lit(499)).alias("dst"))
+    neg = random_pairs(v, 10)
     return embed.LinkPredictor((8,), max_iter=5).fit(pos, neg, v).predict(pos.unionByName(neg))

@@ -19,6 +19,7 @@ CUTS |= {n: [" WHERE abs(det.id - seg.id) <= 400"] for n in ("j3_segment_iou", "
 CUTS |= {n: [" AND a.sentence % 4 = 0"] for n in ("w10_context_pairs", "w11_context_means")}
 CUTS |= {n: [" WHERE id % 4 = 0", " WHERE gid % 2 = 0"] for n in ("n5_anchor_labels", "n5_subsampled_anchors", "n6_roi_candidates", "n6_sampled_rois")}
 CUTS |= {"l13_single_substring_match": [" WHERE p_partkey % 2 = 0"]}
+CUTS |= {"g6_c4_weighted_covariance": ["[1:4]"]}
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +57,21 @@ def test_every_node_of_the_graph_has_a_row(spark, moved, name, node):
     edges = part_edges(spark, moved).select("src", "dst").toPandas()
     got = QUERIES[name](spark, moved).select(node).distinct().toPandas()[node]
     assert len(edges) and set(got) == set(edges["src"]) | set(edges["dst"])
+
+
+def test_negatives_reach_all_ids(spark, tmp_path):
+    rows = [(1000 + k, [float(k % 3), 1.0, float(k % 5)], k % 2) for k in range(2000)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["c10_link_prediction"](spark, str(tmp_path)).where("src % 2 = 1").toPandas()
+    assert set(got["src"]) == {k for k in range(1000, 3000) if k % 2} and (got["src"] != got["dst"]).all()
+    assert got["dst"].min() < 1100 and got["dst"].max() > 2900 and got["dst"].nunique() > 600
+
+
+def test_mixture_uses_every_dimension(spark, tmp_path):
+    rnd = np.random.default_rng(0)
+    kind = np.arange(300) % 3
+    v = np.hstack([rnd.normal(size=(300, 4)), rnd.normal(size=(300, 2)) * 0.1 + np.array([[0, 0], [9, 0], [0, 9]])[kind]])
+    rows = [(k, [float(x) for x in v[k]], int(kind[k])) for k in range(300)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = QUERIES["c4_gaussian_mixture"](spark, str(tmp_path)).toPandas().set_index("id")["label"].loc[range(300)].to_numpy()
+    assert len(set(zip(kind, got, strict=True))) == 3
