@@ -4,12 +4,17 @@ A file follows zstandard's public seekable format: frames with content checksums
 the seek table (compressed size, size, low 32 bits of XXH64 for each frame); the one before it is our index: JSON
 meta and the documents' ids. A reader takes the footer, the table and only the frames it is asked for.
 
-Frames are compressed where the text is read, so the one shuffle, by range of doc_id, moves compressed ids. Range
-bounds come from doc_id alone (column pruned). A shard's file gets a fresh name for each attempt and only attempts that
-succeed are listed in the manifest, so a lost executor costs a retry and never a wrong file.
+Texts are dealt once, by range of (doc_id, hash of the text), so that an id which a third of all rows share is spread over
+many tasks; each task sorts its range, encodes, compresses and writes it. A file holds `ROWS_PER_FILE` documents and gets a
+fresh name for each attempt; only attempts that succeed are listed in the manifest, so a lost executor costs a retry and
+never a wrong file. Files are read back in as many tasks as there are files.
+
+The encoder is the library's with its defaults: a special token's string in a text is that token. Ids are stored in two
+bytes where vocabulary and end id fit, else in four; a width that is too narrow is refused.
 
 Defined results: null text counts as empty (its ids are the end id alone); null doc_ids come first; repeated doc_ids keep
-all their rows, in order of their bytes; an empty table gives no files and no rows.
+all their rows, in order of a hash of their texts; very long texts are one frame each; columns other than doc_id and text are
+not read, whatever their names; an empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +31,7 @@ import pyarrow as pa
 import pyarrow.fs
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +40,8 @@ from graphloom.llm.pieces import TextEncoder
 
 END_ID = 0
 ROWS_PER_FILE = 8192
-MOST_FILES = 20_000
+#: Most tasks of the one shuffle; beyond, a task writes several files of ROWS_PER_FILE documents.
+MOST_TASKS = 20_000
 LEVEL = 3
 
 # Of the seekable format: fixed values.
@@ -42,6 +49,7 @@ SKIPPABLE = 0x184D2A50
 SEEK_SKIPPABLE = 0x184D2A5E
 SEEK_MAGIC = 0x8F92EAB1
 
+
 def _byte_letters() -> dict[int, str]:
     """The letters that stand for bytes in byte-level vocabularies: printable bytes themselves, the others from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -49,34 +57,55 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
 
 
-def encoder(path: str) -> TextEncoder:
-    """The tokenizers library's encoder of a file, one a worker process.
+class LibraryEncoder:
+    """Text to ids (bytes) as the tokenizers library gives them, units cached.
 
     A unit that is one run of letters is one pre-token, so the library's model alone encodes it; sentence marks that
-    follow letters are a pre-token of their own. Every other unit takes the library's whole way.
+    follow letters are a pre-token of their own. Every other unit, and every text that holds the string of an added token,
+    takes the library's whole way.
     """
-    return worker_cache("token-files", path, lambda: _make_encoder(path))
 
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
 
-def _make_encoder(path: str) -> TextEncoder:
-    from tokenizers import Tokenizer
+        self.tokenizer, letters = Tokenizer.from_file(path), _byte_letters()
+        model, encode = self.tokenizer.model, self.whole
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+
+        def unit(text: str) -> bytes:
+            core = text.rstrip(".,;:!?")
+            if (core[1:] if core[:1] == " " else core).isalpha():
+                if len(core) < len(text):
+                    return (own.spaced[core[1:]] if core[0] == " " else own.bare[core]) + own.bare[text[len(core) :]]
+                ids = [x.id for x in model.tokenize(text.encode().decode("latin-1").translate(letters))]
+                return struct.pack(f"<{len(ids)}I", *ids)
+            return encode(text)
+
+        self.units = own = TextEncoder(unit)
 
-    t, letters = Tokenizer.from_file(path), _byte_letters()
-    t.encode_special_tokens = True
-    model = t.model
-
-    def unit(text: str) -> bytes:
-        core = text.rstrip(".,;:!?")
-        if (core[1:] if core[:1] == " " else core).isalpha():
-            if len(core) < len(text):
-                return (own.spaced[core[1:]] if core[0] == " " else own.bare[core]) + own.bare[text[len(core) :]]
-            ids = [x.id for x in model.tokenize(text.encode().decode("latin-1").translate(letters))]
-        else:
-            ids = t.encode(text, add_special_tokens=False).ids
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    own = TextEncoder(unit)
-    return own
+    def __call__(self, text: str) -> bytes:
+        if any(t in text for t in self.added):
+            return self.whole(text)
+        return self.units(text)
+
+
+def encoder(path: str) -> LibraryEncoder:
+    """One a worker process."""
+    return worker_cache("token-files", path, lambda: LibraryEncoder(path))
+
+
+def width_for(tokenizer: str, end_id: int, width: int | None = None) -> int:
+    """Bytes an id: 2 where every id of the vocabulary and the end id fit, else 4; a given width that is too narrow is refused."""
+    from tokenizers import Tokenizer
+
+    most = max([end_id, *Tokenizer.from_file(tokenizer).get_vocab(with_added_tokens=True).values()])
+    if end_id < 0 or width not in (None, 2, 4) or most >= 1 << 8 * (width or 4):
+        raise ValueError(f"ids up to {most} and end id {end_id} don't fit {width} bytes")
+    return width or (2 if most < 1 << 16 else 4)
 
 
 def compressor(level: int = LEVEL) -> zstandard.ZstdCompressor:
@@ -150,69 +179,49 @@ class Reader:
         return list(range(first + int(np.searchsorted(known, doc_id)), first + int(np.searchsorted(known, doc_id, "right"))))
 
 
-def token_frames(docs: DataFrame, tokenizer: str, end_id: int = END_ID, width: int = 2) -> DataFrame:
-    """doc_id, frame, size, checksum of (doc_id, text): ids with the end id, `width` bytes each, compressed."""
+def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, width: int | None = None, rows_per_file: int = ROWS_PER_FILE, most_tasks: int = MOST_TASKS) -> DataFrame:
+    """Writes the files under path and returns the manifest: task, part (both in order), uri, documents, tokens; a row a file."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    width, path = width_for(tokenizer, end_id, width), re.sub(r"^file:/(?!/)", "file:///", path)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    tasks = max(1, min(most_tasks, -(-docs.count() // rows_per_file)))
+    order = [F.asc_nulls_first("doc_id"), "_h", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end, compress = encoder(tokenizer), struct.pack("<I", end_id), compressor().compress
-        for b in batches:
-            frames, sizes, sums = [], [], []
-            for text in b.column(1).to_pylist():
-                raw = encode(text or "") + end
-                if width != 4:
-                    raw = np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes()
-                frames.append(compress(raw))
-                sizes.append(len(raw))
-                sums.append(xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(frames, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sums, pa.int64())], ["doc_id", "frame", "size", "checksum"])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, frame binary, size long, checksum long")
-
-
-def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, width: int = 2, rows_per_file: int = ROWS_PER_FILE) -> DataFrame:
-    """Writes the files under path and returns the manifest: shard, uri, documents, tokens; a row a file."""
-    bounded_batches(docs.sparkSession)
-    path = re.sub(r"^file:/(?!/)", "file:///", path)
-    n = docs.count()
-    shards = max(1, min(MOST_FILES, -(-n // rows_per_file)))
-    bounds = docs.select(F.percentile_approx("doc_id", [k / shards for k in range(1, shards)], 100 * shards)).first()[0] if shards > 1 else None
-    bounds = sorted(set(bounds or []))
-    # The number of bounds that the id reaches, by bisection.
-    shard = F.lit(0) if not bounds else F.coalesce(F.expr(f"aggregate(sequence(1, {len(bounds).bit_length() + 1}), struct(0 AS lo, {len(bounds)} AS hi), (s, k) -> if(s.lo >= s.hi, s, if(get(_bounds, cast((s.lo + s.hi) div 2 AS int)) <= doc_id, struct(cast((s.lo + s.hi) div 2 + 1 AS int) AS lo, s.hi AS hi), struct(s.lo AS lo, cast((s.lo + s.hi) div 2 AS int) AS hi))), s -> s.lo)"), F.lit(0))
-    frames = token_frames(docs, tokenizer, end_id, width)
-    if bounds:
-        frames = frames.withColumn("_bounds", F.array(*(F.lit(b).cast("long") for b in bounds)))
-    frames = frames.select(shard.cast("int").alias("shard"), "doc_id", "frame", "size", "checksum")
-    tasks = max(len(bounds) + 1, 1)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out, current, uri, size = None, None, "", 0
+        task, part, out, uri, size = TaskContext.get().partitionId(), 0, None, "", 0
 
         def listed() -> pa.RecordBatch:
             out.close()
-            return pa.RecordBatch.from_arrays([pa.array([current], pa.int32()), pa.array([uri]), pa.array([len(out.ids)], pa.int64()), pa.array([size // width], pa.int64())], ["shard", "uri", "documents", "tokens"])
+            return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([part], pa.int32()), pa.array([uri]), pa.array([len(out.ids)], pa.int64()), pa.array([size // width], pa.int64())], ["task", "part", "uri", "documents", "tokens"])
 
         for b in batches:
-            for s, doc_id, compressed, n, checksum in zip(*(b.column(k).to_pylist() for k in range(5)), strict=True):
-                if s != current:
-                    if out:
-                        yield listed()
-                    current, size = s, 0
-                    uri = f"{path}/shard-{s:06d}-{uuid.uuid4().hex[:12]}.ids.zst"
-                    out = Writer(uri, width)
-                out.add(doc_id, compressed, n, checksum)
-                size += n
+            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if out is None:
+                    uri = f"{path}/part-{task:06d}-{part:04d}-{uuid.uuid4().hex[:12]}.ids.zst"
+                    out, size = Writer(uri, width), 0
+                raw = encode(text) + end
+                if width != 4:
+                    raw = np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes()
+                out.add(doc_id, compress(raw), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF)
+                size += len(raw)
+                if len(out.ids) >= rows_per_file:
+                    yield listed()
+                    out, part = None, part + 1
         if out:
             yield listed()
 
-    dealt = frames.repartition(tasks, "shard").sortWithinPartitions("shard", F.asc_nulls_first("doc_id"), "frame")
-    return materialize(dealt.mapInArrow(run, "shard int, uri string, documents long, tokens long"), "token-manifest")
+    dealt = docs.repartitionByRange(tasks, *order[:2]).sortWithinPartitions(*order).select("doc_id", "text")
+    return materialize(dealt.mapInArrow(run, "task int, part int, uri string, documents long, tokens long"), "token-manifest")
 
 
 def read_digests(manifest: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the files; only the manifest's sums cross shards."""
-    before = F.coalesce(F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    shards = manifest.withColumn("start", before).select("uri", "start")
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the files, a task a file; only the manifest's sums cross files."""
+    order = Window.orderBy("task", "part")
+    before = F.coalesce(F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = manifest.select("uri", before.alias("start"), F.row_number().over(order).alias("file"))
+    n = max(1, min(MOST_TASKS, manifest.count()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -225,7 +234,7 @@ def read_digests(manifest: DataFrame) -> DataFrame:
                 columns = list(zip(*rows, strict=True))
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    return shards.repartition("uri").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return files.repartitionByRange(n, "file").select("uri", "start").mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,6 @@ from tests.llm.helpers import documents, edge_rows, write
 
 def reference(rows):
     t = Tokenizer.from_file(tokenizer_file("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return [(r[0], np.array([*t.encode(r[1] or "", add_special_tokens=False).ids, 0], "<u4")) for r in rows]
 
 
@@ -32,7 +31,7 @@ def test_query_on_edge_rows(spark, tmp_path):
 def test_many_files_and_random_access(spark, tmp_path):
     rows = [(k * 3 - 50, f"text number {k} " * (k % 7), "en", "a", 0) for k in range(200)]
     manifest = op.write_files(documents(spark, rows), str(tmp_path / "files"), tokenizer_file("byte_bpe_50k.json"), rows_per_file=17)
-    files = manifest.orderBy("shard").collect()
+    files = manifest.orderBy("task", "part").collect()
     assert len(files) > 5 and sum(f["documents"] for f in files) == 200
     want, seen = dict(reference(rows)), []
     for f in files:
@@ -71,3 +70,37 @@ def test_files_are_plain_zstandard(spark, tmp_path):
 
 def test_empty_table(spark, tmp_path):
     assert op.op5_token_files(spark, write(spark, tmp_path, documents=documents(spark, []))).count() == 0
+
+
+def test_special_tokens_as_the_library_has_them(spark, tmp_path):
+    rows = [(1, "a <|endoftext|> b", "en", "a", 0), (2, "<|endoftext|><|endoftext|>\n\n  x", "en", "a", 0), (3, "<|endof text|>", "en", "a", 0)]
+    got = {r["doc_id"]: r for r in op.op5_token_files(spark, write(spark, tmp_path, documents=documents(spark, rows))).collect()}
+    want = dict(reference(rows))
+    assert 50256 in want[1] and all(got[k]["ids_crc32"] == zlib.crc32(x.tobytes()) and got[k]["n_tokens"] == len(x) for k, x in want.items())
+
+
+def test_ids_that_do_not_fit_are_refused(spark, tmp_path):
+    docs, path, file = documents(spark, [(1, "text", "en", "a", 0)]), str(tmp_path / "files"), tokenizer_file("byte_bpe_50k.json")
+    with pytest.raises(ValueError, match="70000"):
+        op.write_files(docs, path, file, end_id=70_000, width=2)
+    reader = op.Reader(op.write_files(docs, path, file, end_id=70_000).first()["uri"])
+    assert reader.meta["width"] == 4 and reader.document(0)[-1] == 70_000
+
+
+def test_a_hot_id_is_dealt_to_many_tasks(spark, tmp_path):
+    rows = [(7 if k % 3 else k, f"text {k}", "en", "a", 0) for k in range(300)]
+    manifest = op.write_files(documents(spark, rows), str(tmp_path / "files"), tokenizer_file("byte_bpe_50k.json"), rows_per_file=20)
+    assert manifest.selectExpr("max(documents) as n").first()["n"] <= 20 and manifest.select("task").distinct().count() >= 10
+    read = op.read_digests(manifest)
+    assert read.rdd.getNumPartitions() == manifest.count()
+    got, at = sorted(read.collect(), key=lambda r: r["start"]), 0
+    assert [r["doc_id"] for r in got] == sorted(r[0] for r in rows)
+    for r in got:
+        assert r["start"] == at
+        at += r["n_tokens"]
+
+
+def test_few_tasks_write_many_files(spark, tmp_path):
+    rows = [(k, f"text {k}", "en", "a", 0) for k in range(100)]
+    manifest = op.write_files(documents(spark, rows), str(tmp_path / "files"), tokenizer_file("byte_bpe_50k.json"), rows_per_file=10, most_tasks=2)
+    assert manifest.count() >= 10 and sorted(r["doc_id"] for r in op.read_digests(manifest).collect()) == list(range(100))
