@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 
 from graphloom.llm import op08_mixing as op
+from graphloom.llm.common import materialize
 from tests.llm.helpers import documents, edge_rows, words, write
 
 
@@ -63,7 +64,7 @@ def test_one_source_and_empty_texts(spark, tmp_path):
 
 def test_inclusion_follows_weights(spark):
     """With an own weight per document, heavier ones are taken more often."""
-    df = spark.range(4000).selectExpr("id as doc_id", "'s' as source", "10L as size", "CASE WHEN id % 2 = 0 THEN 0.2D ELSE 0.6D END as weight")
+    df = spark.range(4000).selectExpr("id as doc_id", "'s' as source", "10L as size", "CASE WHEN id % 2 = 0 THEN 0.2D ELSE 0.6D END as weight", "id as _tag")
     plan = op.plan_of(df, weight="weight", share=1.0, most=2)
     out = op.copies(df, plan, weight="weight").groupBy("weight").sum("copies").collect()
     n = {r[0]: r[1] for r in out}
@@ -71,6 +72,24 @@ def test_inclusion_follows_weights(spark):
 
 
 def test_hot_source_is_spread(spark):
-    df = spark.range(20_000).selectExpr("id as doc_id", "'hot' as source", "1 + id % 50 as size")
+    df = spark.range(20_000).selectExpr("id as doc_id", "'hot' as source", "1 + id % 50 as size", "id as _tag")
     out = op.copies(df, op.plan_of(df, share=0.4)).selectExpr("sum(copies * size) as t", "max(target) as w").first()
     assert abs(out["t"] - out["w"]) <= 50
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_rows_that_share_an_id_are_split(spark, tmp_path, seed):
+    """Each source ends within one document of its target, though two thirds of its rows have one id; sizes tie or not."""
+    df = spark.range(1200).selectExpr("if(id % 3 > 0, 7L + id % 2, id) as doc_id", "concat('s', id % 2) as source", "cast(if(id % 2 = 0, 25, 1 + id % 40) as long) as size")
+    df = op.row_tag(materialize(df, "mixing-test"))
+    plan = op.plan_of(df, seed=seed, share=0.7)
+    out = op.copies(df, plan, seed=seed).selectExpr("source", "copies * size as w", "target", "size").groupBy("source").agg({"w": "sum", "target": "max", "size": "max"}).collect()
+    for r in out:
+        assert 0 <= r["max(target)"] - r["sum(w)"] < r["max(size)"]
+
+
+def test_one_kind_of_rows_only(spark):
+    """All rows alike: as many as fit."""
+    df = op.row_tag(materialize(spark.range(600).selectExpr("5L as doc_id", "'s' as source", "10L as size"), "mixing-test"))
+    out = op.copies(df, op.plan_of(df, share=0.5)).selectExpr("sum(copies * size) as w", "max(target) as t").first()
+    assert out["t"] - 10 < out["w"] <= out["t"] == 3000
