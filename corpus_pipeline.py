@@ -44,8 +44,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeats and leaves out documents so that sources meet their target weights."""
     names = [f"_in{k}" for k in range(len(docs.columns))]
     own = [F.col(c).alias(n) for c, n in zip(docs.columns, names, strict=True)]
-    sized = docs.select(*own, "doc_id", "source", op08_mixing.size_of(F.col("text")).alias("size"))
-    plan = op08_mixing.plan_of(materialize(sized.select("doc_id", "source", "size"), "mix-sizes"))
+    sized = op08_mixing.row_tag(docs).select(*own, "doc_id", "source", op08_mixing.size_of(F.col("text")).alias("size"), "_tag")
+    plan = op08_mixing.plan_of(materialize(sized.select("doc_id", "source", "size", "_tag"), "mix-sizes"))
     mixed = op08_mixing.copies(sized, plan).where("copies > 0")
     return mixed.select(*names, F.explode(F.array_repeat(F.lit(1), F.col("copies").cast("int"))).alias("_copy")).select(*names).toDF(*docs.columns)
 
