@@ -1,18 +1,25 @@
-"""Toxicity by two class-conditional Kneser-Ney bigram models.
+"""Toxicity by two class-conditional Kneser-Ney models.
 
-Toxic and ordinary documents each get a bigram model with absolute discounting over counts of contexts. Bigrams back
-off to the class's words and those to continuation counts (how many different words come before a word) that both classes share, so an
-expression that is rare in either class weighs the same in both. A text's feature is its mean log-likelihood ratio a
-word, and that of its worst window of `WINDOW` words, so that a long text isn't acquitted by its length. Two numbers
-and an intercept turn the features into a probability; they are fitted on a part of the sample whose words the
-models haven't counted.
+Toxic and ordinary documents each have a model of words. Counts are Kneser-Ney's: in how many different contexts (words before)
+a class has a word, so copies of a document teach nothing new. Each class discounts its counts absolutely, by words seen once and twice,
+and backs off to counts that both share, which are Kneser-Ney's once more: a word's contexts there are the classes that
+have it. The backoff weight is one for both classes (the larger of the two), so an expression that neither class has says
+nothing and a rare one weighs what its few contexts are worth beside the discount. No count is left out.
 
-Bounds, all parameters: `PER_CLASS` labelled documents a class, by hash of the id, of which every `CALIBRATE`-th is kept
-for calibration; words and bigrams with one context in the sample count as unseen. What workers get is bounded by
-the sample. Nothing else of the corpus is gathered, and whole texts are scored.
+    p(w | class) = max(c(class, w) - d(class), 0) / n(class) + B * shared(w)
+
+Both models score every word. A text's features are the log-likelihood ratio a word, normalised by length, over the whole
+text and over its worst window of each of `WINDOWS` words, so that a long text isn't acquitted by its length. A logistic
+calibration turns them into a probability; it is fitted on a part of the sample whose words the models haven't counted.
+A further level of word pairs was tried and finds less (README).
+
+Bounds, all parameters: `PER_CLASS` labelled documents a class, by hash of the id, whole and as long as they have no more
+than `CLASS_WORDS` words together; every `CALIBRATE`-th is kept for calibration. What workers get is bounded by the
+sample's words. Nothing else of the corpus is gathered, and whole texts are scored, however long.
 
 Defined results: null or empty text scores what the calibration gives for features of 0; a document with several labels
-counts as toxic if one says so; without labels of both classes every score is the share of toxic labels (0 without any).
+counts as toxic if one says so, one with several texts counts with the smallest; rows repeat as they are; columns of other
+names pass by; without labels of both classes every score is the share of toxic labels (0 without any).
 """
 
 from __future__ import annotations
@@ -25,12 +32,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import as_bytes, bounded_batches, hash_limit, materialize, remainder, table, worker_cache
+from graphloom.llm.common import WORD, as_bytes, bounded_batches, hash_limit, materialize, remainder, table, worker_cache
 
 PER_CLASS = 4000
+CLASS_WORDS = 2_000_000
 CALIBRATE = 4
-WINDOW = 32
-LEAST_G2 = 20.0
+WINDOWS = (1, 8, 32)
+RIDGE = 1e-3
 THRESHOLD = 0.3
 FLUSH = 300_000
 
@@ -50,11 +58,20 @@ def sample_ids(labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
     return one.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= per_class).select("doc_id", "toxic", F.pmod("_k", F.lit(CALIBRATE)).alias("part"))
 
 
-def gram_counts(sample: DataFrame) -> DataFrame:
-    """first, word, toxic, ordinary: in how many different contexts (words before the bigram) a class has a bigram.
+def whole_texts(docs: DataFrame, ids: DataFrame, class_words: int = CLASS_WORDS) -> DataFrame:
+    """doc_id, text, toxic, part of the sampled documents, in order of their hash while a class has no more than class_words words."""
+    sample = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").groupBy("doc_id", "toxic", "part").agg(F.min("text").alias("text"))
+    sample = materialize(sample.withColumn("_words", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")), "toxic-texts")
+    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    within = sample.select("doc_id", "toxic", F.sum("_words").over(order).alias("_sum")).where(F.col("_sum") <= class_words).select("doc_id")
+    return sample.join(F.broadcast(within), "doc_id", "left_semi").drop("_words")
+
 
-    Contexts, not occurrences, as Kneser-Ney's lower orders count: copies of one document have one context, so groups of
-    copies that happen to share a label don't teach their own words. A text begins with two empty words.
+def context_counts(sample: DataFrame) -> DataFrame:
+    """word, toxic, ordinary: after how many different words a class has a word; a text begins with the empty word.
+
+    Contexts, not occurrences, as Kneser-Ney counts: copies of one document have one context, so groups of copies that
+    happen to share a label don't teach their own words.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -62,93 +79,65 @@ def gram_counts(sample: DataFrame) -> DataFrame:
 
         def flushed() -> pa.RecordBatch:
             keys = list(seen[0] | seen[1])
-            columns = [pa.array([xxhash.xxh3_64_intdigest(k[0]) - 2**63 for k in keys], pa.int64()), *(pa.array([k[j] for k in keys], pa.binary()) for j in (1, 2)), *(pa.array([k in seen[t] for k in keys], pa.bool_()) for t in (1, 0))]
+            columns = [pa.array([xxhash.xxh3_64_intdigest(k[0]) - 2**63 for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.binary()), *(pa.array([k in seen[t] for k in keys], pa.bool_()) for t in (1, 0))]
             seen[0].clear()
             seen[1].clear()
-            return pa.RecordBatch.from_arrays(columns, ["before", "first", "word", "toxic", "ordinary"])
+            return pa.RecordBatch.from_arrays(columns, ["first", "word", "toxic", "ordinary"])
 
         for b in batches:
             for text, toxic in zip(as_bytes(b.column(0)), b.column(1).to_pylist(), strict=True):
-                w = [b"", b"", *words_of(text)]
-                seen[toxic].update(zip(w, w[1:], w[2:], strict=False))
+                w = [b"", *words_of(text)]
+                seen[toxic].update(zip(w, w[1:], strict=False))
                 if len(seen[0]) + len(seen[1]) > FLUSH:
                     yield flushed()
         yield flushed()
 
-    parts = sample.select("text", "toxic").mapInArrow(run, "before long, first binary, word binary, toxic boolean, ordinary boolean")
-    types = parts.groupBy("before", "first", "word").agg(F.max("toxic").cast("long").alias("toxic"), F.max("ordinary").cast("long").alias("ordinary"))
-    return types.groupBy("first", "word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    parts = sample.select("text", "toxic").mapInArrow(run, "first long, word binary, toxic boolean, ordinary boolean")
+    pairs = parts.groupBy("first", "word").agg(F.max("toxic").cast("long").alias("toxic"), F.max("ordinary").cast("long").alias("ordinary"))
+    return pairs.groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
 def discount(counts: np.ndarray) -> float:
-    """Absolute discount from the expressions seen twice and three times (those seen once aren't kept)."""
-    total = counts.sum(axis=1)
-    twice, thrice = np.count_nonzero(total == 2), np.count_nonzero(total == 3)
-    return twice / (twice + 2 * thrice) if twice else 0.5
-
-
-def g2(counts: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Likelihood-ratio statistic of two counts against one shared rate."""
-    expected = counts.sum(axis=1, keepdims=True) * of / np.maximum(of.sum(axis=1, keepdims=True), 1)
-    return 2 * np.where(counts > 0, counts * np.log(np.maximum(counts, 1e-9) / np.maximum(expected, 1e-9)), 0).sum(axis=1)
+    """Absolute discount from the words seen in one and in two contexts."""
+    once, twice = np.count_nonzero(counts == 1), np.count_nonzero(counts == 2)
+    return once / (once + 2 * twice) if once else 0.5
 
 
 class Model:
-    """Log-likelihood ratios by word and by bigram; 0 for those whose classes don't differ beyond chance, which the classes share."""
-
-    def __init__(self, singles: list[tuple], pairs: list[tuple], least: float = LEAST_G2):
-        """singles: (word, toxic, ordinary, different words before it); pairs: (first, word, toxic, ordinary); both as sums over the sample."""
-        self.ids = {w: k + 1 for k, (w, *_) in enumerate(singles)}
-        c = np.array([(0, 0)] + [(t, o) for _, t, o, _ in singles], float)
-        before = np.array([0] + [n for *_, n in singles], float)
-        shared = (before + 0.5) / (before.sum() + 0.5 * len(before))
-        d, n = discount(c), np.maximum(c.sum(0), 1)
-        p = np.maximum(c - d, 0) / n + (d * np.count_nonzero(c, axis=0) / n + 1e-9) * shared[:, None]
-        told = g2(c, np.broadcast_to(n, c.shape)) >= least
-        p = np.where(told[:, None], p, 1.0)
-        self.word = np.log(p[:, 0]) - np.log(p[:, 1])
-        first = np.array([self.ids[a] for a, *_ in pairs], np.int64)
-        word = np.array([self.ids[b] for _, b, *_ in pairs], np.int64)
-        b = np.array([(t, o) for *_, t, o in pairs], float).reshape(-1, 2)
-        told = np.flatnonzero((g2(b, c[first]) >= least) & (c[first].min(axis=1) > 0))
-        kinds = np.column_stack([np.bincount(first, b[:, k] > 0, len(c)) for k in range(2)])
-        d, first, word, b = discount(b), first[told], word[told], b[told]
-        total = np.maximum(c[first], 1)
-        lower = np.where((p[word] == 1.0), c[word].sum(axis=1, keepdims=True) / n.sum(), p[word])  # a word that tells nothing: pooled
-        q = np.maximum(b - d, 0) / total + np.maximum(d * kinds[first], 0.5) / total * lower
-        keys = first * len(c) + word
-        order = np.argsort(keys)
-        self.keys, self.pair = keys[order], (np.log(q[:, 0]) - np.log(q[:, 1]))[order]
-
-    def features(self, texts: list[bytes | None], window: int = WINDOW) -> np.ndarray:
-        """(texts, 2): mean log ratio a word, and that of the highest window."""
+    """Log-likelihood ratios by word; 0 for words that neither class has, which both take from the shared counts."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray):
+        """counts: (words, 2) contexts in toxic and ordinary documents."""
+        self.ids = {w: k + 1 for k, w in enumerate(words)}
+        c = np.vstack([np.zeros((1, 2)), counts])
+        classes = np.count_nonzero(c, axis=1)
+        shared = (classes + 0.5) / (classes.sum() + 0.5 * len(c))
+        d, n = np.array([discount(c[:, k]) for k in range(2)]), np.maximum(c.sum(axis=0), 1)
+        weight = (d * np.count_nonzero(c, axis=0) / n).max() or 1.0
+        p = np.maximum(c - d, 0) / n + weight * shared[:, None]
+        self.ratio = np.log(p[:, 0]) - np.log(p[:, 1])
+
+    def features(self, texts: list[bytes | None], windows: tuple[int, ...] = WINDOWS) -> np.ndarray:
+        """(texts, 1 + windows): mean log ratio a word, and that of the highest window of each size (the whole text, if it is shorter)."""
         get, zero = self.ids.get, 0
         lists = [words_of(t) for t in texts]
         sizes = np.array([len(w) for w in lists])
-        out = np.zeros((len(texts), 2))
+        out = np.zeros((len(texts), 1 + len(windows)))
         ids = np.fromiter((get(w, zero) for x in lists for w in x), np.int64, int(sizes.sum()))
         del lists
-        if not len(ids):
-            return out
-        ratio = self.word[ids]
-        before = np.concatenate([[0], ids[:-1]])
+        sums = np.concatenate([[0], np.cumsum(self.ratio[ids])])
         ends = np.cumsum(sizes)
-        starts = ends - sizes
-        before[starts[sizes > 0]] = 0
-        if len(self.keys):
-            key = before * len(self.word) + ids
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            ratio = np.where((self.keys[at] == key) & (before > 0), self.pair[at], ratio)
-        sums = np.concatenate([[0], np.cumsum(ratio)])
-        for k, (a, z) in enumerate(zip(starts, ends, strict=True)):
+        for k, (a, z) in enumerate(zip(ends - sizes, ends, strict=True)):
             if z > a:
-                w = min(window, z - a)
                 s = sums[a : z + 1]
-                out[k] = (s[-1] - s[0]) / (z - a), (s[w:] - s[:-w]).max() / w
+                out[k, 0] = (s[-1] - s[0]) / (z - a)
+                for j, w in enumerate(windows):
+                    w = min(w, z - a)
+                    out[k, j + 1] = (s[w:] - s[:-w]).max() / w
         return out
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-5, steps: int = 100) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = RIDGE, steps: int = 100) -> np.ndarray:
     """Intercept and coefficients by Newton's method."""
     x = np.column_stack([np.ones(len(x)), x])
     w = np.zeros(x.shape[1])
@@ -170,34 +159,20 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> tuple
     found = dict(labels.where("toxic is not null").groupBy((F.col("toxic") > 0).cast("int").alias("t")).count().collect())
     if len(found) < 2:
         return None, [float(bool(found.get(1)))]
-    sample = materialize(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").dropDuplicates(["doc_id"]), "toxic-sample")
-    counts = materialize(gram_counts(sample.where("part > 0")), "toxic-grams")
-    words = counts.groupBy("word").agg(F.sum((F.col("toxic") > 0).cast("long")).alias("toxic"), F.sum((F.col("ordinary") > 0).cast("long")).alias("ordinary"), F.count(F.lit(1)).alias("n"))
-    words = words.where("toxic + ordinary >= 2")
-    singles = words.orderBy("word").toArrow()
-    both = [bytes(w) for w in singles["word"].to_pylist()]
-    singles = list(zip(both, *(singles[c].to_pylist() for c in ("toxic", "ordinary", "n")), strict=True))
-    known = set(both)
-    pairs = counts.where("toxic + ordinary >= 2").orderBy("first", "word").toArrow()
-    pairs = [p for p in zip(*(pairs[c].to_pylist() for c in ("first", "word", "toxic", "ordinary")), strict=True) if p[0] in known and p[1] in known]
-    model = Model(singles, pairs)
-    rows = sample.where("part = 0").select("text", "toxic", "doc_id").orderBy("doc_id")
+    sample = materialize(whole_texts(docs, ids), "toxic-sample")
+    counts = context_counts(sample.where("part > 0")).orderBy("word").toArrow()  # no more rows than the sample's words
+    model = Model([bytes(w) for w in counts["word"].to_pylist()], np.column_stack([counts[c].to_numpy() for c in ("toxic", "ordinary")]).astype(float))
     shared = spark.sparkContext.broadcast(model)
-    scored = features(rows, shared, ["toxic"]).toPandas()
-    y = scored["toxic"].to_numpy(float)
+    scored = features(sample.where("part = 0").select("text", "toxic", "doc_id").orderBy("doc_id"), shared, ["toxic"]).toPandas()
+    y, share = scored["toxic"].to_numpy(float), found[1] / (found[0] + found[1])
     if len(set(y)) < 2:
-        return None, [found[1] / (found[0] + found[1])]
-    share = found[1] / (found[0] + found[1])
+        return None, [share]
     weight = np.where(y > 0, share / y.mean(), (1 - share) / (1 - y.mean()))
-    x = scored[["_mean", "_top"]].to_numpy(float)
-    w = logistic(x, y, weight)
-    if w[1] < 0:  # the two go together; alone, the worst window says it
-        w = np.insert(logistic(x[:, 1:], y, weight), 1, 0.0)
-    return shared, [float(v) for v in w]
+    return shared, [float(v) for v in logistic(np.array(scored["_f"].to_list()), y, weight)]
 
 
 def features(docs: DataFrame, shared, columns: list[str], text: str = "text") -> DataFrame:  # noqa: ANN001
-    """columns, _mean, _top from docs (columns and text, which may be one of them); shared: the broadcast model."""
+    """columns and _f (the features) from docs (columns and text, which may be one of them); shared: the broadcast model."""
     at = columns.index(text) if text in columns else len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,12 +180,12 @@ def features(docs: DataFrame, shared, columns: list[str], text: str = "text") ->
         worker_cache("toxicity", 0, lambda: None)  # drops what other operators left
         for b in batches:
             texts = as_bytes(b.column(at))
-            f = np.concatenate([model.features(texts[k : k + 500]) for k in range(0, len(texts), 500)]) if texts else np.zeros((0, 2))
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(f[:, 0]), pa.array(f[:, 1])], [*b.schema.names[: len(columns)], "_mean", "_top"])
+            rows = [x for k in range(0, len(texts), 500) for x in model.features(texts[k : k + 500]).tolist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array(rows, pa.list_(pa.float64()))], [*b.schema.names[: len(columns)], "_f"])
 
     bounded_batches(docs.sparkSession)
     kept = docs.select(*columns, *([] if at < len(columns) else [F.col(text).alias("_text_to_score")]))
-    schema = kept.select(*columns).withColumns({"_mean": F.lit(0.0), "_top": F.lit(0.0)}).schema
+    schema = kept.select(*columns).withColumn("_f", F.lit(None).cast("array<double>")).schema
     return kept.mapInArrow(run, schema)
 
 
@@ -220,8 +195,10 @@ def score(docs: DataFrame, fitted: tuple, columns: list[str], text: str = "text"
     if shared is None:
         out = docs.select(*columns).withColumn("score", F.lit(w[0]))
     else:
-        z = w[0] + w[1] * F.col("_mean") + w[2] * F.col("_top")
-        out = features(docs, shared, columns, text).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))).drop("_mean", "_top")
+        z = F.lit(w[0])
+        for k, x in enumerate(w[1:]):
+            z = z + F.lit(x) * F.get("_f", F.lit(k))
+        out = features(docs, shared, columns, text).withColumn("score", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-500.0), F.least(F.lit(500.0), z))))).drop("_f")
     return out.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
