@@ -5,13 +5,18 @@ occur in that text; phrases are normalised by the bits that name a place in the
 phrases * log2(reference length) / text length. The language with the least wins.
 
 The automata are flattened into one transition table in which a dead end already points at the next phrase's
-first character and carries a flag, so many texts advance together, one gather a character. The whole text is parsed, in
-windows of `WINDOW` characters (a phrase never spans two windows, in any language). References come from a sample of
-labelled rows with documented bounds: `DOCS` documents a language by hash of the id, at most `DOC_CHARS` characters
-of each and `CHARS` in all. Each worker builds the table from those few characters.
+first character and carries a flag, so many texts advance together, one gather a character. A long text advances as
+windows side by side, each begun afresh; then every window is gone over again from the state that the one before it
+truly ended in, until both walks meet, and its number of phrases is set right by what they differ in. So phrases are
+those of the whole text, whatever the window.
+
+References come from a sample of labelled rows with documented bounds: `DOCS` documents a language by hash of the id, whole,
+as long as they have no more than `CHARS` characters together (longer documents are not drawn; if a language has no
+other, its shortest is). Each worker builds the table from those.
 
 Defined results: null text, or text without a letter, is `und` with score 0, and so is everything when nothing was
-learned; case and runs of other characters don't matter; ties go to the smaller language name; rows repeat as they are.
+learned; case and runs of other characters don't matter; ties go to the smaller language name; rows repeat as they are;
+columns of other names pass by.
 """
 
 from __future__ import annotations
@@ -28,8 +33,7 @@ from pyspark.sql import functions as F
 from graphloom.llm.common import bounded_batches, hash_limit, remainder, table, worker_cache
 
 DOCS = 64
-DOC_CHARS = 4000
-CHARS = 30_000
+CHARS = 60_000
 WINDOW = 1024
 BATCH_CHARS = 1_000_000
 UND = "und"
@@ -103,30 +107,54 @@ class Parser:
 
     def phrases(self, texts: list[np.ndarray], window: int = WINDOW) -> np.ndarray:
         """(texts, languages) numbers of phrases."""
-        lanes = [-(-len(t) // window) for t in texts]
-        total, n = sum(lanes), len(self.langs)
+        lanes = np.array([-(-len(t) // window) for t in texts], np.int64)
+        total, n = int(lanes.sum()), len(self.langs)
         out = np.zeros((len(texts), n), np.int64)
         if not total or not n:
             return out
         grid = np.full(total * window, self.width - 1, self.table.dtype)
-        at = 0
-        for t, k in zip(texts, lanes, strict=True):
-            grid[at * window : at * window + len(t)] = t
-            at += k
+        first = np.concatenate([[0], np.cumsum(lanes)[:-1]])
+        for t, k in zip(texts, first.tolist(), strict=True):
+            grid[k * window : k * window + len(t)] = t
         steps = min(window, max(map(len, texts)))
         columns = np.ascontiguousarray(grid.reshape(total, window)[:, :steps].T)
-        state = np.repeat(np.array(self.start, self.table.dtype), total).reshape(n, total)
-        count = np.zeros((n, total), np.int32)
+        entry = np.repeat(np.array(self.start, self.table.dtype), total).reshape(n, total)
+        state = entry.copy()
+        count = np.zeros((n, total), np.int64)
         for j in range(steps):
             state += columns[j]
             np.take(self.table, state, out=state, mode="clip")
             count += state & 1
             state >>= 1
+        goes_on = np.ones(total, bool)
+        goes_on[first[lanes > 0]] = False
+        lang, lane = np.nonzero(np.broadcast_to(goes_on, (n, total)))
+        while len(lane):  # windows whose entry was not where the one before ended
+            old, new = entry[lang, lane], state[lang, lane - 1]
+            differ = old != new
+            lang, lane, old, new = lang[differ], lane[differ], old[differ], new[differ]
+            entry[lang, lane] = new
+            at_lang, at_lane = lang, lane
+            for j in range(steps):
+                if not len(at_lane):
+                    break
+                c = columns[j, at_lane]
+                old, new = self.table[old + c], self.table[new + c]
+                count[at_lang, at_lane] += (new & 1) - (old & 1)
+                old, new = old >> 1, new >> 1
+                apart = old != new
+                old, new, at_lang, at_lane = old[apart], new[apart], at_lang[apart], at_lane[apart]
+            state[at_lang, at_lane] = new  # those that haven't met by the end: the next window is gone over again
+            more = at_lane + 1 < total
+            lang, lane = at_lang[more], at_lane[more] + 1
+            more = goes_on[lane]
+            lang, lane = lang[more], lane[more]
         np.add.at(out, np.repeat(np.arange(len(texts)), lanes), count.T)
         return out
 
-    def judge(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        out: list[tuple[str, float]] = [(UND, 0.0)] * len(texts)
+    def judge(self, texts: list[str | None]) -> list[tuple[str, float, float]]:
+        """(language, score, its phrases' bits a character) of each text."""
+        out: list[tuple[str, float, float]] = [(UND, 0.0, 0.0)] * len(texts)
         held, codes, chars = [], [], 0
 
         def flush() -> None:
@@ -134,7 +162,7 @@ class Parser:
             for k, row in zip(held, cost, strict=True):
                 best = int(np.argmin(row))
                 rest = np.delete(row, best)
-                out[k] = (self.langs[best], float(rest.min() / (rest.min() + row[best])) if len(rest) else 1.0)
+                out[k] = (self.langs[best], float(rest.min() / (rest.min() + row[best])) if len(rest) else 1.0, float(row[best]))
 
         for k, text in enumerate(texts):
             c = self.cut(text) if text and self.langs else np.zeros(0, np.int32)
@@ -154,36 +182,40 @@ def parser(references: list[tuple[str, str]]) -> Parser:
     return worker_cache("language", hashlib.sha256(repr(references).encode()).hexdigest(), lambda: Parser(references))
 
 
-def references(docs: DataFrame, docs_per_lang: int = DOCS, doc_chars: int = DOC_CHARS, chars: int = CHARS) -> list[tuple[str, str]]:
-    """(language, text) pairs, by language, from docs (doc_id, text, lang); at most `chars` characters each."""
-    known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0))
-    counts = dict(known.groupBy("lang").count().collect())  # a row a language
+def references(docs: DataFrame, docs_per_lang: int = DOCS, chars: int = CHARS) -> list[tuple[str, str]]:
+    """(language, text) pairs, by language, from docs (doc_id, text, lang): whole documents, `chars` characters together at most."""
+    known = docs.where(F.col("lang").isNotNull() & (F.length("text") > 0)).withColumn("_n", F.length("text"))
+    # A row a language.
+    counts = {r["lang"]: r for r in known.groupBy("lang").agg(F.sum((F.col("_n") <= chars).cast("long")).alias("n"), F.min("_n").alias("least")).collect()}
     if not counts:
         return []
     # Only ids whose hash is small enough to be among the first take part in the ranking, so it is as small as the sample.
-    known = known.select("lang", F.xxhash64("doc_id").alias("_h"), F.substring("text", 1, doc_chars).alias("_t"))
-    limit = F.create_map(*(F.lit(x) for lang, n in counts.items() for x in (lang, hash_limit(8 * docs_per_lang, n))))
-    known = known.where(F.col("_h") <= F.try_element_at(limit, F.col("lang")))
-    first = known.withColumn("_k", F.row_number().over(Window.partitionBy("lang").orderBy("_h", "_t"))).where(F.col("_k") <= docs_per_lang)
+    known = known.select("lang", "_n", F.xxhash64("doc_id").alias("_h"), "text")
+    limit = F.create_map(*(F.lit(x) for lang, r in counts.items() for x in (lang, hash_limit(8 * docs_per_lang, r["n"]))))
+    longest = F.create_map(*(F.lit(x) for lang, r in counts.items() for x in (lang, max(chars, r["least"]))))
+    known = known.where((F.col("_h") <= F.try_element_at(limit, F.col("lang"))) & (F.col("_n") <= F.try_element_at(longest, F.col("lang"))))
+    order = Window.partitionBy("lang").orderBy("_h", "_n", "text")
+    first = known.withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= docs_per_lang)
+    first = first.withColumn("_sum", F.sum("_n").over(Window.partitionBy("lang").orderBy("_k").rowsBetween(Window.unboundedPreceding, Window.currentRow))).where((F.col("_k") == 1) | (F.col("_sum") <= chars))
     found: dict[str, list[str]] = {}
-    for r in sorted(first.select("lang", "_k", "_t").collect(), key=lambda r: (r["lang"], r["_k"])):
-        found.setdefault(r["lang"], []).append(r["_t"])
-    return [(lang, "\n".join(texts)[:chars]) for lang, texts in found.items()]
+    for r in sorted(first.select("lang", "_k", "text").collect(), key=lambda r: (r["lang"], r["_k"])):
+        found.setdefault(r["lang"], []).append(r["text"])
+    return [(lang, "\n".join(texts)) for lang, texts in found.items()]
 
 
 def predict(docs: DataFrame, refs: list[tuple[str, str]], columns: list[str], text: str = "text") -> DataFrame:
-    """columns, lang_pred, score from docs (columns and text, which may be one of them)."""
+    """columns, lang_pred, score, bits (of the language's phrases, a character) from docs (columns and text, which may be one of them)."""
     at = columns.index(text) if text in columns else len(columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = parser(refs)
         for b in batches:
             out = p.judge(b.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array([x for x, _ in out], pa.string()), pa.array([s for _, s in out], pa.float64())], [*b.schema.names[: len(columns)], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns[: len(columns)], pa.array([x[0] for x in out], pa.string()), *(pa.array([x[k] for x in out], pa.float64()) for k in (1, 2))], [*b.schema.names[: len(columns)], "lang_pred", "score", "bits"])
 
     bounded_batches(docs.sparkSession)
     kept = docs.select(*columns, *([] if at < len(columns) else [F.col(text).alias("_text_to_judge")]))
-    schema = kept.select(*columns).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0)}).schema
+    schema = kept.select(*columns).withColumns({"lang_pred": F.lit(""), "score": F.lit(0.0), "bits": F.lit(0.0)}).schema
     return kept.mapInArrow(run, schema)
 
 
@@ -194,4 +226,4 @@ def learn(docs: DataFrame) -> list[tuple[str, str]]:
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     out = predict(docs.withColumn("held_out", remainder(F.col("doc_id"), 5) == 0), learn(docs), ["doc_id", "held_out"])
-    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "lang_pred", "score")
+    return out.select(F.col("doc_id").cast("long").alias("doc_id"), "held_out", "lang_pred", "score", "bits")

@@ -40,10 +40,19 @@ def test_phrases_equal_substring_search(seed):
             assert row[k] == brute_phrases(plain, clean(ref))
 
 
-def test_windows_cover_whole_texts():
-    p = op.Parser([("a", "abab"), ("b", "cdcd")])
-    codes = p.cut("abab" * 1000 + "q")
-    assert p.phrases([codes], window=16)[0][0] >= p.phrases([codes], window=100_000)[0][0] >= 1001
+@pytest.mark.parametrize("window", [1, 2, 3, 16, 1000])
+def test_windows_do_not_cut_phrases(window):
+    """Texts of repeats, whose phrases span many windows, and mixed ones; every window gives the whole text's phrases."""
+    rnd = random.Random(window)
+    refs = [("a", "ab" * 200 + "abcabcabd" * 9), ("b", "".join(rnd.choice("abcd ") for _ in range(500)))]
+    p = op.Parser(refs)
+    texts = ["ab" * 150, "abcabcabd" * 40 + "x" + "ab" * 100, "", "q", *("".join(rnd.choice("abcdq ") for _ in range(rnd.randint(1, 300))) for _ in range(20))]
+    cut = [p.cut(t) for t in texts]
+    letters = {v: k for k, v in p.codes.items()} | {0: " ", 1: "\0"}
+    plain = ["".join(letters[c] for c in x.tolist()) for x in cut]
+    references = ["".join(letters[c] for c in p.cut(r).tolist()) for _, r in refs]
+    want = [[brute_phrases(t, r) for r in references] for t in plain]
+    assert p.phrases(cut, window=window).tolist() == want
 
 
 def test_query_on_edge_rows_and_held_out(spark, tmp_path):
@@ -66,8 +75,12 @@ def test_nothing_learned(spark, tmp_path):
     assert op.op6_language(spark, write(spark, tmp_path / "b", documents=documents(spark, []))).count() == 0
 
 
-def test_sample_bounds(spark):
-    rows = [(k, "abc def " * 2000, "en", "s", 1) for k in range(100)]
-    refs = op.references(documents(spark, rows), docs_per_lang=3, doc_chars=50, chars=120)
-    assert [(lang, len(t)) for lang, t in refs] == [("en", 120)]
-    assert math.isfinite(np.float64(op.Parser(refs).bits[0]))
+def test_sample_holds_whole_documents(spark):
+    rows = [(k, f"abc def {k} " * (1 + k), "en", "s", 1) for k in range(40)] + [(100, "lang " * 500, "de", "s", 1), (101, "lang " * 400, "de", "s", 1)]
+    refs = dict(op.references(documents(spark, rows), docs_per_lang=30, chars=900))
+    texts = {r[1] for r in rows}
+    assert sorted(refs) == ["de", "en"] and refs["de"] == "lang " * 400
+    drawn = refs["en"].split("\n")
+    assert len(drawn) > 2 and all(t in texts for t in drawn) and sum(map(len, drawn)) <= 900
+    assert len(op.references(documents(spark, rows), docs_per_lang=2, chars=100_000)[1][1].split("\n")) == 2
+    assert math.isfinite(np.float64(op.Parser(list(refs.items())).bits[0]))
