@@ -2,20 +2,56 @@
 
 from __future__ import annotations
 
-import os
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import DataFrame, SparkSession
+
+_made: dict[str, SparkSession] = {}
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, else the folder given to setCheckpointDir; on a local master, which has no other machine, else a fresh one of its own.
+
+    On a cluster that names neither, it raises: a folder of the driver's machine would not be the executors'.
+    """
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="graphloom-"))
+        found = context.getCheckpointDir()
+    return found.rstrip("/")
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; what is written there is deleted by clear(), at the latest when the driver ends."""
+    path = f"{shared_dir(spark)}/graphloom/{name}-{uuid.uuid4().hex}"
+    _made[path] = spark
+    return path
 
 
 def written(df: DataFrame, name: str = "step") -> DataFrame:
-    """df as Parquet in spark.checkpoint.dir (a temporary folder where that is unset, as in tests), read again."""
-    spark = df.sparkSession
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "graphloom-checkpoints")
-        spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base.rstrip('/')}/graphloom-steps/{name}-{uuid.uuid4().hex}"
+    """df as Parquet in the shared folder, read again: lineage is cut, and a lost executor loses nothing."""
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear() -> int:
+    """Deletes every table that written() made and its number; only for when no DataFrame over one is needed any more."""
+    n = 0
+    for path, spark in list(_made.items()):
+        del _made[path]
+        try:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            n += at.getFileSystem(spark._jvm.org.apache.hadoop.conf.Configuration()).delete(at, True)
+        except (Py4JError, OSError, AttributeError):  # the JVM has gone before
+            break
+    return n
+
+
+atexit.register(clear)
