@@ -1,12 +1,9 @@
-"""Helpers shared by the operators: the shared folder, written tables, Arrow columns and splits."""
+"""Helpers shared by the operators: Arrow columns, splits, worker caches; written tables come from the library."""
 
 from __future__ import annotations
 
 import ctypes
 import gc
-import os
-import tempfile
-import uuid
 import zlib
 from collections.abc import Callable
 
@@ -14,29 +11,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphloom.operators.checkpoints import fresh_path as fresh_path
+from graphloom.operators.checkpoints import written
+
 #: Words are maximal runs of anything but space, tab, LF, VT, FF and CR; bytes.split() without arguments cuts just there.
 WORD = r"[^\x20\x09-\x0D]+"
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one of this machine where it is unset (tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = os.path.join(tempfile.gettempdir(), "graphloom-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/graphloom/{name}-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet in the shared folder and reads it again: lineage is cut, and a lost executor loses nothing."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
+materialize = written
 
 BATCH_ROWS = 1000
 
