@@ -4,8 +4,10 @@
 elements, known and unknown sizes, Xiph, EBML and fixed lacing, cues) into tracks, packets and cue points.
 `media_column`, `packet_table` and `media_digests` apply them to DataFrames, row by row, without a shuffle.
 
-Defined results: a null text counts as empty; an empty text becomes one frame of padding; damaged media give an
-empty packet table and an error text instead of a crash; equal texts give equal bytes.
+Defined results: a null text counts as empty; an empty text becomes one frame of padding; a very long text is one file of
+many clusters, held in memory with its text; damaged media (cut or nested too deep, times beyond 64 bits, cues that
+point at no cluster) give one row with an error text instead of a crash, null media none; equal texts give equal
+bytes; repeated rows repeat; columns of other names are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ FRAME = 576
 RATE = 48_000
 FRAMES_PER_BLOCK = 8
 BLOCKS_PER_CLUSTER = 16
+MOST_DEPTH = 32
 
 # Element ids of the Matroska specification (RFC 9559): fixed values.
 EBML, SEGMENT, SEEK_HEAD, SEEK, SEEK_ID, SEEK_POSITION = 0x1A45DFA3, 0x18538067, 0x114D9B74, 0x4DBB, 0x53AB, 0x53AC
@@ -154,11 +157,22 @@ def _laced(data: bytes, at: int, end: int, flags: int) -> list[tuple[int, int]]:
 
 
 def demux(data: bytes) -> dict:
-    """tracks: number, codec, rate, ... ; packets: (track, timestamp ns, offset, size, key, cluster); cues: (ns, track, byte offset of the cluster)."""
+    """tracks: number, codec, rate, ... ; packets: (track, timestamp ns, offset, size, key, cluster); cues: (ns, track, byte offset of the cluster, cluster).
+
+    Whatever the bytes are, it returns or raises ValueError.
+    """
+    try:
+        return _demux(data)
+    except (IndexError, OverflowError, struct.error) as e:
+        raise ValueError(f"damaged: {e}") from e
+
+
+def _demux(data: bytes) -> dict:
     tracks: list[dict] = []
     packets: list[tuple] = []
     cues: list[tuple] = []
-    state = {"scale": 1_000_000, "base": 0, "clusters": 0, "segment": 0, "duration": 0.0}
+    clusters: dict[int, int] = {}
+    state = {"scale": 1_000_000, "base": 0, "segment": 0, "duration": 0.0}
     numbers = {TRACK_NUMBER: "number", TRACK_TYPE: "type", DEFAULT_DURATION: "frame_ns", CHANNELS: "channels", BIT_DEPTH: "bits"}
 
     def block(at: int, end: int, key: bool | None) -> None:
@@ -166,10 +180,15 @@ def demux(data: bytes) -> dict:
         relative, flags = struct.unpack_from(">hB", data, at)
         frame_ns = next((t.get("frame_ns", 0) for t in tracks if t.get("number") == track), 0)
         start = (state["base"] + relative) * state["scale"]
-        for k, (place, n) in enumerate(_laced(data, at + 3, end, flags)):
-            packets.append((track, start + k * frame_ns, place, n, bool(flags & 0x80) if key is None else key, state["clusters"] - 1))
-
-    def walk(at: int, end: int, parent: int) -> int:
+        frames = _laced(data, at + 3, end, flags)
+        if not -(1 << 63) <= start <= start + len(frames) * frame_ns < 1 << 63:
+            raise ValueError(f"time beyond 64 bits at {at}")
+        for k, (place, n) in enumerate(frames):
+            packets.append((track, start + k * frame_ns, place, n, bool(flags & 0x80) if key is None else key, len(clusters) - 1))
+
+    def walk(at: int, end: int, parent: int, depth: int = 0) -> int:
+        if depth > MOST_DEPTH:
+            raise ValueError(f"elements nested too deep at {at}")
         while at < end:
             ident, body, _ = read_vint(data, at, True)
             n, body, unknown = read_vint(data, body, False)
@@ -183,13 +202,13 @@ def demux(data: bytes) -> dict:
             if ident == SEGMENT:
                 state["segment"] = body
             elif ident == CLUSTER:
-                state["clusters"] += 1
+                clusters[at] = len(clusters)
             elif ident == TRACK_ENTRY:
                 tracks.append({})
             elif ident == CUE_POINT:
                 cues.append([0, 0, 0])
             if ident in MASTERS:
-                at = walk(body, stop, ident)
+                at = walk(body, stop, ident, depth + 1)
                 at = at if unknown else stop
                 continue
             if ident == SIMPLE_BLOCK:
@@ -220,7 +239,10 @@ def demux(data: bytes) -> dict:
         return at
 
     walk(0, len(data), 0)
-    return {"tracks": tracks, "packets": packets, "cues": [tuple(c) for c in cues], "clusters": state["clusters"], "duration_ns": round(state["duration"] * state["scale"])}
+    for when, _, at in cues:
+        if at not in clusters or when >= 1 << 63:
+            raise ValueError(f"a cue points at no cluster: {at}")
+    return {"tracks": tracks, "packets": packets, "cues": [(*c, clusters[c[2]]) for c in cues], "clusters": len(clusters), "duration_ns": round(state["duration"] * state["scale"])}
 
 
 def padded(text: bytes, frame: int = FRAME) -> bytes:
@@ -264,9 +286,9 @@ def packet_table(df: DataFrame, id_col: str = "id", media_col: str = "media") ->
                     continue
                 try:
                     parsed = demux(media)
-                    cue = dict(enumerate(c[2] for c in parsed["cues"]))
+                    cue = {c[3]: c[2] for c in parsed["cues"]}
                     rows += [(ident, p[0], p[1], p[2], p[3], p[4], p[5], cue.get(p[5]), None) for p in parsed["packets"]]
-                except (ValueError, IndexError, struct.error) as e:
+                except ValueError as e:
                     rows.append((ident, *[None] * 7, str(e)))
             columns = list(zip(*rows, strict=True)) or [()] * len(names)
             kinds = [b.schema.field(0).type, pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.string()]

@@ -6,9 +6,11 @@ undoing their merges in order of rank and looking for an earlier merge across th
 only on the entries of the last `max_len` bytes, appending adds entries without touching old ones, and after an edit
 recomputation stops once `max_len` entries in a row agree with the old ones.
 
-Texts are cut as the public pattern cuts (see pieces); another pattern must cut there as well.
+Texts are cut into cached units as the public pattern cuts (see pieces); under another pattern its matches alone are the units.
 
-Defined results: null text counts as empty (no ids); any Unicode text is encoded; repeated rows give repeated rows.
+Defined results: null text counts as empty (no ids); any Unicode text is encoded, very long ones and very long pieces in time and
+memory of their length; ties don't arise, as one token ends each prefix; repeated rows give repeated rows; columns of
+other names are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm.common import bounded_batches, table, tokenizer_file, worker_cache
-from graphloom.llm.pieces import TextEncoder
+from graphloom.llm.pieces import TextEncoder, UnitCache
 
 MOST_PAIRS = 300_000
 MOST_UNITS = 500_000
@@ -142,20 +144,29 @@ class PrefixBpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-def coder(path: str, pattern: str) -> tuple[PrefixBpe, TextEncoder]:
+def coder(path: str, pattern: str) -> tuple[PrefixBpe, Callable[[str], bytes]]:
     """The model and text encoder of a rank file, one a worker process."""
     return worker_cache("prefix-bpe", (path, pattern), lambda: _make_coder(path, pattern))
 
 
-def _make_coder(path: str, pattern: str) -> tuple[PrefixBpe, TextEncoder]:
-    bpe, cut = PrefixBpe(read_ranks(path)), regex.compile(pattern).findall
+def _make_coder(path: str, pattern: str) -> tuple[PrefixBpe, Callable[[str], bytes]]:
+    import public_tokenizers
+
+    bpe, cut = PrefixBpe(read_ranks(path)), regex.compile(pattern).finditer
+
+    def piece(text: str) -> bytes:
+        ids = bpe.encode_piece(text.encode())
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    if pattern != public_tokenizers.PATTERN:
+        pieces = UnitCache(piece, most=MOST_UNITS)
+        return bpe, lambda text: b"".join(pieces[m.group()] for m in cut(text))
 
     def unit(text: str) -> bytes:
         core = text.rstrip(".,;:!?")
         if len(core) < len(text) and (core[1:] if core[:1] == " " else core).isalpha():  # letters, then marks: two pieces
             return (own.spaced[core[1:]] if core[0] == " " else own.bare[core]) + own.bare[text[len(core) :]]
-        ids = [i for piece in cut(text) for i in bpe.encode_piece(piece.encode())]
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(piece(m.group()) for m in cut(text))
 
     own = TextEncoder(unit, MOST_UNITS)
     return bpe, own

@@ -72,3 +72,21 @@ def test_columns_round_trip_and_empty(spark, tmp_path):
 def test_fits_is_what_merging_says(pair):
     a, b = (RANKS[x.encode()] for x in pair)
     assert BPE.fits(a, b) == (list(LIB._encode_single_piece("".join(pair).encode())) == [a, b])
+
+
+OTHER = r"\w{1,3}| +\w|\W+"
+_, OTHER_ENCODE = op._make_coder(PATH, OTHER)
+
+
+@given(st.text(max_size=120) | st.text(alphabet=" \nab'é.,1", max_size=80))
+@settings(max_examples=150, deadline=None)
+def test_another_pattern_is_followed(text):
+    lib = tiktoken.Encoding("other", pat_str=OTHER, mergeable_ranks=RANKS, special_tokens={})
+    assert np.frombuffer(OTHER_ENCODE(text), "<u4").tolist() == lib.encode_ordinary(text)
+
+
+def test_very_long_pieces():
+    for text in ("a" * 50_000, "ab" * 20_000, " " * 30_000, "日本" * 5_000):
+        ids = np.frombuffer(ENCODE(text), "<u4").tolist()
+        assert BPE.decode(ids) == text.encode() and len(ids) <= len(text.encode())
+    assert np.frombuffer(ENCODE("ab" * 2_000), "<u4").tolist() == LIB.encode_ordinary("ab" * 2_000)
