@@ -32,7 +32,7 @@ def test_query_against_plain_python(spark, tmp_path):
     df = spark.createDataFrame([(k, u, "h", 1.0, "clash") for k, u in enumerate(URLS)] + [(0, URLS[0], "h", 1.0, "clash")], "page_id long, url string, html string, probability double, host string")
     got = op.op3_url_filter(spark, write(spark, tmp_path, pages=df)).collect()
     assert len(got) == len(URLS) + 1
-    weights, bias = op.fit(spark.createDataFrame(op.LABELLED, "url string, label int"))
+    weights, bias = op.fit(spark.createDataFrame(op.labelled_urls(), "url string, label int"))
     for r in got:
         host, path = split(URLS[r["page_id"]])
         assert (r["host"], r["path"]) == (host, path)
@@ -44,7 +44,7 @@ def test_query_against_plain_python(spark, tmp_path):
 
 
 def test_model_learns(spark):
-    rows = spark.createDataFrame(op.LABELLED, "url string, label int")
+    rows = spark.createDataFrame(op.labelled_urls(), "url string, label int")
     model = op.fit(rows)
     out = op.judge(rows, model, []).collect()
     assert all((r["verdict"] == "block") == bool(r["label"]) for r in out)
@@ -52,6 +52,14 @@ def test_model_learns(spark):
     assert [r["verdict"] for r in new] == ["block", "block", "allow"]
 
 
+def test_held_out_words_and_very_long_urls(spark):
+    errors = op.held_out_errors(spark)
+    assert errors["fitted"][0] <= 2 and errors["held out"][0] <= 0.35 * errors["held out"][1]
+    long = "http://casino.example.com/" + "a/b-" * 50_000
+    rows = op.judge(spark.createDataFrame([(1, long)], "page_id long, url string"), op.fit(spark.createDataFrame(op.labelled_urls(), "url string, label int")), op.RULES).collect()
+    assert rows[0]["path"] == long[len("http://casino.example.com") :] and rows[0]["verdict"] in ("allow", "block")
+
+
 def test_bound_on_labelled_rows_and_empty_tables(spark, tmp_path):
     rows = spark.createDataFrame([("http://a/b", 1)] * 5, "url string, label int")
     with pytest.raises(ValueError):
