@@ -7,21 +7,26 @@ that share a band are candidates. At similarity 0.8 a link escapes all 32 bands
 
 1. Equal sets become one entry, so a group of exact copies is one row from here on.
 2. Every band links its members to its smallest one. The similarity is estimated jointly by maximum likelihood from how
-   many registers are larger, smaller and equal, given both sizes; clear misses go. The rest is verified on full sets.
+   many registers are larger, smaller and equal, given both sizes; what is estimated below `LEAST_ESTIMATE` goes, five standard
+   deviations below 0.8, so a link is lost there with a probability of 3e-7. The rest is verified on full sets.
 3. Links become components. Bands whose members are in one component are done; in the others, members outside the
-   largest component are compared with all members in other components, in blocks of bounded size, by exact
-   intersection of 32-bit values; what those find is verified on full sets too. So links between any two members of
-   a band are found, yet pairs inside a component, the bulk of a large group of copies, are never made or emitted.
+   largest component are compared with all members in other components, by their registers, in blocks of bounded size; a
+   large band is first dealt by size, as sets of very different sizes can't be linked. A block gives the likeliest pair of
+   each two components, which is verified; while likely pairs between different components are left, it goes over them
+   once more, with more pairs for each two, and last with all. So links between any two members of a band are found, yet
+   pairs inside a component, the bulk of a large group of copies, are never made or emitted.
 
 Shingles are known by 64-bit hashes; two different ones share a hash with a probability of 1e-13 in a pair of sets of 1000.
-Nothing is capped: blocks only split the work.
+Nothing is capped: blocks and rounds only split the work.
 
 Defined results: null text, or text without words, has an empty set, is linked with nothing and kept; a single word is the
-one shingle of its document; a null doc_id has a null component and is kept; rows that repeat a doc_id share its component.
+one shingle of its document; a null doc_id has a null component and is kept; rows that repeat a doc_id share its component;
+a very long text is one set in memory; columns of other names are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,6 +46,9 @@ LIMIT = 65535
 PERCENT = 80
 LEAST_ESTIMATE = 0.62  # five standard deviations of the estimate below 0.8
 BLOCK = 512
+ROUNDS = (1, 16, None)  # likely pairs that a block gives for each two components
+LEAST_EQUAL = 48  # of 128 registers: a quick test far below what any estimate of LEAST_ESTIMATE has
+FLUSH = 200_000
 CACHED = 300_000
 _M1, _M2, _M3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -127,16 +135,14 @@ def sketches(docs: DataFrame) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame) -> DataFrame:
-    """id, full (64-bit values), short (their distinct low 32 bits) of documents."""
+    """id, full (64-bit values) of documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = word_hashes()
         for b in batches:
-            full = [shingles(t, hashes) for t in as_bytes(b.column(1))]
-            short = [np.unique(s.astype(np.uint32)).tobytes() for s in full]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in full], pa.binary()), pa.array(short, pa.binary())], ["id", "full", "short"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, hashes).tobytes() for t in as_bytes(b.column(1))], pa.binary())], ["id", "full"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, full binary, short binary")
+    return docs.select(F.col("doc_id").cast("long").alias("id"), "text").mapInArrow(run, "id long, full binary")
 
 
 def likely(pairs: DataFrame, reps: DataFrame, least: float = LEAST_ESTIMATE) -> DataFrame:
@@ -172,68 +178,92 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def block_links(rows: list[tuple[bool, int, int, np.ndarray]]) -> list[tuple[int, int]]:
-    """Likely links of a block of (probe, id, comp, short set): one for each two components, from probes to the others.
-
-    Intersections come as a product of incidence matrices over the values that two members share; two values are given
-    away for members whose 32-bit values coincide.
-    """
-    probes = [r for r in rows if r[0]]
-    base = [r for r in rows if not r[0]]
+def block_links(probes: list[tuple], base: list[tuple], most: int | None = None) -> list[tuple[int, int]]:
+    """Likely links of (rep, comp, size, registers) probes with the others in a block: at most so many of the likeliest for each two components."""
     if not probes or not base:
         return []
-    sizes_p, sizes_b = (np.array([len(r[3]) for r in x]) for x in (probes, base))
-    comp_p, comp_b = (np.array([r[2] for r in x]) for x in (probes, base))
-    values, place = np.unique(np.concatenate([r[3] for r in (*probes, *base)]), return_inverse=True)
-    own = np.repeat(np.arange(len(rows)), np.concatenate([sizes_p, sizes_b]))
-    shared = np.bincount(place, minlength=len(values)) > 1
-    keep = shared[place]
-    place, own = (np.cumsum(shared) - 1)[place[keep]], own[keep]
-    inter = np.zeros((len(probes), len(base)), np.float32)
-    order = np.argsort(place, kind="stable")
-    place, own = place[order], own[order]
-    step = 8192
-    for k in range(0, int(shared.sum()), step):
-        a, z = np.searchsorted(place, [k, k + step])
-        grid = np.zeros((len(rows), step), np.float32)
-        grid[own[a:z], place[a:z] - k] = 1
-        inter += grid[: len(probes)] @ grid[len(probes) :].T
-    found = 100 * (inter + 2) >= PERCENT * (sizes_p[:, None] + sizes_b[None, :] - inter - 2)
-    found &= comp_p[:, None] != comp_b[None, :]
+    n_p, n_b = (np.array([r[2] for r in x], float) for x in (probes, base))
+    comp_p, comp_b = (np.array([r[1] for r in x]) for x in (probes, base))
+    reg_p, reg_b = (np.frombuffer(b"".join(r[3] for r in x), "<u2").reshape(len(x), -1) for x in (probes, base))
+    found = []
+    for k in range(len(probes)):
+        some = np.flatnonzero((comp_b != comp_p[k]) & (np.minimum(n_b, n_p[k]) * 100 >= np.maximum(n_b, n_p[k]) * PERCENT))
+        some = some[(reg_b[some] == reg_p[k]).sum(axis=1) >= LEAST_EQUAL]
+        if len(some):
+            est = estimate(np.broadcast_to(reg_p[k], (len(some), reg_p.shape[1])), reg_b[some], np.full(len(some), n_p[k]), n_b[some])
+            found += [(-e, k, j) for e, j in zip(est.tolist(), some.tolist(), strict=True) if e >= LEAST_ESTIMATE]
+    if most is None:
+        return [(probes[k][0], base[j][0]) for _, k, j in found]
+    given: Counter = Counter()
     out = []
-    for i, j in zip(*np.nonzero(found), strict=True):
-        a, b = probes[i], base[j]
-        out.append((a[1], b[1]))
+    for _, k, j in sorted(found):
+        two = (min(comp_p[k], comp_b[j]), max(comp_p[k], comp_b[j]))
+        if given[two] < most:
+            given[two] += 1
+            out.append((probes[k][0], base[j][0]))
     return out
 
 
-def rest_links(members: DataFrame, comp: DataFrame, sets: DataFrame, block: int = BLOCK) -> DataFrame:
+def rest_links(members: DataFrame, comp: DataFrame, reps: DataFrame, most: int | None, block: int | None = None) -> DataFrame:
     """Likely links (a, b) between different components within the bands (h, rep, lo) whose members aren't in one yet."""
+    block = block or BLOCK
     of = comp.select(F.col("node").alias("rep"), "root")
     rows = members.where("rep > lo").join(of, "rep", "left").select("h", "rep", F.coalesce("root", "rep").alias("comp"))
-    sizes = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.groupBy("h").agg(F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.sum("_n").alias("n"), F.max("_n").alias("most")).where("most < n")
-    rows = rows.join(sizes, "h").withColumns({"nb": F.ceil(F.col("n") / block).cast("int"), "np": F.ceil((F.col("n") - F.col("most")) / block).cast("int"), "s": F.xxhash64("rep")})
-    base = rows.select("h", F.pmod("s", "nb").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("j"), F.lit(False).alias("probe"), "rep", "comp")
-    probe = rows.where("comp <> main").select("h", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.pmod("s", "np").cast("int").alias("j"), F.lit(True).alias("probe"), "rep", "comp")
-    dealt = base.unionByName(probe).join(sets.select(F.col("id").alias("rep"), "short"), "rep").select("h", "i", "j", "probe", "rep", "comp", "short")
-    dealt = dealt.repartition(F.col("h"), F.col("i"), F.col("j")).sortWithinPartitions("h", "i", "j")
+
+    def unresolved(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("_n"))
+        sizes = sizes.groupBy("h").agg(F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.sum("_n").alias("n_band"), F.max("_n").alias("most")).where("most < n_band")
+        return rows.join(sizes, "h")
+
+    own = reps.select("rep", "n", "reg")
+    rows = materialize(unresolved(rows).join(own, "rep").select("h", "rep", "comp", "n", "n_band", "reg"), "dup-rest")
+    # Sizes of a link differ by a factor of 0.8 at most: by steps of a factor, it lies in one step or in two that follow each other.
+    step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT))).cast("long")
+    keys = F.when(F.col("n_band") > block, F.array(F.xxhash64("h", step), F.xxhash64("h", step + 1))).otherwise(F.array(F.col("h")))
+    rows = unresolved(rows.withColumn("h", F.explode(keys)).select("h", "rep", "comp", "n", "reg"))
+    rows = rows.withColumns({"nb": F.ceil(F.col("n_band") / block).cast("int"), "np": F.ceil((F.col("n_band") - F.col("most")) / block).cast("int"), "s": F.xxhash64("rep")})
+    base = rows.select("h", F.pmod("s", "nb").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("j"), F.lit(False).alias("probe"), "rep", "comp", "n", "reg")
+    probe = rows.where("comp <> main").select("h", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.pmod("s", "np").cast("int").alias("j"), F.lit(True).alias("probe"), "rep", "comp", "n", "reg")
+    dealt = base.unionByName(probe).repartition(F.col("h"), F.col("i"), F.col("j")).sortWithinPartitions("h", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, found = None, [], set()
+        key: tuple | None = None
+        held: tuple[list, list] = ([], [])
+        pairs: set[tuple[int, int]] = set()
+
+        def given() -> pa.RecordBatch:
+            out = sorted(pairs)
+            pairs.clear()
+            return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
+
+        def closed() -> None:
+            pairs.update((min(p), max(p)) for p in block_links(held[1], held[0], most))
+            held[0].clear()
+            held[1].clear()
+
         for b in batches:
-            for h, i, j, probe_, rep, c, short in zip(*(b.column(k).to_pylist() for k in range(7)), strict=True):
+            for h, i, j, probing, rep, c, n, reg in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
                 if (h, i, j) != key:
-                    found.update(block_links(held))
-                    key, held = (h, i, j), []
-                held.append((probe_, rep, c, np.frombuffer(short, np.uint32)))
-        found.update(block_links(held))
-        pairs = sorted({(min(p), max(p)) for p in found})
-        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], ["a", "b"])
+                    closed()
+                    key = (h, i, j)
+                    if len(pairs) >= FLUSH:
+                        yield given()
+                held[probing].append((rep, c, n, reg))
+        closed()
+        yield given()
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """Components (node, root) after more links (a, b) between nodes."""
+    for side in ("a", "b"):
+        links = links.join(comp.select(F.col("node").alias(side), F.col("root").alias("_r")), side, "left").withColumn(side, F.coalesce("_r", side)).drop("_r")
+    last = components(links.select("a", "b"))
+    moved = comp.join(last.select(F.col("node").alias("root"), F.col("root").alias("_last")), "root", "left").select("node", F.coalesce("_last", "root").alias("root"))
+    return materialize(moved.unionByName(last.join(comp.select("node"), "node", "left_anti").select("node", "root")), "dup-joined")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for docs (doc_id, text)."""
     bounded_batches(docs.sparkSession)
@@ -250,13 +280,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = members.where("rep > lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialize(verified(likely(star, reps), sets), "dup-links")
     comp = materialize(components(links), "dup-components")
-    more = materialize(verified(rest_links(members, comp, sets), sets), "dup-more-links")
-    for side in ("a", "b"):
-        more = more.join(comp.select(F.col("node").alias(side), F.col("root").alias("_r")), side, "left").withColumn(side, F.coalesce("_r", side)).drop("_r")
-    last = components(more.select("a", "b"))
-    joined = comp.join(last.select(F.col("node").alias("root"), F.col("root").alias("_last")), "root", "left").select("node", F.coalesce("_last", "root").alias("root"))
-    final = joined.unionByName(last.join(comp.select("node"), "node", "left_anti").select("node", "root"))
-    own = reps.select("fp", "rep").join(final.select(F.col("node").alias("rep"), "root"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("root"))
+    tried = star
+    for most in ROUNDS:
+        likely_ones = materialize(rest_links(members, comp, reps, most), "dup-likely")
+        if not likely_ones.limit(1).count():
+            break
+        more = materialize(verified(likely_ones.join(tried, ["a", "b"], "left_anti"), sets), "dup-more-links")
+        if more.limit(1).count():
+            comp = joined(comp, more)
+        tried = tried.unionByName(likely_ones)
+    own = reps.select("fp", "rep").join(comp.select(F.col("node").alias("rep"), "root"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("root"))
     # Copies of one set may be a third of all rows: an inner join of many to one, which the adaptive skew join can split.
     linked = all_rows.where("fp is not null and doc_id is not null").join(own, "fp").select("doc_id", "n", F.col("root").alias("component_id"))
     alone = all_rows.where("fp is null or doc_id is null").select("doc_id", "n", F.col("doc_id").alias("component_id"))

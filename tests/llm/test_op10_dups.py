@@ -118,3 +118,41 @@ def test_components(spark, edges):
 
 def test_empty_table(spark, tmp_path):
     assert op.op10_setsketch(spark, write(spark, tmp_path, documents=documents(spark, []))).count() == 0
+
+
+def test_templates_and_small_sets(spark, tmp_path, monkeypatch):
+    """A hot template whose copies are similar but for the most part not linked, with linked ones among them, and links of few shingles."""
+    monkeypatch.setattr(op, "BLOCK", 16)
+    rnd = random.Random(8)
+    vocab = [f"v{k}" for k in range(4000)]
+
+    def text(n):
+        return [rnd.choice(vocab) for _ in range(n)]
+
+    rows, k = [], 0
+    template = text(70)
+    for _ in range(120):  # similarity 0.5 to 0.75 to each other
+        w = template + text(rnd.randint(12, 22))
+        rows.append((k := k + 1, " ".join(w), "en", "s", 0))
+        if rnd.random() < 0.3:
+            w[rnd.randrange(len(w))] = rnd.choice(vocab)
+            rows.append((k := k + 1, " ".join(w), "en", "s", 0))
+    for n in range(5, 13):
+        for _ in range(8):
+            w = text(n + 1)
+            rows += [(k := k + 1, " ".join(w), "en", "s", 0), (k := k + 1, " ".join(w[:-1]), "en", "s", 0)]
+    rnd.shuffle(rows)
+    check(spark, write(spark, tmp_path, documents=documents(spark, rows)), rows)
+
+
+def test_a_block_gives_one_pair_for_two_components():
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 2**63, 200, np.uint64)
+    rows = []
+    for k in range(60):
+        values = np.concatenate([common, rng.integers(0, 2**63, 30, np.uint64)])
+        rows.append((k, k % 3, len(values), op.registers(values).tobytes()))
+    probes, base = [r for r in rows if r[1]], rows
+    assert len(op.block_links(probes, base, 1)) == 3
+    assert len(op.block_links(probes, base, 5)) == 15
+    assert len({(min(p), max(p)) for p in op.block_links(probes, base)}) > 900
