@@ -10,14 +10,14 @@ that share a band are candidates. At similarity 0.8 a link escapes all 32 bands
    many registers are larger, smaller and equal, given both sizes; what is estimated below `LEAST_ESTIMATE` goes, five standard
    deviations below 0.8, so a link is lost there with a probability of 3e-7. The rest is verified on full sets.
 3. Links become components. Bands whose members are in one component are done; in the others, members outside the
-   largest component are compared with all members in other components, by their registers, in blocks of bounded size; a
-   large band is first dealt by size, as sets of very different sizes can't be linked. A block gives the likeliest pair of
-   each two components, which is verified; while likely pairs between different components are left, it goes over them
-   once more, with more pairs for each two, and last with all. So links between any two members of a band are found, yet
-   pairs inside a component, the bulk of a large group of copies, are never made or emitted.
+   largest component are compared with all members in other components, in blocks of bounded size; a large band is
+   first dealt by size, as sets of very different sizes can't be linked. A block estimates by registers first and
+   verifies what is likely on full sets, likeliest first; it gives one link for each two components that it joins, so no
+   more than it has members. So links between any two members of a band are found, yet pairs inside a component, the bulk
+   of a large group of copies, are never made.
 
 Shingles are known by 64-bit hashes; two different ones share a hash with a probability of 1e-13 in a pair of sets of 1000.
-Nothing is capped: blocks and rounds only split the work.
+Nothing is capped: blocks only split the work.
 
 Defined results: null text, or text without words, has an empty set, is linked with nothing and kept; a single word is the
 one shingle of its document; a null doc_id has a null component and is kept; rows that repeat a doc_id share its component;
@@ -26,7 +26,6 @@ a very long text is one set in memory; columns of other names are not read; an e
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -46,7 +45,6 @@ LIMIT = 65535
 PERCENT = 80
 LEAST_ESTIMATE = 0.62  # five standard deviations of the estimate below 0.8
 BLOCK = 512
-ROUNDS = (1, 16, None)  # likely pairs that a block gives for each two components
 LEAST_EQUAL = 48  # of 128 registers: a quick test far below what any estimate of LEAST_ESTIMATE has
 FLUSH = 200_000
 CACHED = 300_000
@@ -178,34 +176,53 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
-def block_links(probes: list[tuple], base: list[tuple], most: int | None = None) -> list[tuple[int, int]]:
-    """Likely links of (rep, comp, size, registers) probes with the others in a block: at most so many of the likeliest for each two components."""
+def intersections(one: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """Sizes of a set's intersections with others, all ascending and not empty."""
+    values = np.concatenate(others)
+    hit = one[np.minimum(np.searchsorted(one, values), len(one) - 1)] == values
+    return np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum([len(x) for x in others])[:-1]]))
+
+
+def block_links(probes: list[tuple], base: list[tuple]) -> list[tuple[int, int]]:
+    """Links of (rep, comp, size, registers, set) probes with the others in a block that join its components, one for each two joined."""
     if not probes or not base:
         return []
     n_p, n_b = (np.array([r[2] for r in x], float) for x in (probes, base))
-    comp_p, comp_b = (np.array([r[1] for r in x]) for x in (probes, base))
     reg_p, reg_b = (np.frombuffer(b"".join(r[3] for r in x), "<u2").reshape(len(x), -1) for x in (probes, base))
-    found = []
-    for k in range(len(probes)):
-        some = np.flatnonzero((comp_b != comp_p[k]) & (np.minimum(n_b, n_p[k]) * 100 >= np.maximum(n_b, n_p[k]) * PERCENT))
-        some = some[(reg_b[some] == reg_p[k]).sum(axis=1) >= LEAST_EQUAL]
-        if len(some):
-            est = estimate(np.broadcast_to(reg_p[k], (len(some), reg_p.shape[1])), reg_b[some], np.full(len(some), n_p[k]), n_b[some])
-            found += [(-e, k, j) for e, j in zip(est.tolist(), some.tolist(), strict=True) if e >= LEAST_ESTIMATE]
-    if most is None:
-        return [(probes[k][0], base[j][0]) for _, k, j in found]
-    given: Counter = Counter()
+    sets = [np.frombuffer(r[4], np.uint64) for r in base]
+    root = {c: c for r in (*probes, *base) for c in (r[1],)}
+    comps, place = np.unique([r[1] for r in base], return_inverse=True)
+    roots = comps.copy()  # of each component in the base
+
+    def find(c: int) -> int:
+        while root[c] != c:
+            root[c] = root[root[c]]
+            c = root[c]
+        return c
+
     out = []
-    for _, k, j in sorted(found):
-        two = (min(comp_p[k], comp_b[j]), max(comp_p[k], comp_b[j]))
-        if given[two] < most:
-            given[two] += 1
-            out.append((probes[k][0], base[j][0]))
+    for k, (rep, comp, _, _, full) in enumerate(probes):
+        mine = find(comp)
+        some = np.flatnonzero((roots[place] != mine) & (np.minimum(n_b, n_p[k]) * 100 >= np.maximum(n_b, n_p[k]) * PERCENT))
+        some = some[(reg_b[some] == reg_p[k]).sum(axis=1) >= LEAST_EQUAL]
+        if not len(some):
+            continue
+        est = estimate(np.broadcast_to(reg_p[k], (len(some), reg_p.shape[1])), reg_b[some], np.full(len(some), n_p[k]), n_b[some])
+        some = some[est >= LEAST_ESTIMATE][np.argsort(-est[est >= LEAST_ESTIMATE], kind="stable")]
+        for at in range(0, len(some), 32):  # likeliest first; those of a component that was joined meanwhile are left out
+            few = [j for j in some[at : at + 32].tolist() if roots[place[j]] != mine]
+            if not few:
+                continue
+            for j, inter in zip(few, intersections(np.frombuffer(full, np.uint64), [sets[j] for j in few]).tolist(), strict=True):
+                if roots[place[j]] != mine and similar(inter, n_p[k], n_b[j]):
+                    out.append((rep, base[j][0]))
+                    root[find(base[j][1])] = mine
+                    roots = np.array([find(c) for c in comps])
     return out
 
 
-def rest_links(members: DataFrame, comp: DataFrame, reps: DataFrame, most: int | None, block: int | None = None) -> DataFrame:
-    """Likely links (a, b) between different components within the bands (h, rep, lo) whose members aren't in one yet."""
+def rest_links(members: DataFrame, comp: DataFrame, reps: DataFrame, sets: DataFrame, block: int | None = None) -> DataFrame:
+    """Links (a, b) that join components within the bands (h, rep, lo) whose members aren't in one yet."""
     block = block or BLOCK
     of = comp.select(F.col("node").alias("rep"), "root")
     rows = members.where("rep > lo").join(of, "rep", "left").select("h", "rep", F.coalesce("root", "rep").alias("comp"))
@@ -215,16 +232,16 @@ def rest_links(members: DataFrame, comp: DataFrame, reps: DataFrame, most: int |
         sizes = sizes.groupBy("h").agg(F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.sum("_n").alias("n_band"), F.max("_n").alias("most")).where("most < n_band")
         return rows.join(sizes, "h")
 
-    own = reps.select("rep", "n", "reg")
-    rows = materialize(unresolved(rows).join(own, "rep").select("h", "rep", "comp", "n", "n_band", "reg"), "dup-rest")
+    rows = materialize(unresolved(rows).join(reps.select("rep", "n"), "rep").select("h", "rep", "comp", "n", "n_band"), "dup-rest")
     # Sizes of a link differ by a factor of 0.8 at most: by steps of a factor, it lies in one step or in two that follow each other.
     step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT))).cast("long")
     keys = F.when(F.col("n_band") > block, F.array(F.xxhash64("h", step), F.xxhash64("h", step + 1))).otherwise(F.array(F.col("h")))
-    rows = unresolved(rows.withColumn("h", F.explode(keys)).select("h", "rep", "comp", "n", "reg"))
+    rows = unresolved(rows.withColumn("h", F.explode(keys)).select("h", "rep", "comp", "n"))
     rows = rows.withColumns({"nb": F.ceil(F.col("n_band") / block).cast("int"), "np": F.ceil((F.col("n_band") - F.col("most")) / block).cast("int"), "s": F.xxhash64("rep")})
-    base = rows.select("h", F.pmod("s", "nb").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("j"), F.lit(False).alias("probe"), "rep", "comp", "n", "reg")
-    probe = rows.where("comp <> main").select("h", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.pmod("s", "np").cast("int").alias("j"), F.lit(True).alias("probe"), "rep", "comp", "n", "reg")
-    dealt = base.unionByName(probe).repartition(F.col("h"), F.col("i"), F.col("j")).sortWithinPartitions("h", "i", "j")
+    base = rows.select("h", F.pmod("s", "nb").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("j"), F.lit(False).alias("probe"), "rep", "comp", "n")
+    probe = rows.where("comp <> main").select("h", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.pmod("s", "np").cast("int").alias("j"), F.lit(True).alias("probe"), "rep", "comp", "n")
+    own = reps.select("rep", "reg").join(sets.select(F.col("id").alias("rep"), "full"), "rep")
+    dealt = base.unionByName(probe).join(own, "rep").select("h", "i", "j", "probe", "rep", "comp", "n", "reg", "full").repartition(F.col("h"), F.col("i"), F.col("j")).sortWithinPartitions("h", "i", "j")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key: tuple | None = None
@@ -237,18 +254,18 @@ def rest_links(members: DataFrame, comp: DataFrame, reps: DataFrame, most: int |
             return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], ["a", "b"])
 
         def closed() -> None:
-            pairs.update((min(p), max(p)) for p in block_links(held[1], held[0], most))
+            pairs.update((min(p), max(p)) for p in block_links(held[1], held[0]))
             held[0].clear()
             held[1].clear()
 
         for b in batches:
-            for h, i, j, probing, rep, c, n, reg in zip(*(b.column(k).to_pylist() for k in range(8)), strict=True):
+            for h, i, j, probing, rep, c, n, reg, full in zip(*(b.column(k).to_pylist() for k in range(9)), strict=True):
                 if (h, i, j) != key:
                     closed()
                     key = (h, i, j)
                     if len(pairs) >= FLUSH:
                         yield given()
-                held[probing].append((rep, c, n, reg))
+                held[probing].append((rep, c, n, reg, full))
         closed()
         yield given()
 
@@ -280,15 +297,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     star = members.where("rep > lo").select(F.col("lo").alias("a"), F.col("rep").alias("b")).distinct()
     links = materialize(verified(likely(star, reps), sets), "dup-links")
     comp = materialize(components(links), "dup-components")
-    tried = star
-    for most in ROUNDS:
-        likely_ones = materialize(rest_links(members, comp, reps, most), "dup-likely")
-        if not likely_ones.limit(1).count():
-            break
-        more = materialize(verified(likely_ones.join(tried, ["a", "b"], "left_anti"), sets), "dup-more-links")
-        if more.limit(1).count():
-            comp = joined(comp, more)
-        tried = tried.unionByName(likely_ones)
+    comp = joined(comp, materialize(rest_links(members, comp, reps, sets), "dup-more-links"))
     own = reps.select("fp", "rep").join(comp.select(F.col("node").alias("rep"), "root"), "rep", "left").select("fp", F.coalesce("root", "rep").alias("root"))
     # Copies of one set may be a third of all rows: an inner join of many to one, which the adaptive skew join can split.
     linked = all_rows.where("fp is not null and doc_id is not null").join(own, "fp").select("doc_id", "n", F.col("root").alias("component_id"))

@@ -145,14 +145,20 @@ def test_templates_and_small_sets(spark, tmp_path, monkeypatch):
     check(spark, write(spark, tmp_path, documents=documents(spark, rows)), rows)
 
 
-def test_a_block_gives_one_pair_for_two_components():
+def test_a_block_gives_one_link_for_two_components():
+    """Components whose members are all alike or all likely: as many links as joins, none where nothing is linked."""
     rng = np.random.default_rng(3)
-    common = rng.integers(0, 2**63, 200, np.uint64)
-    rows = []
-    for k in range(60):
-        values = np.concatenate([common, rng.integers(0, 2**63, 30, np.uint64)])
-        rows.append((k, k % 3, len(values), op.registers(values).tobytes()))
-    probes, base = [r for r in rows if r[1]], rows
-    assert len(op.block_links(probes, base, 1)) == 3
-    assert len(op.block_links(probes, base, 5)) == 15
-    assert len({(min(p), max(p)) for p in op.block_links(probes, base)}) > 900
+
+    def rows(shared, own, n=60, comps=3):
+        common, out = rng.integers(0, 2**63, shared, np.uint64), []
+        for k in range(n):
+            values = np.unique(np.concatenate([common, rng.integers(0, 2**63, own, np.uint64)]))
+            out.append((k, k % comps, len(values), op.registers(values).tobytes(), values.tobytes()))
+        return out
+
+    linked, likely = rows(200, 10), rows(200, 35)
+    assert len(op.block_links([r for r in linked if r[1]], linked)) == 2
+    assert op.block_links([r for r in likely if r[1]], likely) == []
+    some = [np.unique(rng.integers(0, 50, n, np.uint64)) for n in (1, 9, 40)]
+    one = np.unique(rng.integers(0, 50, 20, np.uint64))
+    assert op.intersections(one, some).tolist() == [len(np.intersect1d(one, x)) for x in some]
