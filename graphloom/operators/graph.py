@@ -205,20 +205,32 @@ def transitions(graph: DataFrame, p: float = 1.0, q: float = 1.0) -> DataFrame:
     return rows.withColumn("prob", F.col("_w") / F.sum("_w").over(Window.partitionBy("prev", "cur"))).select("prev", "cur", "nxt", "prob")
 
 
-def biased_walks(graph: DataFrame, starts: DataFrame, length: int, walks: int = 1, p: float = 1.0, q: float = 1.0, seed: int = 0) -> DataFrame:
-    """walk, start, path: second-order walks; nodes may come again, dead ends stop."""
-    table = transitions(graph, p, q).groupBy("prev", "cur").agg(F.array_sort(F.collect_list(F.struct("nxt", "prob"))).alias("opts"))
-    table = written(table, "n2v-transitions")
-    first = written(adjacency(symmetric(graph)), "n2v-adjacency").select(F.col("src").alias("start"), "nbrs")
+def biased_walks(graph: DataFrame, starts: DataFrame, length: int, walks: int = 1, p: float = 1.0, q: float = 1.0, seed: int = 0, own: DataFrame | None = None) -> DataFrame:
+    """walk, start, path: second-order walks; nodes may come again, dead ends stop. own: (node, p, q) that override p and q at nodes.
+
+    A step joins the walkers with the edges of where they stand and with those of where they came from, so there are rows
+    for the walks alone, not for every pair of edges; the next node is drawn by running weights in order of the node.
+    """
+    sym = written(symmetric(graph), "n2v-edges")
+    hops = sym.select(F.col("src").alias("cur"), F.col("dst").alias("nxt"), "w")
+    near = sym.select(F.col("src").alias("prev"), F.col("dst").alias("nxt"), F.lit(True).alias("_near"))
+    first = written(adjacency(sym), "n2v-adjacency").select(F.col("src").alias("start"), "nbrs")
     state = starts.select(F.col("node").alias("start"), F.explode(F.sequence(F.lit(0), F.lit(walks - 1))).alias("walk"))
     u = uniform(seed, F.col("start"), F.col("walk"), F.lit(1))
     state = state.join(first, "start", "left").withColumn("cur", F.get("nbrs", F.floor(u * F.size("nbrs")).cast("int")))
     state = state.select("start", "walk", F.array_compact(F.array("start", "cur")).alias("path"), F.when(F.col("cur").isNotNull(), F.col("start")).alias("prev"), "cur")
     for step in range(2, length):
+        rows = state.select("start", "walk", "prev", "cur").join(hops, "cur").join(near, ["prev", "nxt"], "left")
+        back, out = F.lit(p), F.lit(q)
+        if own is not None:
+            rows = rows.join(own.select(F.col("node").alias("cur"), F.col("p").alias("_p"), F.col("q").alias("_q")), "cur", "left")
+            back, out = F.coalesce("_p", back), F.coalesce("_q", out)
+        weight = F.when(F.col("nxt") == F.col("prev"), F.col("w") / back).when(F.col("_near"), F.col("w")).otherwise(F.col("w") / out)
+        here = Window.partitionBy("start", "walk")
+        rows = rows.withColumn("_x", weight).withColumns({"_c": F.sum("_x").over(here.orderBy("nxt").rowsBetween(Window.unboundedPreceding, Window.currentRow)), "_t": F.sum("_x").over(here)})
         u = uniform(seed, F.col("start"), F.col("walk"), F.lit(step))
-        joined = state.join(table, ["prev", "cur"], "left")
-        hit = F.aggregate("opts", F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("long").alias("nxt")), lambda a, x: F.struct((a["sum"] + x["prob"]).alias("sum"), F.when(a["nxt"].isNull() & (a["sum"] + x["prob"] > u * 0.999999999), x["nxt"]).otherwise(a["nxt"]).alias("nxt")))
-        state = joined.withColumn("_n", hit["nxt"]).select("start", "walk", F.when(F.col("_n").isNotNull(), F.concat("path", F.array("_n"))).otherwise(F.col("path")).alias("path"), F.when(F.col("_n").isNotNull(), F.col("cur")).alias("prev"), F.col("_n").alias("cur"))
+        drawn = rows.where(F.col("_c") > u * 0.999999999 * F.col("_t")).groupBy("start", "walk").agg(F.min("nxt").alias("_n"))
+        state = state.join(drawn, ["start", "walk"], "left").select("start", "walk", F.when(F.col("_n").isNotNull(), F.concat("path", F.array("_n"))).otherwise(F.col("path")).alias("path"), F.when(F.col("_n").isNotNull(), F.col("cur")).alias("prev"), F.col("_n").alias("cur"))
         if step % 5 == 0:
             state = written(state, "n2v-walks")
     return state.select("walk", "start", "path")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphloom.functions import box, segment
@@ -67,8 +67,22 @@ def right_biased(first: DataFrame, second: DataFrame, key: str) -> DataFrame:
 
 
 def contains_once(ids: DataFrame, names: DataFrame) -> DataFrame:
-    """id, name where exactly one name contains the id; ids with none or several hits are dropped."""
-    hits = ids.join(names, F.col("name").contains(F.col("id")))
+    """id, name where exactly one name contains the id; ids with none or several hits are dropped.
+
+    Names are cut into their distinct substrings of the lengths that ids have, so it is an equi-join: rows grow with the names'
+    lengths, never with ids times names. An empty id is in every name.
+    """
+    lengths = sorted(r[0] for r in ids.select(F.length("id")).where("id is not null").distinct().collect())  # no more than the longest id has letters
+
+    def cuts(n: int) -> Column:
+        if not n:
+            return F.array(F.lit(""))
+        found = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("name") - n + 1)), lambda k: F.substring("name", k, F.lit(n)))
+        return F.when(F.length("name") >= n, found).otherwise(F.array().cast("array<string>"))
+
+    every = F.concat(*map(cuts, lengths)) if lengths else F.array().cast("array<string>")
+    parts = names.select("name", F.explode(F.array_distinct(every)).alias("id"))
+    hits = ids.join(parts, "id")
     return hits.groupBy("id").agg(F.count(F.lit(1)).alias("_n"), F.min("name").alias("name")).where("_n = 1").drop("_n")
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,12 +21,6 @@ def query(sql: str | None = None) -> Callable:
     return register
 
 
-def whole(*queries: Callable[..., DataFrame]) -> None:
-    """Registers NAME_whole, over all rows, for queries whose SQL is fixed to a part of them; without SQL, see tests/test_whole.py."""
-    for f in queries:
-        QUERIES[f"{f.__name__}_whole"] = partial(f, part=False)
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import vector
 from graphloom.functions.rand import uniform, uniform_sql
 from graphloom.operators import cluster, embed, validate
-from graphloom.plans.base import ASSIGNED, CENTERS, POINTS, first_centers, points, query, whole
+from graphloom.plans.base import ASSIGNED, CENTERS, POINTS, first_centers, points, query
 
 WITH = f"WITH {POINTS}, {CENTERS}, {ASSIGNED}"
 LONG = "long AS (SELECT id, generate_subscripts(v, 1) - 1 AS pos, unnest(v) AS x FROM pts)"
@@ -114,18 +114,16 @@ def g8_mean_log_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _resp(points(spark, sf_dir)).where("k = 0").agg(F.round(F.avg("total"), 6).alias("bound"))
 
 
-@query(f"""{RESP}, four AS (SELECT id, generate_subscripts(v[1:4], 1) - 1 AS i, unnest(v[1:4]) AS x FROM pts), nk AS (SELECT k, sum(resp) + 10 * 2.220446049250313e-16 AS nk FROM resp GROUP BY k),
-mu AS (SELECT k, i, sum(resp * x) / any_value(nk) AS mu FROM resp JOIN four USING (id) JOIN nk USING (k) GROUP BY k, i),
-cov AS (SELECT r.k, a.i, b.i AS j, sum(resp * (a.x - m.mu) * (b.x - n.mu)) / any_value(nk) + CASE WHEN a.i = b.i THEN 1e-6 ELSE 0 END AS cov FROM resp r JOIN four a ON a.id = r.id JOIN four b ON b.id = r.id JOIN mu m ON m.k = r.k AND m.i = a.i JOIN mu n ON n.k = r.k AND n.i = b.i JOIN nk ON nk.k = r.k GROUP BY r.k, a.i, b.i)
+@query(f"""{RESP}, long_ AS (SELECT id, generate_subscripts(v, 1) - 1 AS i, unnest(v) AS x FROM pts), nk AS (SELECT k, sum(resp) + 10 * 2.220446049250313e-16 AS nk FROM resp GROUP BY k),
+mu AS (SELECT k, i, sum(resp * x) / any_value(nk) AS mu FROM resp JOIN long_ USING (id) JOIN nk USING (k) GROUP BY k, i),
+cov AS (SELECT r.k, a.i, b.i AS j, sum(resp * (a.x - m.mu) * (b.x - n.mu)) / any_value(nk) + CASE WHEN a.i = b.i THEN 1e-6 ELSE 0 END AS cov FROM resp r JOIN long_ a ON a.id = r.id JOIN long_ b ON b.id = r.id JOIN mu m ON m.k = r.k AND m.i = a.i JOIN mu n ON n.k = r.k AND n.i = b.i JOIN nk ON nk.k = r.k GROUP BY r.k, a.i, b.i)
 SELECT CAST(k AS BIGINT) AS k, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(cov, 7) AS cov FROM cov""")
-def g6_c4_weighted_covariance(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
+def g6_c4_weighted_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    _, _, cov = cluster.weighted_parameters(p.select("id", F.slice("v", 1, 4).alias("v") if part else "v"), _resp(p).select("id", "k", "resp"))
+    _, _, cov = cluster.weighted_parameters(p.select("id", "v"), _resp(p).select("id", "k", "resp"))
     return cov.select(*(F.col(c).cast("long").alias(c) for c in ("k", "i", "j")), F.round("cov", 7).alias("cov"))
 
 
-whole(g6_c4_weighted_covariance)
-
 
 @query()
 def c1_kmeans_estimator(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -145,7 +143,7 @@ def c14_pca(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.project(points(spark, sf_dir), 2)
 
 
-@query(f"WITH {POINTS} SELECT count(*) AS rows, count(DISTINCT len(v)) AS widths, CAST(sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls, CAST(0 AS BIGINT) AS not_finite FROM pts")
+@query(f"WITH {POINTS} SELECT count(*) AS rows, count(DISTINCT len(v)) AS widths, CAST(sum(CASE WHEN v IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS nulls, CAST(sum(len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x)))) AS BIGINT) AS not_finite FROM pts")
 def v1_v6_vector_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.vector_report(points(spark, sf_dir))
 

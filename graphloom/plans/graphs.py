@@ -10,7 +10,7 @@ from graphloom.functions.vector import EDGE_FEATURES
 from graphloom.operators import embed, joins, validate
 from graphloom.operators import graph as G
 from graphloom.operators.prefix import positions
-from graphloom.plans.base import EDGES, GRAPH, POINTS, part_edges, partition, points, query, whole
+from graphloom.plans.base import EDGES, GRAPH, POINTS, part_edges, partition, points, query
 
 WITH = f"WITH {GRAPH}"
 DEG = "deg AS (SELECT node, sum(w) AS degree FROM (SELECT src AS node, w FROM graph UNION ALL SELECT dst, w FROM graph) GROUP BY node)"
@@ -120,18 +120,17 @@ def c5_pagerank_five_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.pagerank(part_edges(spark, sf_dir), rounds=5, tol=0.0).select("node", F.round("rank", 9).alias("rank"))
 
 
-SMALL = WITH.replace("WHERE dst IS NOT NULL", "WHERE src <= 300 AND dst <= 300 AND dst IS NOT NULL")
+SECOND = "e1.src AS prev, e1.dst AS cur, e2.dst AS nxt, CASE WHEN e2.dst = e1.src THEN e2.w / 2.0 WHEN e3.src IS NOT NULL THEN e2.w ELSE e2.w / 4.0 END AS w"
 
 
-def _small(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    edges = part_edges(spark, sf_dir)
-    return G.undirected(edges.where("src <= 300 and dst <= 300") if part else edges)
-
-
-@query(f"""{SMALL}, t AS (SELECT e1.src AS prev, e1.dst AS cur, e2.dst AS nxt, CASE WHEN e2.dst = e1.src THEN e2.w / 2.0 WHEN e3.src IS NOT NULL THEN e2.w ELSE e2.w / 4.0 END AS w FROM sym e1 JOIN sym e2 ON e2.src = e1.dst LEFT JOIN sym e3 ON e3.src = e1.src AND e3.dst = e2.dst)
-SELECT prev, cur, nxt, round(w / sum(w) OVER (PARTITION BY prev, cur), 9) AS prob FROM t""")
-def j9_c8_transitions(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    return G.transitions(_small(spark, sf_dir, part), 2.0, 4.0).select("prev", "cur", "nxt", F.round("prob", 9).alias("prob"))
+@query(f"""{WITH}, t AS (SELECT {SECOND} FROM sym e1 JOIN sym e2 ON e2.src = e1.dst LEFT JOIN sym e3 ON e3.src = e1.src AND e3.dst = e2.dst),
+pr AS (SELECT prev, cur, nxt, w / sum(w) OVER (PARTITION BY prev, cur) AS prob FROM t)
+SELECT prev, cur, count(*) AS n, round(max(CASE WHEN nxt = prev THEN prob END), 9) AS back, round(max(prob), 9) AS most, round(sum(prob * (nxt % 7)), 6) AS mixed FROM pr GROUP BY prev, cur""")
+def j9_c8_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All second-order steps of the whole graph, told by step's first edge."""
+    t = G.transitions(_graph(spark, sf_dir), 2.0, 4.0)
+    back = F.max(F.when(F.col("nxt") == F.col("prev"), F.col("prob")))
+    return t.groupBy("prev", "cur").agg(F.count(F.lit(1)).alias("n"), F.round(back, 9).alias("back"), F.round(F.max("prob"), 9).alias("most"), F.round(F.sum(F.col("prob") * F.pmod("nxt", F.lit(7))), 6).alias("mixed"))
 
 
 @query(f"{WITH} SELECT node FROM nodes UNION SELECT p_partkey FROM part WHERE p_partkey % 3 = 0")
@@ -191,23 +190,20 @@ def c7_random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.random_walks(g, G.nodes(g), length=6, walks=1, seed=5).select("start", F.concat_ws("-", F.col("path").cast("array<string>")).alias("path"))
 
 
-HOP = """w{m} AS (SELECT start, CASE WHEN n IS NULL THEN path ELSE list_append(path, n) END AS path, CASE WHEN n IS NOT NULL THEN cur END AS prev, n AS cur FROM (
-SELECT start, any_value(path) AS path, any_value(w{n}.cur) AS cur, min(nxt) FILTER (WHERE c > {u} * 0.999999999) AS n FROM w{n} LEFT JOIN cum ON cum.prev = w{n}.prev AND cum.cur = w{n}.cur GROUP BY start))"""
+HOP = """t{m} AS (SELECT start, e2.dst AS nxt, CASE WHEN e2.dst = prev THEN e2.w / 2.0 WHEN e3.src IS NOT NULL THEN e2.w ELSE e2.w / 4.0 END AS x FROM w{n} JOIN sym e2 ON e2.src = cur LEFT JOIN sym e3 ON e3.src = prev AND e3.dst = e2.dst),
+c{m} AS (SELECT start, nxt, sum(x) OVER (PARTITION BY start ORDER BY nxt) AS c, sum(x) OVER (PARTITION BY start) AS total FROM t{m}),
+n{m} AS (SELECT start, min(nxt) FILTER (WHERE c > {u} * 0.999999999 * total) AS n FROM c{m} GROUP BY start),
+w{m} AS (SELECT w{n}.start, CASE WHEN n IS NULL THEN path ELSE list_append(path, n) END AS path, CASE WHEN n IS NOT NULL THEN w{n}.cur END AS prev, n AS cur FROM w{n} LEFT JOIN n{m} ON n{m}.start = w{n}.start)"""
 
 
-@query(f"""{SMALL}, adj AS (SELECT src, list_sort(list(dst)) AS nbrs FROM sym GROUP BY src),
-t AS (SELECT e1.src AS prev, e1.dst AS cur, e2.dst AS nxt, CASE WHEN e2.dst = e1.src THEN e2.w / 2.0 WHEN e3.src IS NOT NULL THEN e2.w ELSE e2.w / 4.0 END AS w FROM sym e1 JOIN sym e2 ON e2.src = e1.dst LEFT JOIN sym e3 ON e3.src = e1.src AND e3.dst = e2.dst),
-pr AS (SELECT prev, cur, nxt, w / sum(w) OVER (PARTITION BY prev, cur) AS p FROM t), cum AS MATERIALIZED (SELECT prev, cur, nxt, sum(p) OVER (PARTITION BY prev, cur ORDER BY nxt) AS c FROM pr),
+@query(f"""{WITH}, adj AS (SELECT src, list_sort(list(dst)) AS nbrs FROM sym GROUP BY src),
 w1 AS (SELECT node AS start, [node, nbrs[1 + CAST(floor({uniform_sql(5, 'node', '0', '1')} * len(nbrs)) AS BIGINT)]] AS path, node AS prev, nbrs[1 + CAST(floor({uniform_sql(5, 'node', '0', '1')} * len(nbrs)) AS BIGINT)] AS cur FROM nodes JOIN adj ON adj.src = node),
 {', '.join(HOP.format(m=k, n=k - 1, u=uniform_sql(5, 'start', '0', str(k))) for k in range(2, 5))} SELECT start, array_to_string(path, '-') AS path FROM w4""")
-def c8_biased_walks(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    g = _small(spark, sf_dir, part)
+def c8_biased_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = _graph(spark, sf_dir)
     return G.biased_walks(g, G.nodes(g), length=5, walks=1, p=2.0, q=4.0, seed=5).select("start", F.concat_ws("-", F.col("path").cast("array<string>")).alias("path"))
 
 
-whole(j9_c8_transitions, c8_biased_walks)
-
-
 @query()
 def c9_deepwalk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.deepwalk(part_edges(spark, sf_dir), size=8, length=5, walks=1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import segment
 from graphloom.functions.rand import uniform_sql
 from graphloom.operators import cluster, detect, joins, validate, windows
-from graphloom.plans.base import DETECTIONS, ITEMS, SEGMENTS, detections, items, query, read, segments, truths, whole
+from graphloom.plans.base import DETECTIONS, ITEMS, SEGMENTS, detections, items, query, read, segments, truths
 from graphloom.sources.readers import class_dictionary
 from graphloom.streaming.windows import event_windows
 
@@ -123,33 +123,32 @@ def w12_mask_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     return windows.mask_cells(seg, seg, "item", 512, 64).select("item", F.col("cell").cast("long").alias("cell"), F.col("mask").cast("long").alias("mask"))
 
 
-def _pairs(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
+def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detections with the segments of their item that they overlap (inclusive ends)."""
     seg = segments(spark, sf_dir)
-    d = detections(seg).select("item", F.col("id").alias("aid"), F.col("x1").alias("a1"), F.col("x2").alias("a2"))
-    rows = d.join(seg.select("item", F.col("id").alias("gid"), F.col("s").alias("g1"), F.col("e").alias("g2")), "item")
-    return rows.where(F.abs(F.col("aid") - F.col("gid")) <= 400) if part else rows
+    d = detections(seg).select("item", F.col("id").alias("aid"), F.col("x1").alias("a1"), F.col("x2").alias("a2"), (F.col("x2") + 1).alias("_a3"))
+    g = seg.select("item", F.col("id").alias("gid"), F.col("s").alias("g1"), F.col("e").alias("g2"), (F.col("e") + 1).alias("_g3"))
+    return joins.interval(d, g, "item", ("a1", "_a3"), ("g1", "_g3"), bucket=float(WIN)).drop("_a3", "_g3")
 
 
-PAIRS = f"{WITH}, {DETECTIONS}, pairs AS (SELECT det.item, det.id AS aid, x1 AS a1, x2 AS a2, seg.id AS gid, s AS g1, e AS g2 FROM det JOIN seg ON det.item = seg.item WHERE abs(det.id - seg.id) <= 400)"
+PAIRS = f"{WITH}, {DETECTIONS}, pairs AS (SELECT det.item, det.id AS aid, x1 AS a1, x2 AS a2, seg.id AS gid, s AS g1, e AS g2 FROM det JOIN seg ON det.item = seg.item WHERE x1 < e + 1 AND x2 + 1 > s)"
 IOU = "CASE WHEN a2 - a1 + 1 = 1 THEN -1.0 WHEN g2 - g1 + 1 = 1 THEN 0.0 ELSE greatest(least(a2, g2) - greatest(a1, g1) + 1, 0) / ((a2 - a1 + 1) + (g2 - g1 + 1) - greatest(least(a2, g2) - greatest(a1, g1) + 1, 0)) END::DOUBLE"
 
 
 @query(f"{PAIRS} SELECT item, aid, gid, round({IOU}, 9) AS iou FROM pairs")
-def j3_segment_iou(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    return _pairs(spark, sf_dir, part).select("item", "aid", "gid", F.round(segment.iou(F.col("a1"), F.col("a2"), F.col("g1"), F.col("g2")), 9).alias("iou"))
+def j3_segment_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pairs(spark, sf_dir).select("item", "aid", "gid", F.round(segment.iou(F.col("a1"), F.col("a2"), F.col("g1"), F.col("g2")), 9).alias("iou"))
 
 
 ENCODED = "enc AS (SELECT *, ((g1 + (g2 - g1 + 1) * 0.5) - (a1 + (a2 - a1 + 1) * 0.5)) / (a2 - a1 + 1) AS dx, ln((g2 - g1 + 1) / (a2 - a1 + 1)) AS dl FROM pairs)"
 
 
 @query(f"{PAIRS}, {ENCODED} SELECT item, aid, gid, round(dx, 6) AS dx, round(dl, 6) AS dl, round((dx - 0.1) / 0.2, 6) AS ndx FROM enc")
-def p3_p6_segment_encode(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
+def p3_p6_segment_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     dx, dl = segment.encode(*(F.col(c) for c in ("a1", "a2", "g1", "g2")))
-    return _pairs(spark, sf_dir, part).select("item", "aid", "gid", F.round(dx, 6).alias("dx"), F.round(dl, 6).alias("dl"), F.round(segment.normalize(dx, 0.1, 0.2), 6).alias("ndx"))
+    return _pairs(spark, sf_dir).select("item", "aid", "gid", F.round(dx, 6).alias("dx"), F.round(dl, 6).alias("dl"), F.round(segment.normalize(dx, 0.1, 0.2), 6).alias("ndx"))
 
 
-whole(j3_segment_iou, p3_p6_segment_encode)
-
 
 @query(f"""{WITH}, {DETECTIONS}, dec AS (SELECT det.*, length, (id % 9 - 4) / 8.0 * (x2 - x1 + 1) + x1 + (x2 - x1 + 1) * 0.5 AS c, exp((id % 5 - 2) / 4.0) * (x2 - x1 + 1) AS l FROM det JOIN items USING (item))
 SELECT item, id, round(c - l * 0.5, 6) AS x1, round(c + l * 0.5, 6) AS x2, round(least(greatest(c - l * 0.5, 0), length - 1), 6) AS cx1, round(least(greatest(c + l * 0.5, 0), length - 1), 6) AS cx2 FROM dec""")
@@ -208,10 +207,10 @@ def r1_l12_sorted_segments_of_known(spark: SparkSession, sf_dir: str) -> DataFra
     return rows.select("item", "id", F.row_number().over(Window.partitionBy("item").orderBy("s", "id")).cast("long").alias("pos"))
 
 
-@query("WITH ids AS (SELECT DISTINCT substr(p_name, 1, 8) AS id FROM part), names AS (SELECT DISTINCT p_name AS name FROM part WHERE p_partkey % 2 = 0), h AS (SELECT id, count(*) AS n, min(name) AS name FROM ids JOIN names ON contains(name, id) GROUP BY id) SELECT id, name FROM h WHERE n = 1")
-def l13_single_substring_match(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
+@query("WITH ids AS (SELECT DISTINCT substr(p_name, 1, 8) AS id FROM part), names AS (SELECT DISTINCT p_name AS name FROM part), h AS (SELECT id, count(*) AS n, min(name) AS name FROM ids JOIN names ON contains(name, id) GROUP BY id) SELECT id, name FROM h WHERE n = 1")
+def l13_single_substring_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = read(spark, sf_dir, "part")
-    return joins.contains_once(p.select(F.substring("p_name", 1, 8).alias("id")).distinct(), p.where("p_partkey % 2 = 0" if part else "true").select(F.col("p_name").alias("name")).distinct())
+    return joins.contains_once(p.select(F.substring("p_name", 1, 8).alias("id")).distinct(), p.select(F.col("p_name").alias("name")).distinct())
 
 
 @query(f"{WITH} SELECT item, id, s, e FROM seg WHERE cls = 2 AND item % 2 = 0")
@@ -219,28 +218,28 @@ def l15_subset_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segments(spark, sf_dir).where("cls = 2 and item % 2 = 0").select("item", "id", "s", "e")
 
 
-@query(f"""{WITH}, {DETECTIONS}, anchors AS (SELECT item, id, x1 AS a1, x2 AS a2 FROM det WHERE id % 4 = 0), tr AS (SELECT item, gid, g1, g2 FROM gt WHERE gid % 2 = 0),
+@query(f"""{WITH}, {DETECTIONS}, anchors AS (SELECT item, id, x1 AS a1, x2 AS a2 FROM det), tr AS (SELECT item, gid, g1, g2 FROM gt),
 p AS (SELECT a.*, g1, g2, {IOU} AS iou FROM anchors a JOIN tr USING (item)), q AS (SELECT *, max(iou) OVER (PARTITION BY item, g1, g2) AS gmax FROM p),
 b AS (SELECT item, id, a1, a2, max(iou) AS best, max(CASE WHEN iou = gmax AND gmax > 0 THEN 1 ELSE 0 END) AS isb FROM q GROUP BY ALL)
 SELECT item, id, round(best, 9) AS best_iou, CAST(CASE WHEN best >= 0.7 OR isb = 1 THEN 1 WHEN best < 0.3 THEN 0 ELSE -1 END AS BIGINT) AS label FROM b""")
-def n5_anchor_labels(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
+def n5_anchor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    a = detections(seg).where("id % 4 = 0" if part else "true").select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
-    out = detect.anchor_labels(a, truths(seg).where("gid % 2 = 0" if part else "true").select("item", "gid", "g1", "g2"))
+    a = detections(seg).select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
+    out = detect.anchor_labels(a, truths(seg).select("item", "gid", "g1", "g2"))
     return out.select("item", "id", F.round("best_iou", 9).alias("best_iou"), F.col("label").cast("long").alias("label"))
 
 
-@query(f"""{WITH}, {DETECTIONS}, tr AS (SELECT item, gid, g1, g2 FROM gt WHERE gid % 2 = 0), rois AS (SELECT item, 'r' || id AS id, x1 AS a1, x2 AS a2 FROM det WHERE id % 4 = 0 UNION ALL SELECT item, 'g' || gid, g1, g2 FROM tr),
+@query(f"""{WITH}, {DETECTIONS}, tr AS (SELECT item, gid, g1, g2 FROM gt), rois AS (SELECT item, 'r' || id AS id, x1 AS a1, x2 AS a2 FROM det UNION ALL SELECT item, 'g' || gid, g1, g2 FROM tr),
 p AS (SELECT r.*, gid, {IOU} AS iou FROM rois r JOIN tr USING (item)), b AS (SELECT item, id, max(iou) AS best, arg_max(gid, (iou, -gid)) AS gid FROM p GROUP BY item, id)
 SELECT item, id, round(best, 9) AS best_iou, gid, CASE WHEN best >= 0.5 THEN 'fg' WHEN best >= 0.1 THEN 'bg' ELSE 'none' END AS kind FROM b""")
-def n6_roi_candidates(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
+def n6_roi_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    rois = detections(seg).where("id % 4 = 0" if part else "true").select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
-    out = detect.candidates(rois, truths(seg).where("gid % 2 = 0" if part else "true").select("item", "gid", "g1", "g2"))
+    rois = detections(seg).select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
+    out = detect.candidates(rois, truths(seg).select("item", "gid", "g1", "g2"))
     return out.select("item", "id", F.round("best_iou", 9).alias("best_iou"), "gid", "kind")
 
 
-LABELLED = f"""{WITH}, {DETECTIONS}, anchors AS (SELECT item, id, x1 AS a1, x2 AS a2 FROM det WHERE id % 4 = 0), tr AS (SELECT item, gid, g1, g2 FROM gt WHERE gid % 2 = 0),
+LABELLED = f"""{WITH}, {DETECTIONS}, anchors AS (SELECT item, id, x1 AS a1, x2 AS a2 FROM det), tr AS (SELECT item, gid, g1, g2 FROM gt),
 p AS (SELECT a.*, g1, g2, {IOU} AS iou FROM anchors a JOIN tr USING (item)), q AS (SELECT *, max(iou) OVER (PARTITION BY item, g1, g2) AS gmax FROM p),
 b AS (SELECT item, id, max(iou) AS best, max(CASE WHEN iou = gmax AND gmax > 0 THEN 1 ELSE 0 END) AS isb FROM q GROUP BY ALL),
 l AS (SELECT item, id, CASE WHEN best >= 0.7 OR isb = 1 THEN 1 WHEN best < 0.3 THEN 0 ELSE -1 END AS label FROM b)"""
@@ -248,14 +247,14 @@ l AS (SELECT item, id, CASE WHEN best >= 0.7 OR isb = 1 THEN 1 WHEN best < 0.3 T
 
 @query(f"""{LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY item, label ORDER BY {uniform_sql(0, 'item', 'id')}, id) AS k, least(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY item), 8) AS fg FROM l)
 SELECT item, id, CAST(CASE WHEN (label = 1 AND k > fg) OR (label = 0 AND k > 16 - fg) THEN -1 ELSE label END AS BIGINT) AS label FROM r""")
-def n5_subsampled_anchors(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
+def n5_subsampled_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    a = detections(seg).where("id % 4 = 0" if part else "true").select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
-    out = detect.subsample(detect.anchor_labels(a, truths(seg).where("gid % 2 = 0" if part else "true").select("item", "gid", "g1", "g2")), batch=16)
+    a = detections(seg).select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
+    out = detect.subsample(detect.anchor_labels(a, truths(seg).select("item", "gid", "g1", "g2")), batch=16)
     return out.select("item", "id", F.col("label").cast("long").alias("label"))
 
 
-@query(f"""{WITH}, {DETECTIONS}, tr AS (SELECT item, gid, g1, g2 FROM gt WHERE gid % 2 = 0), rois AS (SELECT item, 'r' || id AS id, x1 AS a1, x2 AS a2 FROM det WHERE id % 4 = 0 UNION ALL SELECT item, 'g' || gid, g1, g2 FROM tr),
+@query(f"""{WITH}, {DETECTIONS}, tr AS (SELECT item, gid, g1, g2 FROM gt), rois AS (SELECT item, 'r' || id AS id, x1 AS a1, x2 AS a2 FROM det UNION ALL SELECT item, 'g' || gid, g1, g2 FROM tr),
 p AS (SELECT r.*, gid, {IOU} AS iou FROM rois r JOIN tr USING (item)), b AS (SELECT item, id, max(iou) AS best FROM p GROUP BY item, id),
 c AS (SELECT item, id, CASE WHEN best >= 0.5 THEN 'fg' WHEN best >= 0.1 THEN 'bg' ELSE 'none' END AS kind FROM b),
 k AS (SELECT *, row_number() OVER (PARTITION BY item, kind ORDER BY {uniform_sql(0, 'item', 'id')}, id) AS k FROM c WHERE kind <> 'none'),
@@ -263,13 +262,11 @@ n AS (SELECT item, sum(CASE WHEN kind = 'fg' THEN 1 ELSE 0 END) AS nf, sum(CASE
 s AS (SELECT item, nf, nb, unnest(range(1, 17)) AS slot FROM n), t AS (SELECT *, CASE WHEN nf = 0 THEN 'bg' WHEN nb = 0 THEN 'fg' WHEN slot <= least(nf, 4) THEN 'fg' ELSE 'bg' END AS kind FROM s),
 u AS (SELECT *, CASE WHEN kind = 'fg' AND nb > 0 THEN slot ELSE floor({uniform_sql(0, 'item', 'slot')} * CASE WHEN kind = 'fg' THEN nf ELSE nb END) + 1 END AS pick FROM t)
 SELECT u.item, CAST(slot AS BIGINT) AS slot, u.kind, id FROM u JOIN k ON k.item = u.item AND k.kind = u.kind AND k.k = u.pick""")
-def n6_sampled_rois(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
+def n6_sampled_rois(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    rois = detections(seg).where("id % 4 = 0" if part else "true").select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
-    return detect.sample_rois(detect.candidates(rois, truths(seg).where("gid % 2 = 0" if part else "true").select("item", "gid", "g1", "g2")), batch=16).select("item", F.col("slot").cast("long").alias("slot"), "kind", "id")
-
+    rois = detections(seg).select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
+    return detect.sample_rois(detect.candidates(rois, truths(seg).select("item", "gid", "g1", "g2")), batch=16).select("item", F.col("slot").cast("long").alias("slot"), "kind", "id")
 
-whole(l13_single_substring_match, n5_anchor_labels, n6_roi_candidates, n5_subsampled_anchors, n6_sampled_rois)
 
 
 @query(f"{WITH} SELECT CAST(count(*) AS BIGINT) AS bad FROM seg WHERE e <= s")

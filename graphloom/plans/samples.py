@@ -8,15 +8,15 @@ from pyspark.sql import functions as F
 from graphloom.functions import voxel
 from graphloom.functions.rand import uniform, uniform_sql
 from graphloom.operators import metrics, sampling
-from graphloom.plans.base import JUDGED, judged, query, read, whole
+from graphloom.plans.base import JUDGED, judged, query, read
 
 N = 8
-GRID = f"vox AS (SELECT id, z, y, x, CAST((id * 31 + z * 7 + y * 5 + x * 3) % 101 AS DOUBLE) * 20 - 1100 AS val FROM (SELECT s_suppkey AS id FROM supplier WHERE s_suppkey <= 20) s, range({N}) a(z), range({N}) b(y), range({N}) c(x))"
+GRID = f"vox AS (SELECT id, z, y, x, CAST((id * 31 + z * 7 + y * 5 + x * 3) % 101 AS DOUBLE) * 20 - 1100 AS val FROM (SELECT s_suppkey AS id FROM supplier) s, range({N}) a(z), range({N}) b(y), range({N}) c(x))"
 WITH = f"WITH {GRID}"
 
 
-def _voxels(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    rows = read(spark, sf_dir, "supplier").where("s_suppkey <= 20" if part else "true").select(F.col("s_suppkey").alias("id"))
+def _voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"))
     for a in voxel.AXES:
         rows = rows.withColumn(a, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(N - 1).cast("long"))))
     return rows.withColumn("val", F.pmod(F.col("id") * 31 + F.col("z") * 7 + F.col("y") * 5 + F.col("x") * 3, F.lit(101)).cast("double") * 20 - 1100)
@@ -27,59 +27,57 @@ def _long(df: DataFrame) -> DataFrame:
 
 
 @query(f"{WITH} SELECT id, z, y, x, round_even(least(greatest((val + 1024) / 1424 * 255, 0), 255), 0) AS val FROM vox")
-def p17_window_clip(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    return _long(_voxels(spark, sf_dir, part).withColumn("val", voxel.window_clip(F.col("val"))))
+def p17_window_clip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(_voxels(spark, sf_dir).withColumn("val", voxel.window_clip(F.col("val"))))
 
 
 @query(f"{WITH} SELECT id, z, y, x, val * CASE WHEN (z + y + x) % 2 = 0 THEN 1.0 ELSE 0.0 END AS val FROM vox")
-def p18_masked(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    v = _voxels(spark, sf_dir, part)
+def p18_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _voxels(spark, sf_dir)
     seg = v.withColumn("val", F.when((F.col("z") + F.col("y") + F.col("x")) % 2 == 0, 1.0).otherwise(0.0))
     return _long(voxel.mask(v, seg))
 
 
 @query(f"{WITH} SELECT id, z - 2 AS z, y - 2 AS y, x - 3 AS x, val FROM vox WHERE z >= 2 AND z < 6 AND y >= 2 AND y < 6 AND x >= 3 AND x < 5")
-def p19_cropped(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    return _long(voxel.crop(_voxels(spark, sf_dir, part), (4, 4, 4), (4, 4, 2)))
+def p19_cropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(voxel.crop(_voxels(spark, sf_dir), (4, 4, 4), (4, 4, 2)))
 
 
 @query(f"""{WITH}, g AS (SELECT id, z, y, x FROM (SELECT DISTINCT id FROM vox) i, range(6) a(z), range(6) b(y), range(6) c(x))
 SELECT g.id, g.z, g.y, g.x, coalesce(val, -1) AS val FROM g LEFT JOIN vox v ON v.id = g.id AND v.z = g.z - 2 AND v.y = g.y + 1 AND v.x = g.x + 4""")
-def p20_padded_crop(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    return _long(voxel.crop_padded(_voxels(spark, sf_dir, part), (1, 4, 7), (6, 6, 6), -1.0))
+def p20_padded_crop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(voxel.crop_padded(_voxels(spark, sf_dir), (1, 4, 7), (6, 6, 6), -1.0))
 
 
 @query(f"{WITH} SELECT id, z, {N - 1} - x AS y, y AS x, val FROM vox")
-def p21_rotated(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    return _long(voxel.rotate(_voxels(spark, sf_dir, part), ("y", "x"), 1, N))
+def p21_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(voxel.rotate(_voxels(spark, sf_dir), ("y", "x"), 1, N))
 
 
 @query(f"{WITH} SELECT id, x AS z, z AS y, {N - 1} - y AS x, val FROM vox")
-def p22_reordered_reflected(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    return _long(voxel.reflect(voxel.reorder(_voxels(spark, sf_dir, part), (2, 0, 1)), "x", N))
+def p22_reordered_reflected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(voxel.reflect(voxel.reorder(_voxels(spark, sf_dir), (2, 0, 1)), "x", N))
 
 
 @query(f"{WITH}, s AS (SELECT * FROM vox WHERE z >= 4), m AS (SELECT id, z, y, x, val FROM s UNION ALL SELECT id, {N - 1} - z, y, x, val FROM s), t AS (SELECT * FROM m WHERE y >= 4) SELECT id, z, y, x, val FROM t UNION ALL SELECT id, z, {N - 1} - y, x, val FROM t")
-def p23_mirrored(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    return _long(voxel.mirror(voxel.mirror(_voxels(spark, sf_dir, part), "z", N), "y", N))
+def p23_mirrored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _long(voxel.mirror(voxel.mirror(_voxels(spark, sf_dir), "z", N), "y", N))
 
 
 @query(f"{WITH} SELECT id, CAST(k AS BIGINT) AS copy, z, CASE k WHEN 1 THEN y ELSE {N - 1} - y END AS y, CASE k WHEN 3 THEN {N - 1} - x ELSE x END AS x, val FROM vox, (VALUES (1), (2), (3)) t(k)")
-def c17_augmented(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    v = _voxels(spark, sf_dir, part)
+def c17_augmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _voxels(spark, sf_dir)
     flip = voxel.reflect(v, "y", N)
     out = v.withColumn("copy", F.lit(1)).unionByName(flip.withColumn("copy", F.lit(2))).unionByName(voxel.reflect(flip, "x", N).withColumn("copy", F.lit(3)))
     return out.select("id", F.col("copy").cast("long").alias("copy"), *(F.col(a).cast("long").alias(a) for a in voxel.AXES), "val")
 
 
 @query(f"{WITH}, t AS (SELECT id, CASE WHEN val > 0 THEN 1.0 ELSE 0.0 END AS y, (val + 1100) / 2000 AS p FROM vox) SELECT id, round(-(2 * sum(y * p) + 1e-7) / (sum(y) + sum(p) + 1e-7), 9) AS loss FROM t GROUP BY id")
-def e13_dice_loss(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    v = _voxels(spark, sf_dir, part).select("id", F.when(F.col("val") > 0, 1.0).otherwise(0.0).alias("t"), ((F.col("val") + 1100) / 2000).alias("p"))
+def e13_dice_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _voxels(spark, sf_dir).select("id", F.when(F.col("val") > 0, 1.0).otherwise(0.0).alias("t"), ((F.col("val") + 1100) / 2000).alias("p"))
     return metrics.dice_loss(v, "id", "t", "p").select("id", F.round("loss", 9).alias("loss"))
 
 
-whole(p17_window_clip, p18_masked, p19_cropped, p20_padded_crop, p21_rotated, p22_reordered_reflected, p23_mirrored, c17_augmented, e13_dice_loss)
-
 
 @query(f"WITH {JUDGED}, r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM judged) SELECT round((sum(CASE WHEN label = 1 THEN r ELSE 0 END) - sum(label) * (sum(label) + 1) / 2.0) / (sum(label) * sum(1 - label)), 9) AS auc FROM r")
 def e11_roc_auc(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from graphloom.functions.rand import uniform_sql
 from graphloom.operators import embed, windows
 from graphloom.operators.prefix import positions
-from graphloom.plans.base import TOKENS, query, read, sentences, whole
+from graphloom.plans.base import TOKENS, query, read, sentences
 
 WITH = f"WITH {TOKENS}"
 VOCAB = "cnt AS (SELECT token, count(*) AS cnt FROM tok GROUP BY token HAVING count(*) >= 3), voc AS (SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, token) - 1 AS idx FROM cnt)"
@@ -47,23 +47,21 @@ def g19_noise_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.noise_table(_vocab(spark, sf_dir), domain=1000).select("token", "idx", "cum")
 
 
-@query(f"{WITH} SELECT sentence, token, pos, context_pos, context FROM (SELECT a.*, b.pos AS context_pos, b.token AS context FROM tok a JOIN tok b USING (sentence) WHERE a.pos <> b.pos AND abs(a.pos - b.pos) <= 4 - a.pos % 4 AND a.sentence % 4 = 0)")
-def w10_context_pairs(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    tok = _tokens(spark, sf_dir).where("sentence % 4 = 0" if part else "true")
+@query(f"{WITH} SELECT sentence, token, pos, context_pos, context FROM (SELECT a.*, b.pos AS context_pos, b.token AS context FROM tok a JOIN tok b USING (sentence) WHERE a.pos <> b.pos AND abs(a.pos - b.pos) <= 4 - a.pos % 4)")
+def w10_context_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tok = _tokens(spark, sf_dir)
     out = windows.context_pairs(tok, 4, F.pmod("pos", F.lit(4)))
     return out.select("sentence", "token", F.col("pos").cast("long").alias("pos"), F.col("context_pos").cast("long").alias("context_pos"), "context")
 
 
-@query(f"{WITH}, {VOCAB}, p AS (SELECT a.sentence, a.pos, b.token AS context FROM tok a JOIN tok b USING (sentence) WHERE a.pos <> b.pos AND abs(a.pos - b.pos) <= 4 - a.pos % 4 AND a.sentence % 4 = 0) SELECT sentence, pos, count(*) AS n, round(avg(idx), 9) AS mean_idx FROM p JOIN voc ON voc.token = context GROUP BY ALL")
-def w11_context_means(spark: SparkSession, sf_dir: str, part: bool = True) -> DataFrame:
-    tok = _tokens(spark, sf_dir).where("sentence % 4 = 0" if part else "true")
+@query(f"{WITH}, {VOCAB}, p AS (SELECT a.sentence, a.pos, b.token AS context FROM tok a JOIN tok b USING (sentence) WHERE a.pos <> b.pos AND abs(a.pos - b.pos) <= 4 - a.pos % 4) SELECT sentence, pos, count(*) AS n, round(avg(idx), 9) AS mean_idx FROM p JOIN voc ON voc.token = context GROUP BY ALL")
+def w11_context_means(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tok = _tokens(spark, sf_dir)
     pairs = windows.context_pairs(tok, 4, F.pmod("pos", F.lit(4)))
     rows = pairs.join(_vocab(spark, sf_dir).select(F.col("token").alias("context"), "idx"), "context")
     return rows.groupBy("sentence", F.col("pos").cast("long").alias("pos")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("idx"), 9).alias("mean_idx"))
 
 
-whole(w10_context_pairs, w11_context_means)
-
 
 @query(f"{WITH}, {VOCAB}, t AS (SELECT sum(cnt) * 0.001::DOUBLE AS t FROM voc), k AS (SELECT token, least(1.0, (sqrt(cnt / t) + 1) * (t / cnt)) AS p FROM voc, t) SELECT sentence, pos, token FROM tok JOIN k USING (token) WHERE {uniform_sql(9, 'sentence', 'pos')} < p")
 def l11_kept_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

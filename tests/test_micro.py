@@ -266,3 +266,26 @@ def test_batch_summary_and_split(spark):
     a, b = sampling.split(spark.range(4000), "id")
     assert a.count() + b.count() == 4000 and 2850 < a.count() < 3150
     assert cluster.seed_centers(spark.range(500).selectExpr("id", "array(cast(id as double)) as v"), 3, 1, init_size=50).count() == 3
+
+
+def test_contains_once_by_substrings(spark):
+    ids = spark.createDataFrame([("ab",), ("bc",), ("c",), ("zz",), ("abcabc",), ("",), (None,)], "id string")
+    names = spark.createDataFrame([("abc",), ("xbcx",), ("abcabc",), ("q",)], "name string")
+    got = {r["id"]: r["name"] for r in joins.contains_once(ids, names).collect()}
+    want = {}
+    for i in ("ab", "bc", "c", "zz", "abcabc", ""):
+        hits = [n for n in ("abc", "xbcx", "abcabc", "q") if i in n]
+        if len(hits) == 1:
+            want[i] = hits[0]
+    assert got == want
+    assert joins.contains_once(ids.limit(0), names).count() == 0
+
+
+def test_own_return_and_outward_weights_at_nodes(spark):
+    """A path 0 - 1 - 2 with a tail: where p is tiny the walk goes back, where it is huge it goes on."""
+    g = spark.createDataFrame([(0, 1, 1.0), (1, 2, 1.0), (2, 3, 1.0)], "src long, dst long, w double")
+    starts = spark.createDataFrame([(0,)], "node long")
+    for p, third in ((1e-9, 0), (1e9, 2)):
+        own = spark.createDataFrame([(1, p, 1.0)], "node long, p double, q double")
+        paths = [r["path"] for r in graph.biased_walks(g, starts, 3, walks=8, seed=3, own=own).collect()]
+        assert all(x == [0, 1, third] for x in paths)
