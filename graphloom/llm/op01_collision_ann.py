@@ -193,7 +193,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = K, block: int = BLO
                         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True)], ["key", "verified", "best"])
 
         dealt = entries.select("dim", "b", "key", "v", "ids").repartitionByRange(blocks, "dim", "b").sortWithinPartitions("dim", "b")
-        found = home.unionByName(dealt.mapInArrow(elsewhere, FOUND))
+        found = materialize(home.unionByName(dealt.mapInArrow(elsewhere, FOUND)), "ann-found")
     cost = found.groupBy("key").agg(F.sum("verified").alias("verified"))
     hits = found.select("key", F.explode("best").alias("hit")).select("key", "hit.score", "hit.vec_id")
     order = Window.partitionBy("key").orderBy("score", "vec_id")
