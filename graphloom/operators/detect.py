@@ -66,6 +66,12 @@ def nms_fixpoint(detections: DataFrame, keys: list[str], threshold: float, inclu
     return rows if gone is None else rows.join(gone.withColumnRenamed("j", "id"), "id", "left_anti").select(*detections.columns)
 
 
+def suppress(detections: DataFrame, keys: list[str], threshold: float, inclusive: bool = True, most: int = 100_000, bucket: float | None = None) -> DataFrame:
+    """Greedy suppression, dispatched by the size of the largest group: one task a group up to `most` rows, else by rounds over overlap edges."""
+    largest = detections.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    return nms(detections, keys, threshold, inclusive) if largest <= most else nms_fixpoint(detections, keys, threshold, inclusive, bucket)
+
+
 def top(rows: DataFrame, keys: list[str], n: int, ties: bool = False) -> DataFrame:
     """The n best by score a group (ties: smaller id); with ties, all that score as the n-th; n = 0 keeps all."""
     if not n:
@@ -79,7 +85,7 @@ def proposals(anchor_rows: DataFrame, least_length: float, before: int, after: i
     x1, x2 = segment.decode(F.col("a1"), F.col("a2"), F.col("dx"), F.col("dl"))
     rows = anchor_rows.withColumns({"x1": segment.clip(x1, F.col("length")), "x2": segment.clip(x2, F.col("length"))})
     rows = rows.withColumn("score", F.when(F.col("x2") - F.col("x1") + 1 < least_length, F.lit(0.0)).otherwise(F.col("score")))
-    kept = nms(top(rows.select(key, "id", "x1", "x2", "score"), [key], before), [key], threshold)
+    kept = suppress(top(rows.select(key, "id", "x1", "x2", "score"), [key], before), [key], threshold)
     return top(kept, [key], after)
 
 
@@ -140,7 +146,7 @@ def assemble(scores: DataFrame, least: float = 0.005, threshold: float = 0.4, pe
     """Detections (cls, item, id, x1, x2, score): background and low scores go, suppression by class and item, then the
     best of all classes an item, ties kept."""
     rows = scores.where((F.col("cls") >= 1) & (F.col("score") > least))
-    return top(nms(rows, ["cls", "item"], threshold), ["item"], per_item, ties=True)
+    return top(suppress(rows, ["cls", "item"], threshold), ["item"], per_item, ties=True)
 
 
 def anchors_for(items: DataFrame, one_row: DataFrame, base_size: int, scales: list[int], stride: int) -> DataFrame:
@@ -166,5 +172,3 @@ def pack_by_budget(sentences: DataFrame, budget: int, key: str = "sentence", siz
         return pd.DataFrame({"part": rows["part"], key: rows[key], "batch": np.array(out, np.int64)})
 
     return sentences.groupBy("part").applyInPandas(pack, f"part long, {key} long, batch long")
-
-

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import box
@@ -28,6 +30,24 @@ def bad_segments(segments: DataFrame) -> DataFrame:
     return segments.where("e <= s")
 
 
+def bad_centers(centers: DataFrame, points: DataFrame) -> DataFrame:
+    """k, width, wanted: centers that aren't as long as the points, or not there; the points' width is the longest's."""
+    wanted = points.agg(F.max(F.size("v")).alias("wanted"))
+    return centers.select("k", F.size("c").alias("width")).join(F.broadcast(wanted)).where("width <> wanted")
+
+
+def complaints(spark: SparkSession, cases: dict[str, Callable[[], object]]) -> DataFrame:
+    """case, complaint: what each case raises as a ValueError, null where it is content."""
+    rows = []
+    for name, attempt in cases.items():
+        try:
+            attempt()
+            rows.append((name, None))
+        except ValueError as e:
+            rows.append((name, str(e)))
+    return spark.createDataFrame(rows, "case string, complaint string")
+
+
 def require(violations: DataFrame, what: str) -> None:
     if violations.limit(1).count():
         raise ValueError(f"{what}: {violations.limit(3).collect()}")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from graphloom.plans import base, clustering, detection, graphs, intervals, samples, text  # noqa: F401
+from graphloom.plans import base, clustering, detection, files, graphs, intervals, samples, text  # noqa: F401
 
 QUERIES = base.QUERIES
 ORACLE = base.ORACLE

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from graphloom.operators.prefix import running
+
 
 def csv(spark: SparkSession, path: str, schema: str, header: bool = True, sep: str = ",") -> DataFrame:
     return spark.read.csv(path, schema=schema, header=header, sep=sep)
@@ -96,13 +99,17 @@ def voc_boxes(objects: DataFrame, classes: DataFrame, shift: int = 1, use_diffic
     return rows.withColumn("area", (F.col("x2") - F.col("x1") + 1) * (F.col("y2") - F.col("y1") + 1)).drop("name")
 
 
-def synonyms(spark: SparkSession, path: str) -> DataFrame:
-    """name, cls: a line's comma-separated names share its number, from 1; 0 is kept for the background.
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """pos (from 0), value: one file's lines in order, read in splits; positions are running sums by split."""
+    rows = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_row"))
+    rows = running(rows, [], {"_split": F.col("_start")}, [F.col("_split")], [F.col("_row")], {"pos": F.lit(1).cast("long")})
+    return rows.select((F.col("pos") - 1).alias("pos"), "value")
 
-    Line numbers need an order, which a line file has within one task: vocabularies are small.
-    """
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("n", "line"))
-    return rows.select(F.explode(F.split("line", ",")).alias("name"), (F.col("n") + 1).alias("cls")).select(F.lower(F.trim("name")).alias("name"), "cls").where("name <> ''")
+
+def synonyms(spark: SparkSession, path: str) -> DataFrame:
+    """name, cls: a line's comma-separated names share its number, from 1; 0 is kept for the background."""
+    rows = numbered_lines(spark, path).select(F.explode(F.split("value", ",")).alias("name"), (F.col("pos") + 1).cast("int").alias("cls"))
+    return rows.select(F.lower(F.trim("name")).alias("name"), "cls").where("name <> ''")
 
 
 def scene_objects(objects: DataFrame, vocabulary: DataFrame, attributes: DataFrame, most: int = 16) -> DataFrame:
@@ -145,10 +152,16 @@ def coco_boxes(spark: SparkSession, path: str) -> DataFrame:
 
 def image_set(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """pos, image: the file's lines in order, at most `first` of them."""
-    rows = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\n")).alias("pos", "image")).select("pos", F.trim("image").alias("image"))
+    rows = numbered_lines(spark, path).select("pos", F.trim("value").alias("image"))
     return rows if first is None else rows.where(F.col("pos") < first)
 
 
+def embedding_text(spark: SparkSession, path: str) -> DataFrame:
+    """token, vec from lines `token x1 x2 ...`; a first line with two numbers alone (how many, how long) is passed over."""
+    rows = spark.read.text(path).select(F.split(F.trim("value"), r"\s+").alias("x")).where(F.size("x") > 2)
+    return rows.select(F.get("x", F.lit(0)).alias("token"), F.slice("x", 2, F.size("x") - 1).cast("array<double>").alias("vec"))
+
+
 def frame_counts(spark: SparkSession, root: str) -> DataFrame:
     """video, frames: files a folder; contents aren't read."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path")
@@ -172,12 +185,32 @@ def volumes(spark: SparkSession, glob: str) -> DataFrame:
     return files.mapInPandas(run, "name string, z long, y long, x long, val double, seg double")
 
 
+#: Families of public detection sets with their versions and splits: fixed values.
+FAMILIES = [
+    ("voc", ("2007", "2012"), ("train", "val", "trainval", "test")),
+    ("coco", ("2014",), ("train", "val", "minival", "valminusminival", "trainval", "capval", "valminuscapval")),
+    ("coco", ("2015",), ("test", "test-dev")),
+    ("vg", ("150-50-20", "150-50-50", "500-150-80", "750-250-150", "1750-700-450", "1600-400-20"), ("minitrain", "smalltrain", "train", "minival", "smallval", "val", "test")),
+    ("imagenet", ("",), ("train", "val", "val1", "val2", "test")),
+]
+
+
 class Registry:
     """Tables by name: a name maps to a function of the session; unknown names list what there is."""
 
     def __init__(self) -> None:
         self.makers: dict = {}
 
+    @classmethod
+    def standard(cls, readers: dict) -> Registry:
+        """All names of FAMILIES, as family_version_split, whose family is in readers: family -> function of (session, version, split)."""
+        out = cls()
+        for family, versions, splits in FAMILIES:
+            for version in versions if family in readers else ():
+                for split in splits:
+                    out.add("_".join(x for x in (family, version, split) if x), partial(readers[family], version=version, split=split))
+        return out
+
     def add(self, name: str, maker) -> None:  # noqa: ANN001
         self.makers[name] = maker
 
