@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,3 +18,9 @@ def uniform_sql(seed: int, *keys: str) -> str:
     """The same for an engine that casts hexadecimal literals to integers."""
     text = " || ':' || ".join([f"'{seed}'", *(f"coalesce(CAST({k} AS VARCHAR), '')" for k in keys)])
     return f"((CAST(CAST('0x' || substr(md5({text}), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496.0)"
+
+
+def uniform_value(seed: int, *keys: object) -> float:
+    """The same draw as a number."""
+    text = ":".join([str(seed), *("" if k is None else str(k) for k in keys)])
+    return (int(hashlib.md5(text.encode()).hexdigest()[:13], 16) + 0.5) / (1 << 52)

@@ -5,12 +5,16 @@ Centers and mixture parameters are k rows with k given, so they are broadcast an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions import vector
-from graphloom.functions.rand import uniform
+from graphloom.functions.rand import uniform, uniform_value
+from graphloom.operators.checkpoints import written
 
 
 def distances(points: DataFrame, centers: DataFrame, squared: bool = False) -> DataFrame:
@@ -66,14 +70,14 @@ def _frame(df: DataFrame, centers: list[list[float]]) -> DataFrame:
 
 
 def lloyd(points: DataFrame, centers: DataFrame, rounds: int = 300, tol: float = 1e-4) -> tuple[DataFrame, DataFrame, int]:
-    """(labelled, centers, rounds taken): once the centers move by less than tol the old ones stay, as do the labels by them."""
+    """(labelled, centers, rounds taken): once the centers move by no more than tol (0: not at all) the old ones stay, as do the labels by them."""
     taken = 0
     for taken in range(1, rounds + 1):
         labelled = assign(points, centers)
         new = sorted(centers_of(means(labelled, centers)).collect(), key=lambda r: r["k"])
         new = _frame(points, [r["c"] for r in new])
         moved = shift(centers, new).first()[0]
-        if moved < tol:
+        if moved <= tol:
             return labelled, centers, taken
         centers = new
     return assign(points, centers), centers, taken
@@ -89,42 +93,48 @@ def seed_centers(points: DataFrame, k: int, seed: int, init_size: int | None = N
     return _frame(points, [r["v"] for r in rows])
 
 
-def plus_plus_next(points: DataFrame, closest: DataFrame, draw: float, buckets: int = 64) -> DataFrame:
-    """id, v of the first point, in order of id, whose running sum of squared distances to its closest center exceeds draw * total.
+def plus_plus_next(points: DataFrame, closest: DataFrame, *draws: float, buckets: int = 64) -> DataFrame:
+    """draw, id, v: for each draw the first point, in order of id, whose running sum of squared distances to its closest center (id, sq) exceeds draw * total.
 
-    Two levels: sums by bucket of the id's hash-free range, then inside the bucket that the draw falls into.
+    Two levels: sums by bucket of the id's range, then inside the buckets that draws fall into.
     """
     lo, hi = closest.agg(F.min("id"), F.max("id")).first()
     width = max(1, -(-(hi - lo + 1) // buckets))
     b = F.floor((F.col("id") - lo) / width)
-    sums = closest.groupBy(b.alias("b")).agg(F.sum("sq").alias("s")).orderBy("b").collect()
-    target = draw * sum(r["s"] for r in sums)
-    before, pick = 0.0, sums[-1]["b"]
-    for r in sums:
-        if before + r["s"] > target:
-            pick = r["b"]
-            break
-        before += r["s"]
-    inside = closest.where(b == pick).withColumn("_cum", F.lit(before) + F.sum("sq").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    first = inside.where(F.col("_cum") > target).agg(F.min("id").alias("id"))
-    return points.join(F.broadcast(first), "id")
+    sums = closest.groupBy(b.alias("b")).agg(F.sum("sq").alias("s")).orderBy("b").collect()  # `buckets` rows at most
+    total, wanted = sum(r["s"] for r in sums), []
+    for k, draw in enumerate(draws):
+        before, pick = 0.0, (sums[-1]["b"], sum(r["s"] for r in sums[:-1]))
+        for r in sums:
+            if before + r["s"] > draw * total:
+                pick = (r["b"], before)
+                break
+            before += r["s"]
+        wanted.append((k, pick[0], pick[1], draw * total))
+    wanted = F.broadcast(points.sparkSession.createDataFrame(wanted, "draw int, _b long, _before double, _target double"))
+    starts = wanted.select("_b", "_before").distinct()
+    inside = closest.withColumn("_b", b).join(starts, "_b").withColumn("_cum", F.col("_before") + F.sum("sq").over(Window.partitionBy("_b").orderBy("id").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    first = inside.select("_b", "id", "_cum").join(wanted.select("draw", "_b", "_target"), "_b").where(F.col("_cum") > F.col("_target")).groupBy("draw").agg(F.min("id").alias("id"))
+    return points.join(F.broadcast(first), "id").select("draw", "id", "v")
 
 
 def plus_plus(points: DataFrame, k: int, seed: int, trials: int | None = None) -> DataFrame:
-    """Greedy k-means++: 2 + floor(ln k) candidates a center, drawn by hash, the one that lowers the potential most is kept."""
+    """Greedy k-means++: 2 + floor(ln k) candidates a center, drawn by hash, the one that lowers the potential most is kept.
+
+    Each point keeps its squared distance to the closest center so far; all candidates of a center are tried in one pass.
+    """
     trials = trials or 2 + int(np.log(k))
-    rng = np.random.default_rng(seed)
-    first = points.orderBy(uniform(seed, F.col("id")), "id").limit(1).collect()
-    chosen = [first[0]["v"]]
+    chosen = [points.orderBy(uniform(seed, F.col("id")), "id").limit(1).first()["v"]]
+    point = lambda v: F.array(*(F.lit(float(x)) for x in v))
+    closest = written(points.select("id", "v", vector.squared_distance(F.col("v"), point(chosen[0])).alias("sq")), "kpp")
     while len(chosen) < k:
-        closest = distances(points, _frame(points, chosen), squared=True).groupBy("id").agg(F.min("dist").alias("sq"))
-        best = None
-        for draw in rng.random(trials):
-            row = plus_plus_next(points, closest, float(draw)).first()
-            potential = distances(points, _frame(points, [*chosen, row["v"]]), squared=True).groupBy("id").agg(F.min("dist").alias("sq")).agg(F.sum("sq")).first()[0]
-            if best is None or potential < best[0]:
-                best = (potential, row["v"])
-        chosen.append(best[1])
+        found = plus_plus_next(points, closest.select("id", "sq"), *(uniform_value(seed, len(chosen), j) for j in range(trials))).orderBy("draw").collect()
+        tried = [F.sum(F.least("sq", vector.squared_distance(F.col("v"), point(r["v"])))).alias(f"p{j}") for j, r in enumerate(found)]
+        potentials = closest.agg(*tried).first()
+        best = found[int(np.argmin(list(potentials)))]["v"]
+        chosen.append(best)
+        if len(chosen) < k:
+            closest = written(closest.withColumn("sq", F.least("sq", vector.squared_distance(F.col("v"), point(best)))), "kpp")
     return _frame(points, chosen)
 
 
@@ -167,16 +177,38 @@ def responsibilities(logs: DataFrame) -> DataFrame:
     return out.select("id", "k", F.exp(F.col("lp") - F.col("total")).alias("resp"), "total")
 
 
-def weighted_parameters(points: DataFrame, resp: DataFrame, eps: float = 1e-6) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(k, nk), (k, i, mean), (k, i, j, cov) from (id, v) and (id, k, resp); eps is added on the diagonal."""
-    rows = points.join(resp, "id")
-    nk = resp.groupBy("k").agg((F.sum("resp") + 10 * float(np.finfo(float).eps)).alias("nk"))
-    mean = rows.select("k", "resp", F.posexplode("v").alias("i", "x")).groupBy("k", "i").agg(F.sum(F.col("resp") * F.col("x")).alias("_s")).join(F.broadcast(nk), "k").select("k", "i", (F.col("_s") / F.col("nk")).alias("mean"))
-    packed = mean.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "mean"))), lambda x: x["mean"]).alias("mu")).join(nk, "k")
-    dev = rows.join(F.broadcast(packed), "k").withColumn("d", vector.subtract(F.col("v"), F.col("mu")))
-    long = dev.select("k", "nk", "resp", "d", F.posexplode("d").alias("i", "di")).select("k", "nk", "i", (F.col("resp") * F.col("di")).alias("_a"), F.posexplode("d").alias("j", "dj"))
-    cov = long.groupBy("k", "nk", "i", "j").agg(F.sum(F.col("_a") * F.col("dj")).alias("_s"))
-    return nk, mean, cov.select("k", "i", "j", (F.col("_s") / F.col("nk") + F.when(F.col("i") == F.col("j"), F.lit(eps)).otherwise(0.0)).alias("cov"))
+def _moments(points: DataFrame, resp: DataFrame) -> dict[int, tuple[float, np.ndarray, np.ndarray, np.ndarray]]:
+    """k -> (weight, weighted sum, weighted second moment, shift): moments about a shift, summed by partition in NumPy and once more on the driver, which gets a row of d * d numbers a partition and k."""
+    rows = points.join(resp, "id").select("k", "resp", "v")
+    shift = np.asarray(points.select("v").first()["v"], float)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        d, sums = len(shift), {}
+        for b in batches:
+            k, r = b.column(0).to_numpy(), b.column(1).to_numpy()
+            v = b.column(2).flatten().to_numpy().reshape(-1, d) - shift
+            for one in np.unique(k).tolist():
+                w, x = r[k == one], v[k == one]
+                held = sums.setdefault(one, np.zeros(1 + d + d * d))
+                held += np.concatenate([[w.sum()], w @ x, ((x * w[:, None]).T @ x).ravel()])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), pa.array([x.tolist() for x in sums.values()], pa.list_(pa.float64()))], ["k", "sums"])
+
+    d, out = len(shift), {}
+    for r in rows.select(F.col("k").cast("long"), "resp", "v").mapInArrow(run, "k long, sums array<double>").collect():
+        out[r["k"]] = out.get(r["k"], 0.0) + np.asarray(r["sums"])
+    return {k: (x[0], x[1 : 1 + d], x[1 + d :].reshape(d, d), shift) for k, x in out.items()}
+
+
+def weighted_parameters(points: DataFrame, resp: DataFrame, eps: float = 1e-6) -> dict[int, tuple[float, np.ndarray, np.ndarray]]:
+    """k -> (nk, mean, covariance) of (id, v) weighted by (id, k, resp); eps is added on the diagonal. One pass, nothing exploded."""
+    out = {}
+    for k, (w, first, second, shift) in sorted(_moments(points, resp).items()):
+        nk = w + 10 * float(np.finfo(float).eps)
+        m = first / nk
+        # Sum of r (x - mean)(x - mean)' about the shifted origin.
+        cov = (second - np.outer(m, first) - np.outer(first, m) + w * np.outer(m, m)) / nk
+        out[k] = (nk, m + shift * (w / nk), cov + eps * np.eye(len(m)))
+    return out
 
 
 class GaussianMixture:
@@ -220,16 +252,13 @@ class GaussianMixture:
             resp = start.predict(points).select("id", F.col("label").alias("k"), F.lit(1.0).alias("resp"))
         before = None
         for _ in range(self.max_iter):
-            nk, mean, cov = weighted_parameters(points, resp, self.eps)
-            n = {r["k"]: r["nk"] for r in nk.collect()}
-            dim = len(points.select("v").first()["v"])
+            found = weighted_parameters(points, resp, self.eps)
+            dim = len(next(iter(found.values()))[1])
             mu, sigma = np.zeros((self.k, dim)), np.tile(np.eye(dim) * self.eps, (self.k, 1, 1))
-            for r in mean.collect():
-                mu[r["k"], r["i"]] = r["mean"]
-            for r in cov.collect():
-                sigma[r["k"], r["i"], r["j"]] = r["cov"]
-            total = sum(n.values())
-            self.params = (np.array([n.get(k, 1e-15) / total for k in range(self.k)]), mu, sigma)
+            for k, (_, m, c) in found.items():
+                mu[k], sigma[k] = m, c
+            total = sum(n for n, _, _ in found.values())
+            self.params = (np.array([found[k][0] / total if k in found else 1e-15 for k in range(self.k)]), mu, sigma)
             resp = responsibilities(self._logs(points))
             bound = resp.where("k = 0").agg(F.avg("total")).first()[0]
             self.lower_bound = bound

@@ -78,17 +78,13 @@ def huffman(vocab: DataFrame) -> list[tuple[str, str]]:
     return sorted(out)
 
 
-def memory(words: Column, size: int, hs: bool = False, negative: bool = True) -> dict[str, Column]:
-    """Bytes of a model: 500 a word (700 with hierarchical softmax), 4 a weight of each layer."""
-    parts = {"vocab": words * (700 if hs else 500), "vectors": words * size * 4}
-    if hs:
-        parts["layer1"] = words * size * 4
-    if negative:
-        parts["layer1neg"] = words * size * 4
-    total = F.lit(0)
-    for c in parts.values():
-        total = total + c
-    return {**parts, "total": total}
+#: Bytes of a word's entry, without and with a Huffman code, and of a weight: fixed values.
+ENTRY, CODED_ENTRY, WEIGHT = 500, 700, 4
+
+
+def model_bytes(words: Column, size: int, matrices: int, coded: bool = False) -> Column:
+    """Bytes of a model's vocabulary and of so many matrices of `size` weights a word."""
+    return words * ((CODED_ENTRY if coded else ENTRY) + matrices * size * WEIGHT)
 
 
 def learning_rate(progress: Column, first: float = 0.025, least: float = 1e-4) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.functions import vector
-from graphloom.functions.rand import uniform, uniform_sql
+from graphloom.functions.rand import uniform, uniform_sql, uniform_value
 from graphloom.operators import cluster, embed, validate
 from graphloom.plans.base import ASSIGNED, CENTERS, POINTS, first_centers, points, query
 
@@ -120,16 +120,37 @@ cov AS (SELECT r.k, a.i, b.i AS j, sum(resp * (a.x - m.mu) * (b.x - n.mu)) / any
 SELECT CAST(k AS BIGINT) AS k, CAST(i AS BIGINT) AS i, CAST(j AS BIGINT) AS j, round(cov, 7) AS cov FROM cov""")
 def g6_c4_weighted_covariance(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
-    _, _, cov = cluster.weighted_parameters(p.select("id", "v"), _resp(p).select("id", "k", "resp"))
-    return cov.select(*(F.col(c).cast("long").alias(c) for c in ("k", "i", "j")), F.round("cov", 7).alias("cov"))
+    found = cluster.weighted_parameters(p.select("id", "v"), _resp(p).select("id", "k", "resp"))
+    rows = spark.createDataFrame([(k, [c.tolist() for c in cov]) for k, (_, _, cov) in found.items()], "k long, cov array<array<double>>")  # k matrices
+    long_ = rows.select("k", F.posexplode("cov").alias("i", "row")).select("k", "i", F.posexplode("row").alias("j", "cov"))
+    return long_.select(*(F.col(c).cast("long").alias(c) for c in ("k", "i", "j")), F.round("cov", 7).alias("cov"))
 
 
+SEED = 2
+SQ = "pow(list_distance({0}, {1}), 2)"
+PLUS = """cum{n} AS (SELECT id, sum(sq) OVER (ORDER BY id) AS c, sum(sq) OVER () AS t FROM s{n}),
+cand{n} AS (SELECT j, min(id) AS id FROM cum{n}, (VALUES {draws}) d(j, u) WHERE c > u * t GROUP BY j),
+pot{n} AS (SELECT j, any_value(c.id) AS id, sum(least(sq, {sq})) AS pot FROM cand{n} c JOIN pts q ON q.id = c.id, s{n} JOIN pts p ON p.id = s{n}.id GROUP BY j),
+q{n} AS (SELECT {n} AS k, id, v AS c FROM pts WHERE id = (SELECT arg_min(id, (pot, j)) FROM pot{n})),
+s{m} AS (SELECT s{n}.id, least(sq, {far}) AS sq FROM s{n} JOIN pts p ON p.id = s{n}.id, q{n})"""
 
-@query()
+
+def _plus(n: int, trials: int) -> str:
+    draws = ", ".join(f"({j}, {uniform_value(SEED, n, j)!r}::DOUBLE)" for j in range(trials))
+    return PLUS.format(n=n, m=n + 1, draws=draws, sq=SQ.format("p.v", "q.v"), far=SQ.format("p.v", "q{n}.c".format(n=n)))
+
+
+SEEDED = f"""WITH {POINTS}, {LONG}, q0 AS (SELECT 0 AS k, id, v AS c FROM pts ORDER BY {uniform_sql(SEED, 'id')}, id LIMIT 1), s1 AS (SELECT p.id, {SQ.format('p.v', 'q0.c')} AS sq FROM pts p, q0),
+{_plus(1, 3)}, {_plus(2, 3)}, {_plus(3, 3)}, c0 AS (SELECT k, c FROM q0 UNION ALL SELECT k, c FROM q1 UNION ALL SELECT k, c FROM q2 UNION ALL SELECT k, c FROM q3),
+{ROUND.format(n=0, m=1)}, {ROUND.format(n=1, m=2)}, d2 AS (SELECT id, k, list_distance(v, c) AS dist FROM pts, c2), l2 AS (SELECT id, arg_min(k, (dist, k)) AS label, min(dist) AS dist FROM d2 GROUP BY id)"""
+
+
+@query(f"{SEEDED} SELECT id, CAST(label AS BIGINT) AS label, round(dist, 5) AS dist FROM l2")
 def c1_kmeans_estimator(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greedy k-means++ seeding and two rounds, whole, through the estimator."""
     p = points(spark, sf_dir)
-    model = cluster.KMeans(4, "k-means++", n_init=1, max_iter=3, seed=2).fit(p)
-    return model.predict(p).groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max("dist").alias("radius"))
+    model = cluster.KMeans(4, "k-means++", n_init=1, max_iter=2, tol=0.0, seed=SEED).fit(p)
+    return model.predict(p).select("id", F.col("label").cast("long").alias("label"), F.round("dist", 5).alias("dist"))
 
 
 @query()
@@ -171,3 +192,39 @@ def r10_closer_than(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p26_p28_one_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = points(spark, sf_dir)
     return p.select("id", vector.one_hot(F.col("label"), 10).cast("string").alias("hot"), vector.repeat(F.col("label"), 3).cast("string").alias("triple"))
+
+
+@query(f"WITH {POINTS}, {CENTERS}, cut AS (SELECT k, CASE WHEN k % 2 = 0 THEN c[1:60] ELSE c END AS c FROM ctr) SELECT CAST(k AS BIGINT) AS k, CAST(len(c) AS BIGINT) AS width, (SELECT CAST(max(len(v)) AS BIGINT) FROM pts) AS wanted FROM cut WHERE len(c) <> (SELECT max(len(v)) FROM pts)")
+def v4_center_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = points(spark, sf_dir)
+    c = first_centers(p).withColumn("c", F.when(F.col("k") % 2 == 0, F.slice("c", 1, 60)).otherwise(F.col("c")))
+    return validate.bad_centers(c, p).select(*(F.col(x).cast("long").alias(x) for x in ("k", "width", "wanted")))
+
+
+CASES = [
+    ("components that aren't shares", "weights must be n_components shares that sum to 1"), ("fewer points than clusters", "fewer points than clusters"), ("means without the others", "weights, means and precisions are given together"),
+    ("means of another shape", "means must be (k, d) and precisions (k, d, d)"), ("mixture not fitted", "not fitted"), ("no clusters", "n_clusters, n_init and max_iter must be positive"), ("no rounds", "n_clusters, n_init and max_iter must be positive"),
+    ("no runs", "n_clusters, n_init and max_iter must be positive"), ("precision that isn't positive", "precisions must be symmetric and positive definite"), ("predictor not fitted", "not fitted"), ("clusters not fitted", "not fitted"), ("what fits", None),
+]
+
+
+@query("SELECT * FROM (VALUES " + ", ".join("('{}', {})".format(c.replace("'", "''"), "NULL" if t is None else f"'{t}'") for c, t in CASES) + ") t(\"case\", complaint)")
+def v2_v3_v5_v9_v10_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What estimators say of parameters that can't be, and of predictions before a fit; the wanted complaints stand in the SQL."""
+    p = points(spark, sf_dir)
+    one, two, eye = [1.0], [[0.0, 0.0]], [[[1.0, 0.0], [0.0, 1.0]]]
+    mixture, kmeans = cluster.GaussianMixture, cluster.KMeans
+    return validate.complaints(spark, {
+        "components that aren't shares": lambda: mixture(1, weights_init=[0.5], means_init=two, precisions_init=eye),
+        "fewer points than clusters": lambda: kmeans(3).fit(p.limit(2)),
+        "means without the others": lambda: mixture(1, means_init=two),
+        "means of another shape": lambda: mixture(1, weights_init=one, means_init=[0.0], precisions_init=eye),
+        "mixture not fitted": lambda: mixture(2).predict(p),
+        "no clusters": lambda: kmeans(0),
+        "no rounds": lambda: kmeans(2, max_iter=0),
+        "no runs": lambda: kmeans(2, n_init=0),
+        "precision that isn't positive": lambda: mixture(1, weights_init=one, means_init=two, precisions_init=[[[1.0, 0.0], [0.0, -1.0]]]),
+        "predictor not fitted": lambda: embed.LinkPredictor().predict(p),
+        "clusters not fitted": lambda: kmeans(2).predict(p),
+        "what fits": lambda: mixture(1, weights_init=one, means_init=two, precisions_init=eye),
+    })

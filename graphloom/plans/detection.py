@@ -201,6 +201,12 @@ def n1_n2_nms_fixpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return detect.nms_fixpoint(_crowded(spark, sf_dir), ["cls", "item"], 0.4, inclusive=False, bucket=4096.0)
 
 
+@query(f"{DENSE}{_greedy('d', 'cls, item', 0.4, False)} SELECT cls, item, id, score, x1, x2 FROM kept")
+def n3_nms_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups here are larger than `most`, so the dispatch takes the rounds over overlap edges, as it does for hot groups."""
+    return detect.suppress(_crowded(spark, sf_dir), ["cls", "item"], 0.4, most=20, bucket=4096.0)
+
+
 @query(f"{CROWDED} SELECT i, j FROM e WHERE i NOT IN (SELECT j FROM e)")
 def n1_first_round_suppressions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What undisputed detections suppress: the first round of the fixpoint, as one join."""

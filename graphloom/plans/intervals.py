@@ -181,11 +181,17 @@ def g21_segments_per_item_histogram(spark: SparkSession, sf_dir: str) -> DataFra
     return b.join(F.broadcast(b.agg(F.sum("items").alias("t")))).select("segments", F.round(F.col("items") * 100.0 / F.col("t"), 9).alias("share"))
 
 
-@query()
+LLOYD = """l{n} AS (SELECT p.id, len, arg_min(k, (abs(len - c), k)) AS label FROM pts p, c{n} GROUP BY p.id, len),
+c{m} AS (SELECT k, coalesce(avg(len), 0.0) AS c FROM c{n} LEFT JOIN l{n} ON label = k GROUP BY k)"""
+
+
+@query(f"""{WITH}, pts AS (SELECT id, e - s AS len FROM seg), c0 AS (SELECT row_number() OVER (ORDER BY {uniform_sql(3, 'id')}, id) - 1 AS k, len AS c FROM pts QUALIFY k < 5),
+{', '.join(LLOYD.format(n=k, m=k + 1) for k in range(3))}, l3 AS (SELECT p.id, len, arg_min(k, (abs(len - c), k)) AS label FROM pts p, c3 GROUP BY p.id, len)
+SELECT CAST(label AS BIGINT) AS label, count(*) AS n, min(len) AS least, max(len) AS most FROM l3 GROUP BY label""")
 def g23_segment_length_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = segments(spark, sf_dir).select("id", F.array(F.col("e") - F.col("s")).alias("v"))
-    labelled, centers, _ = cluster.lloyd(pts, cluster.seed_centers(pts, 5, 3), rounds=5)
-    return labelled.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.min(F.get("v", F.lit(0))).alias("least"), F.max(F.get("v", F.lit(0))).alias("most"))
+    labelled, centers, _ = cluster.lloyd(pts, cluster.seed_centers(pts, 5, 3), rounds=3, tol=0.0)
+    return labelled.groupBy(F.col("label").cast("long").alias("label")).agg(F.count(F.lit(1)).alias("n"), F.min(F.get("v", F.lit(0))).alias("least"), F.max(F.get("v", F.lit(0))).alias("most"))
 
 
 @query(f"{WITH}, a AS (SELECT * FROM seg WHERE id % 2 = 0 AND item % 3 = 0), b AS (SELECT * FROM seg WHERE id % 2 = 1) SELECT item, id, s, e, cls FROM a UNION ALL SELECT item, id, s, e, cls FROM b WHERE item IN (SELECT item FROM a)")
@@ -269,6 +275,14 @@ def n6_sampled_rois(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 
+@query(f"""{LABELLED}, r AS (SELECT *, row_number() OVER (PARTITION BY item, label ORDER BY {uniform_sql(0, 'item', 'id')}, id) AS k, least(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) OVER (PARTITION BY item), 8) AS fg FROM l),
+f AS (SELECT item, CASE WHEN (label = 1 AND k > fg) OR (label = 0 AND k > 16 - fg) THEN -1 ELSE label END AS label FROM r),
+n AS (SELECT item, CAST(sum(CASE WHEN label = 1 THEN 1 ELSE 0 END) AS BIGINT) AS fg, CAST(sum(CASE WHEN label = 0 THEN 1 ELSE 0 END) AS BIGINT) AS bg, CAST(sum(CASE WHEN label = -1 THEN 1 ELSE 0 END) AS BIGINT) AS ignored FROM f GROUP BY item)
+SELECT *, round(1.0 / (fg + bg), 9) AS weight FROM n""")
+def g24_batch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect.batch_summary(n5_subsampled_anchors(spark, sf_dir)).withColumn("weight", F.round("weight", 9))
+
+
 @query(f"{WITH} SELECT CAST(count(*) AS BIGINT) AS bad FROM seg WHERE e <= s")
 def v8_segment_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validate.bad_segments(segments(spark, sf_dir)).agg(F.count(F.lit(1)).alias("bad"))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.rand import uniform_sql
 from graphloom.operators import embed, windows
+from graphloom.operators.detect import pack_by_budget
 from graphloom.operators.prefix import positions
 from graphloom.plans.base import TOKENS, query, read, sentences
 
@@ -54,15 +55,35 @@ def w10_context_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sentence", "token", F.col("pos").cast("long").alias("pos"), F.col("context_pos").cast("long").alias("context_pos"), "context")
 
 
-@query(f"{WITH}, {VOCAB}, p AS (SELECT a.sentence, a.pos, b.token AS context FROM tok a JOIN tok b USING (sentence) WHERE a.pos <> b.pos AND abs(a.pos - b.pos) <= 4 - a.pos % 4) SELECT sentence, pos, count(*) AS n, round(avg(idx), 9) AS mean_idx FROM p JOIN voc ON voc.token = context GROUP BY ALL")
+@query(f"{WITH}, {VOCAB}, p AS (SELECT a.sentence, a.pos, b.token AS context FROM tok a JOIN tok b USING (sentence) WHERE a.pos <> b.pos AND abs(a.pos - b.pos) <= 4 - a.pos % 4) SELECT sentence, pos, count(*) AS n, round(avg(idx), 9) AS mean_idx, CAST(sum(idx) AS BIGINT) AS sum_idx FROM p JOIN voc ON voc.token = context GROUP BY ALL")
 def w11_context_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     tok = _tokens(spark, sf_dir)
     pairs = windows.context_pairs(tok, 4, F.pmod("pos", F.lit(4)))
     rows = pairs.join(_vocab(spark, sf_dir).select(F.col("token").alias("context"), "idx"), "context")
-    return rows.groupBy("sentence", F.col("pos").cast("long").alias("pos")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("idx"), 9).alias("mean_idx"))
+    return rows.groupBy("sentence", F.col("pos").cast("long").alias("pos")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("idx"), 9).alias("mean_idx"), F.sum("idx").alias("sum_idx"))
 
 
 
+@query(f"""WITH RECURSIVE {TOKENS}, s AS (SELECT sentence // 1000 AS part, sentence, count(*) AS n, row_number() OVER (PARTITION BY sentence // 1000 ORDER BY sentence) AS r FROM tok GROUP BY sentence),
+g AS (SELECT part, sentence, r, 0 AS batch, n AS used FROM s WHERE r = 1 UNION ALL SELECT s.part, s.sentence, s.r, CASE WHEN used > 0 AND used + n > 100 THEN batch + 1 ELSE batch END, CASE WHEN used > 0 AND used + n > 100 THEN n ELSE used + n END FROM g JOIN s ON s.part = g.part AND s.r = g.r + 1)
+SELECT part, sentence, CAST(batch AS BIGINT) AS batch FROM g""")
+def w13_packed_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation packed into batches of 100 words, a conversation a part."""
+    sizes = _tokens(spark, sf_dir).groupBy("sentence").agg(F.count(F.lit(1)).alias("n")).withColumn("part", F.floor(F.col("sentence") / 1000))
+    return pack_by_budget(sizes, 100)
+
+
+@query(f"""WITH RECURSIVE {TOKENS}, {VOCAB}, h AS (SELECT list_sort(list(cnt)) AS l, 0::BIGINT AS cost FROM voc UNION ALL SELECT list_sort(list_append(l[3:], l[1] + l[2])), cost + l[1] + l[2] FROM h WHERE len(l) > 1)
+SELECT (SELECT count(*) FROM voc) AS words, CAST(max(cost) AS BIGINT) AS cost, 1.0::DOUBLE AS kraft, true AS prefix_free FROM h""")
+def g20_huffman_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes are optimal: their cost is what merging the two least counts again and again costs; and no code begins another."""
+    vocab = _vocab(spark, sf_dir)
+    codes = spark.createDataFrame(embed.huffman(vocab), "token string, code string")
+    follows = F.lead("code").over(Window.orderBy("code"))  # one row a word of a vocabulary that fits the driver
+    rows = codes.join(vocab, "token").withColumn("_starts", F.coalesce(follows.startswith(F.col("code")), F.lit(False)))
+    return rows.agg(F.count(F.lit(1)).alias("words"), F.sum(F.col("cnt") * F.length("code")).alias("cost"), F.sum(F.pow(F.lit(2.0), -F.length("code"))).alias("kraft"), (~F.bool_or("_starts")).alias("prefix_free"))
+
+
 @query(f"{WITH}, {VOCAB}, t AS (SELECT sum(cnt) * 0.001::DOUBLE AS t FROM voc), k AS (SELECT token, least(1.0, (sqrt(cnt / t) + 1) * (t / cnt)) AS p FROM voc, t) SELECT sentence, pos, token FROM tok JOIN k USING (token) WHERE {uniform_sql(9, 'sentence', 'pos')} < p")
 def l11_kept_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = embed.kept(_tokens(spark, sf_dir), embed.sampling(_vocab(spark, sf_dir)), 9)
@@ -74,10 +95,12 @@ def p30_learning_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.range(8).select(F.col("id").alias("epoch"), F.round(embed.learning_rate(F.col("id") / 5.0), 9).alias("rate"))
 
 
-@query(f"{WITH}, {VOCAB}, n AS (SELECT count(*) AS n FROM voc) SELECT n * 700 AS vocab, n * 256 AS vectors, n * 256 AS layer1, n * 256 AS layer1neg, n * (700 + 768) AS total FROM n")
+@query(f"{WITH}, {VOCAB}, n AS (SELECT count(*) AS n FROM voc) SELECT n AS words, n * (500 + 512) AS sampled, n * (700 + 512) AS coded, n * (700 + 768) AS both FROM n")
 def p31_memory_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = _vocab(spark, sf_dir).agg(F.count(F.lit(1)).alias("n"))
-    return n.select(*(c.alias(k) for k, c in embed.memory(F.col("n"), 64, hs=True).items()))
+    """Input vectors with negative sampling's matrix, with hierarchical softmax's, and with both."""
+    n = _vocab(spark, sf_dir).agg(F.count(F.lit(1)).alias("words"))
+    kinds = {"sampled": (2, False), "coded": (2, True), "both": (3, True)}
+    return n.select("words", *(embed.model_bytes(F.col("words"), 64, *k).alias(c) for c, k in kinds.items()))
 
 
 @query(f"{WITH}, {VOCAB} SELECT token, CAST(i AS BIGINT) AS i, round(({uniform_sql(1, 'token', 'i')} - 0.5) / 4, 9) AS x FROM voc, range(4) t(i)")
