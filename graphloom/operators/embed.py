@@ -96,8 +96,9 @@ def initial_vectors(vocab: DataFrame, size: int, seed: int = 1) -> DataFrame:
     return vocab.select("token", F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: (uniform(seed, F.col("token"), i) - 0.5) / size).alias("vec"))
 
 
-def word2vec(sentences: DataFrame, column: str = "tokens", size: int = 64, window: int = 5, min_count: int = 1, epochs: int = 1, seed: int = 1, partitions: int = 1) -> DataFrame:
-    """token, vec by MLlib (skip-gram with hierarchical softmax)."""
+def word2vec(sentences: DataFrame, column: str = "tokens", size: int = 64, window: int = 5, min_count: int = 1, epochs: int = 1, seed: int = 1, partitions: int | None = None) -> DataFrame:
+    """token, vec by MLlib (skip-gram with hierarchical softmax), in as many partitions as the sentences have."""
+    partitions = partitions or max(1, sentences.rdd.getNumPartitions())
     model = Word2Vec(inputCol=column, outputCol="_out", vectorSize=size, windowSize=window, minCount=min_count, maxIter=epochs, seed=seed, numPartitions=partitions).fit(sentences)
     return model.getVectors().select(F.col("word").alias("token"), vector_to_array("vector").alias("vec"))
 
@@ -108,9 +109,15 @@ def upsert(store: DataFrame, new: DataFrame, key: str = "token") -> DataFrame:
     return store.join(last.select(key), key, "left_anti").unionByName(last.select(*store.columns))
 
 
-def most_similar(queries: DataFrame, vectors: DataFrame, n: int) -> DataFrame:
-    """query, token, cosine, rank: for a given set of queries, which is broadcast, against all vectors."""
-    rows = vectors.join(F.broadcast(queries.select(F.col("token").alias("query"), F.col("vec").alias("qv")))).where("token <> query")
+def most_similar(queries: DataFrame, vectors: DataFrame, n: int, most: int = 10_000) -> DataFrame:
+    """query, token, cosine, rank of a given set of queries against all vectors: broadcast up to `most` queries, else in blocks of so many."""
+    asked = queries.select(F.col("token").alias("query"), F.col("vec").alias("qv"))
+    blocks = -(-asked.count() // most)
+    if blocks <= 1:
+        rows = vectors.join(F.broadcast(asked)).where("token <> query")
+    else:
+        dealt = asked.withColumn("_b", F.pmod(F.xxhash64("query"), F.lit(blocks)))
+        rows = vectors.withColumn("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(dealt, "_b").where("token <> query")
     rows = rows.select("query", "token", vector.cosine(F.col("qv"), F.col("vec")).alias("cosine"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("cosine"), "token"))).where(F.col("rank") <= n)
 
@@ -120,17 +127,60 @@ def edge_features(edges: DataFrame, vectors: DataFrame, how: str = "hadamard") -
     return both_ends(edges, vectors).select("src", "dst", vector.EDGE_FEATURES[how](F.col("va"), F.col("vb")).alias("features"))
 
 
-def deepwalk(edges: DataFrame, size: int = 64, length: int = 10, walks: int = 5, policy: str = "random", epochs: int = 1, seed: int = 0, p: float = 1.0, q: float = 1.0) -> DataFrame:
-    """id, v: vectors of nodes from walks, uniform, PageRank-weighted or second-order."""
-    sym = G.symmetric(G.undirected(edges)).select("src", "dst")
-    starts = G.nodes(edges)
+def walk_paths(edges: DataFrame, length: int = 10, walks: int = 5, policy: str = "random", seed: int = 0, p: float = 1.0, q: float = 1.0) -> DataFrame:
+    """walk, start, path: uniform (random), PageRank-weighted (pagerank) or second-order (node2vec) walks from every node."""
+    starts, graph = G.nodes(edges), G.undirected(edges)
     if policy == "node2vec":
-        paths = G.biased_walks(G.undirected(edges), starts, length, walks, p, q, seed)
-    else:
-        weights = G.pagerank(edges).select("node", F.col("rank").alias("weight")) if policy == "pagerank" else None
-        paths = G.random_walks(sym, starts, length, walks, seed, weights)
-    out = word2vec(paths.select(F.col("path").cast("array<string>").alias("tokens")), size=size, epochs=epochs, seed=seed)
-    return out.select(F.col("token").cast("long").alias("id"), F.col("vec").alias("v"))
+        return G.biased_walks(graph, starts, length, walks, p, q, seed)
+    weights = G.pagerank(edges).select("node", F.col("rank").alias("weight")) if policy == "pagerank" else None
+    return G.random_walks(G.symmetric(graph).select("src", "dst"), starts, length, walks, seed, weights)
+
+
+def deepwalk(edges: DataFrame, size: int = 64, length: int = 10, walks: int = 5, policy: str = "random", epochs: int = 1, seed: int = 0, p: float = 1.0, q: float = 1.0, window: int = 5, alpha: float = 0.05) -> DataFrame:
+    """id, v: vectors of all nodes, skip-grams with negative sampling over walks."""
+    from graphloom.operators.word2vec import Word2Vec as Trained
+
+    paths = walk_paths(edges, length, walks, policy, seed, p, q)
+    rows = paths.select(F.xxhash64("walk", "start").alias("sentence"), F.posexplode("path").alias("pos", "node")).select("sentence", "pos", F.col("node").cast("string").alias("token"))
+    model = Trained(size, alpha, window=window, min_count=1, sample=0, seed=seed, sg=True, epochs=epochs).fit(rows)
+    return model.vectors.select(F.col("token").cast("long").alias("id"), F.col("vec").alias("v"))
+
+
+class DeepWalk:
+    """Vectors of nodes, clusters of the vectors, and a label for each node from a few labelled ones."""
+
+    def __init__(self, clusters: int = 5, rounds: int = 15, **walk):  # noqa: ANN003
+        self.clusters, self.rounds, self.walk, self.vectors = clusters, rounds, walk, None
+
+    def fit(self, edges: DataFrame) -> DeepWalk:
+        self.vectors = deepwalk(edges, **self.walk)
+        return self
+
+    def predict(self, truth: DataFrame, default: int = 0) -> DataFrame:
+        """node, comm, label from truth (node, label): k-means over unit vectors, then each cluster's majority."""
+        if self.vectors is None:
+            raise ValueError("not fitted")
+        from graphloom.operators.cluster import KMeans
+
+        unit = self.vectors.select("id", F.transform("v", lambda x: x / F.greatest(F.sqrt(vector.dot(F.col("v"), F.col("v"))), F.lit(1e-12))).alias("v"))
+        found = KMeans(self.clusters, n_init=1, max_iter=self.rounds, tol=1e-3, seed=self.walk.get("seed", 0)).fit(unit).predict(unit)
+        return G.majority_labels(found.select(F.col("id").alias("node"), F.col("label").alias("comm")), truth, default)
+
+
+def link_auc(edges: DataFrame, negative: DataFrame, layers: tuple[int, ...] = (64, 32), how: str = "hadamard", max_iter: int = 100, share: float = 0.75, seed: int = 0, **walk) -> DataFrame:  # noqa: ANN003
+    """auc, n: walks and vectors from `share` of the edges, a classifier on their features and as much of the negative pairs, judged on the rest."""
+    from graphloom.operators import metrics
+
+    def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        u = uniform(seed, F.col("src"), F.col("dst"))
+        return rows.where(u < share), rows.where(u >= share)
+
+    (known, asked), (other, wrong) = split(edges.select("src", "dst")), split(negative.select("src", "dst"))
+    vectors = deepwalk(known, seed=seed, **walk)
+    model = LinkPredictor(layers, how, max_iter, seed).fit(known, other, vectors)
+    judged = model.predict(asked).withColumn("label", F.lit(1).cast("long")).unionByName(model.predict(wrong).withColumn("label", F.lit(0).cast("long")))
+    judged = G.written(judged.select("label", F.col("probability").alias("score")), "link-judged")
+    return metrics.roc_auc(judged).join(judged.agg(F.count(F.lit(1)).alias("n"))).select("auc", "n")
 
 
 class LinkPredictor:

@@ -122,15 +122,15 @@ def _moves(graph: DataFrame, partition: DataFrame, parity: int, salt: int) -> Da
     near = neighbor_communities(graph, partition).withColumnRenamed("comm", "to")
     own = partition.join(deg, "node").join(comm_deg, "comm").select("node", F.col("comm").alias("own"), "degree", F.col("cdeg").alias("own_deg"))
     stay = near.join(partition.select("node", F.col("comm").alias("to")), ["node", "to"]).select("node", F.col("w").alias("own_w"))
-    turn = F.pmod(F.xxhash64("node", F.lit(salt)), F.lit(2)) == parity
+    turn = (uniform(salt, F.col("node")) < 0.5) == F.lit(parity == 0)
     options = near.join(own, "node").where((F.col("to") != F.col("own")) & turn).join(stay, "node", "left").join(comm_deg.withColumnRenamed("comm", "to"), "to").join(F.broadcast(m))
     norm = F.col("degree") / (2 * F.col("m"))
     gain = F.col("w") - F.coalesce("own_w", F.lit(0.0)) - (F.col("cdeg") - F.col("own_deg") + F.col("degree")) * norm
     return options.withColumn("gain", gain).where("gain > 1e-12").groupBy("node").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("comm"))
 
 
-def louvain(edges: DataFrame, tol: float = 1e-7, max_passes: int = 10, max_rounds: int = 10) -> DataFrame:
-    """pass, node, comm for every pass, nodes being the original ones.
+def louvain(edges: DataFrame, tol: float = 1e-7, max_passes: int = 10, max_rounds: int = 10, init: DataFrame | None = None) -> DataFrame:
+    """pass, node, comm for every pass, nodes being the original ones. init: (node, comm) that the first pass starts from, else each node alone.
 
     Synchronous rounds: nodes whose hash has the round's parity take their best gaining move, the others wait, and a round
     counts only if modularity rises by tol; so it never falls. Then communities are contracted.
@@ -139,7 +139,8 @@ def louvain(edges: DataFrame, tol: float = 1e-7, max_passes: int = 10, max_round
     member = written(nodes(graph).select("node", F.col("node").alias("comm")), "lv-member")
     out = None
     for step in range(max_passes):
-        part = written(nodes(graph).select("node", F.col("node").alias("comm")), "lv-part")
+        part = nodes(graph).select("node", F.col("node").alias("comm")) if init is None or step else init.select("node", "comm")
+        part = written(part, "lv-part")
         score = modularity(graph, part).first()[0] or 0.0
         start, idle = score, 0
         for r in range(max_rounds):
@@ -164,6 +165,36 @@ def louvain(edges: DataFrame, tol: float = 1e-7, max_passes: int = 10, max_round
     return out.select("pass", "node", "comm")
 
 
+class Louvain:
+    """Communities of an edge table: all passes, the last one whose number of communities is near the wanted one, and lookups."""
+
+    def __init__(self, n_partitions: int | None = None, tol: float = 1e-7, max_passes: int = 10, max_rounds: int = 10):
+        self.wanted, self.tol, self.max_passes, self.max_rounds, self.passes = n_partitions, tol, max_passes, max_rounds, None
+
+    def fit(self, edges: DataFrame, known: DataFrame | None = None, init: DataFrame | None = None) -> Louvain:
+        """known: nodes (node) that must be those of the edges; init: a partition (node, comm) of them to start from."""
+        if not edges.limit(1).count():
+            raise ValueError("a graph without edges")
+        for given, what in ((known, "nodes"), (init, "the first partition")):
+            if given is not None:
+                missing, extra = same_nodes(given.select("node"), nodes(edges)).first()
+                if missing or extra:
+                    raise ValueError(f"{what} and the edges' ends differ: {missing} without an edge, {extra} not listed")
+        self.passes = written(louvain(edges, self.tol, self.max_passes, self.max_rounds, init), "lv-passes")
+        return self
+
+    def partition(self) -> DataFrame:
+        """node, comm of the last pass, or of the deepest one within two of the wanted number of communities."""
+        if self.passes is None:
+            raise ValueError("not fitted")
+        last = self.passes.agg(F.max("pass").alias("pass")) if self.wanted is None else last_pass(self.passes, self.wanted)
+        return self.passes.join(F.broadcast(last), "pass").select("node", "comm")
+
+    def predict(self, rows: DataFrame) -> DataFrame:
+        """rows (node) with comm; null for nodes that weren't there."""
+        return rows.join(self.partition(), "node", "left")
+
+
 def random_walks(edges: DataFrame, starts: DataFrame, length: int = 10, walks: int = 1, seed: int = 0, weights: DataFrame | None = None) -> DataFrame:
     """walk, start, path: self-avoiding walks, uniform or by weights (node, weight); a walk ends early without a fresh neighbour.
 

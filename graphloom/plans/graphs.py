@@ -174,9 +174,30 @@ def j6_missing_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.both_ends(p.select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst")), p, strict=True).select("src", "dst")
 
 
+MOVED = """cd{n} AS (SELECT comm, sum(degree) AS cdeg FROM deg JOIN p{n} USING (node) GROUP BY comm),
+nr{n} AS (SELECT src AS node, comm AS there, sum(w) AS w FROM sym JOIN p{n} ON p{n}.node = dst WHERE src <> dst GROUP BY ALL),
+gn{n} AS (SELECT a.node, a.there, a.w - coalesce(s.w, 0) - (t.cdeg - o.cdeg + degree) * (degree / (2 * m)) AS gain FROM nr{n} a JOIN p{n} p ON p.node = a.node JOIN deg d ON d.node = a.node JOIN cd{n} t ON t.comm = a.there JOIN cd{n} o ON o.comm = p.comm LEFT JOIN nr{n} s ON s.node = a.node AND s.there = p.comm, tot
+WHERE a.there <> p.comm AND ({u} < 0.5) = {turn}), mv{n} AS (SELECT node, arg_max(there, (gain, -there)) AS there FROM gn{n} WHERE gain > 1e-12 GROUP BY node),
+t{n} AS (SELECT node, coalesce(there, comm) AS comm FROM p{n} LEFT JOIN mv{n} USING (node)), {before}, {after},
+p{m} AS (SELECT p{n}.node, CASE WHEN (SELECT q FROM qt{n}) - (SELECT q FROM qp{n}) >= 1e-7 THEN t{n}.comm ELSE p{n}.comm END AS comm FROM p{n} JOIN t{n} USING (node))"""
+QUALITY = """q{k}{n} AS (SELECT sum(inner_w / m - pow(degree / (2 * m), 2)) AS q FROM (SELECT comm, sum(degree) AS degree FROM deg JOIN {k}{n} USING (node) GROUP BY comm) LEFT JOIN (SELECT a.comm, sum(w) AS inner_w0 FROM graph JOIN {k}{n} a ON a.node = src JOIN {k}{n} b ON b.node = dst WHERE a.comm = b.comm GROUP BY a.comm) USING (comm), tot, LATERAL (SELECT coalesce(inner_w0, 0) AS inner_w))"""
+
+
+def _moved(n: int) -> str:
+    return MOVED.format(n=n, m=n + 1, u=uniform_sql(n // 2, "a.node"), turn=str(n % 2 == 0).lower(), before=QUALITY.format(k="p", n=n), after=QUALITY.format(k="t", n=n))
+
+
+@query(f"""{WITH}, {DEG}, tot AS (SELECT sum(w) AS m FROM graph), p0 AS (SELECT node, node AS comm FROM nodes), {', '.join(map(_moved, range(4)))},
+f AS (SELECT comm, row_number() OVER (ORDER BY min(node)) - 1 AS new FROM p4 GROUP BY comm) SELECT node, new AS comm FROM p4 JOIN f USING (comm)""")
+def c6_louvain_one_pass(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rounds of moves, each kept if modularity rises, and the communities numbered by their first node."""
+    return G.louvain(part_edges(spark, sf_dir), max_passes=1, max_rounds=4).select("node", "comm")
+
+
 @query()
 def c6_louvain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return G.louvain(part_edges(spark, sf_dir), max_passes=2, max_rounds=3)
+    """All passes; rounds stop when modularity stays. The number of passes and rounds is bounded by the operator's defaults."""
+    return G.Louvain().fit(part_edges(spark, sf_dir)).passes
 
 
 STEP = """s{m} AS (SELECT start, CASE WHEN f IS NOT NULL AND len(f) > 0 THEN list_append(path, f[1 + CAST(floor(u * len(f)) AS BIGINT)]) ELSE path END AS path, CASE WHEN f IS NOT NULL AND len(f) > 0 THEN f[1 + CAST(floor(u * len(f)) AS BIGINT)] END AS cur
@@ -209,12 +230,19 @@ def c9_deepwalk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.deepwalk(part_edges(spark, sf_dir), size=8, length=5, walks=1)
 
 
-def random_pairs(v: DataFrame, seed: int) -> DataFrame:
-    """src, dst: each odd id with another id, drawn by hash from all."""
+@query()
+def c9_deepwalk_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Walks, vectors, clusters and majority labels of all nodes from a tenth that is labelled."""
+    truth = spark.read.parquet(f"{sf_dir}/part.parquet").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("node"), F.pmod("p_size", F.lit(5)).cast("long").alias("label"))
+    return embed.DeepWalk(5, size=8, length=5, walks=1).fit(part_edges(spark, sf_dir)).predict(truth, 2)
+
+
+def random_pairs(v: DataFrame, seed: int, which: str = "id % 2 = 1") -> DataFrame:
+    """src, dst: each odd id (or those of `which`) with another id, drawn by hash from all."""
     at = positions(v.select("id"), "id")
     n = at.count()
     away = F.floor(uniform(seed, F.col("id")) * (n - 1)) + 1
-    drawn = at.where("id % 2 = 1").select(F.col("id").alias("src"), (F.pmod(F.col("pos") - 1 + away, F.lit(n)) + 1).alias("pos"))
+    drawn = at.where(which).select(F.col("id").alias("src"), (F.pmod(F.col("pos") - 1 + away, F.lit(n)) + 1).alias("pos"))
     return drawn.join(at.withColumnRenamed("id", "dst"), "pos").select("src", "dst")
 
 
@@ -224,3 +252,11 @@ def c10_link_prediction(spark: SparkSession, sf_dir: str) -> DataFrame:
     pos = v.where("id % 2 = 0").select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
     neg = random_pairs(v, 10)
     return embed.LinkPredictor((8,), max_iter=5).fit(pos, neg, v).predict(pos.unionByName(neg))
+
+
+@query()
+def c10_c13_link_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second-order walks over three quarters of the edges, vectors, features, a perceptron, and the AUC of the other quarter against random pairs."""
+    g = _graph(spark, sf_dir)
+    ids = G.nodes(g).select(F.col("node").alias("id"))
+    return embed.link_auc(g, random_pairs(ids, 11, "true"), (8,), max_iter=20, size=8, length=5, walks=1, policy="node2vec", p=2.0, q=4.0)

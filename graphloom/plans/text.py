@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from graphloom.functions.rand import uniform_sql
 from graphloom.operators import embed, windows
+from graphloom.operators import word2vec as W2V
 from graphloom.operators.detect import pack_by_budget
 from graphloom.operators.prefix import positions
 from graphloom.plans.base import TOKENS, query, read, sentences
@@ -141,7 +142,38 @@ def j13_positional_zip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.join(b, "pos").select("doc_id", "other")
 
 
+DOMAIN = 1000
+SGNS = """g{n} AS (SELECT pr.src, pr.dst, (label - 1 / (1 + exp(-list_dot_product(i.vec, o.vec)))) * 0.05 AS g, i.vec AS u, o.vec AS o FROM pr JOIN i{n} i ON i.idx = pr.src JOIN o{n} o ON o.idx = pr.dst),
+di{m} AS (SELECT src AS idx, sum(g * o[1]) AS a, sum(g * o[2]) AS b FROM g{n} GROUP BY src), do{m} AS (SELECT dst AS idx, sum(g * u[1]) AS a, sum(g * u[2]) AS b FROM g{n} GROUP BY dst),
+i{m} AS (SELECT idx, [vec[1] + coalesce(a, 0), vec[2] + coalesce(b, 0)] AS vec FROM i{n} LEFT JOIN di{m} USING (idx)), o{m} AS (SELECT idx, [vec[1] + coalesce(a, 0), vec[2] + coalesce(b, 0)] AS vec FROM o{n} LEFT JOIN do{m} USING (idx))"""
+
+
+@query(f"""{WITH}, {VOCAB}, ns AS (SELECT idx, CAST(round_even(sum(pow(cnt, 0.75)) OVER (ORDER BY idx) / sum(pow(cnt, 0.75)) OVER () * {DOMAIN}, 0) AS BIGINT) AS cum FROM voc),
+slots AS (SELECT unnest(range(coalesce(prev, 0), cum)) AS slot, idx FROM (SELECT idx, cum, lag(cum) OVER (ORDER BY idx) AS prev FROM ns)),
+v AS (SELECT sentence, pos, idx FROM tok JOIN voc USING (token)),
+p AS (SELECT a.sentence, a.pos, b.pos AS cp, a.idx AS src, b.idx AS dst FROM v a JOIN v b USING (sentence) WHERE a.pos <> b.pos AND abs(a.pos - b.pos) <= 4 - a.pos % 4),
+pr AS MATERIALIZED (SELECT src, dst, 1.0::DOUBLE AS label FROM p UNION ALL SELECT src, idx, 0.0 FROM (SELECT src, dst, floor({uniform_sql(7, 'sentence', 'pos', 'cp', 'j')} * {DOMAIN}) AS slot FROM p, range(1, 4) t(j)) JOIN slots USING (slot) WHERE idx <> dst),
+i0 AS (SELECT idx, [({uniform_sql(1, 'token', '0')} - 0.5) / 2, ({uniform_sql(1, 'token', '1')} - 0.5) / 2] AS vec FROM voc), o0 AS (SELECT idx, [0.0, 0.0]::DOUBLE[] AS vec FROM voc),
+{SGNS.format(n=0, m=1)}, {SGNS.format(n=1, m=2)} SELECT idx, round(vec[1], 7) AS x, round(vec[2], 7) AS y FROM i2""")
+def c11_negative_sampling_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two gradient steps of skip-grams with three negative samples a pair, over all pairs, from the vector tables."""
+    vocab = _vocab(spark, sf_dir)
+    slots = W2V.noise_slots(embed.noise_table(vocab, domain=DOMAIN))
+    rows = _tokens(spark, sf_dir).join(vocab.select("token", "idx"), "token").select("sentence", "pos", "idx")
+    pairs = windows.context_pairs(rows, 4, F.pmod("pos", F.lit(4)), token="idx").select("sentence", "pos", "context_pos", F.col("idx").alias("src"), F.col("context").alias("dst"))
+    pairs = W2V.with_negatives(pairs, slots, DOMAIN, 3, 7, F.col("sentence"), F.col("pos"), F.col("context_pos"))
+    inputs = embed.initial_vectors(vocab, 2).join(vocab.select("token", "idx"), "token").select("idx", "vec")
+    outputs = inputs.select("idx", F.transform("vec", lambda x: F.lit(0.0)).alias("vec"))
+    for _ in range(2):
+        inputs, outputs = W2V.sgns_step(pairs, inputs, outputs, 0.05, 2)
+    return inputs.select("idx", F.round(F.get("vec", F.lit(0)), 7).alias("x"), F.round(F.get("vec", F.lit(1)), 7).alias("y"))
+
+
 @query()
 def c11_word2vec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _tokens(spark, sf_dir).groupBy("sentence").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "token"))), lambda x: x["token"]).alias("tokens"))
-    return embed.word2vec(rows, size=8, min_count=3)
+    return W2V.Word2Vec(8, min_count=3, sg=True, epochs=1, hs=True, negative=0).fit(_tokens(spark, sf_dir)).vectors
+
+
+@query()
+def c11_cbow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return W2V.Word2Vec(8, min_count=3, epochs=2).fit(_tokens(spark, sf_dir)).vectors
