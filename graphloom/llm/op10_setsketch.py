@@ -10,10 +10,9 @@ that share a band are candidates. At similarity 0.8 a link escapes all 32 bands
    many registers are larger, smaller and equal, given both sizes; what is estimated below `LEAST_ESTIMATE` goes, five standard
    deviations below 0.8, so a link is lost there with a probability of 3e-7. The rest is verified on full sets.
 3. Links become components. Bands whose members are in one component are done; in the others, members outside the
-   largest component are compared with all members in other components, in blocks of bounded size; a large band is
-   first dealt by size, as sets of very different sizes can't be linked. A block estimates by registers first and
-   verifies what is likely on full sets, likeliest first; it gives one link for each two components that it joins, so no
-   more than it has members. So links between any two members of a band are found, yet pairs inside a component, the bulk
+   largest component are compared with all members in other components, in blocks of bounded size. A block tells by
+   size which sets can be linked, estimates those by their registers and verifies what is likely on full sets, likeliest
+   first; it gives one link for each two components that it joins, so no more than it has members. So links between any two members of a band are found, yet pairs inside a component, the bulk
    of a large group of copies, are never made.
 
 Shingles are known by 64-bit hashes; two different ones share a hash with a probability of 1e-13 in a pair of sets of 1000.
@@ -44,7 +43,8 @@ RATE = 20.0
 LIMIT = 65535
 PERCENT = 80
 LEAST_ESTIMATE = 0.62  # five standard deviations of the estimate below 0.8
-BLOCK = 512
+BLOCK = 2048  # members of a block, probes and others each
+BLOCK_SHINGLES = 8_000_000  # and their shingles together
 LEAST_EQUAL = 48  # of 128 registers: a quick test far below what any estimate of LEAST_ESTIMATE has
 FLUSH = 200_000
 CACHED = 300_000
@@ -222,22 +222,15 @@ def block_links(probes: list[tuple], base: list[tuple]) -> list[tuple[int, int]]
 
 
 def rest_links(members: DataFrame, comp: DataFrame, reps: DataFrame, sets: DataFrame, block: int | None = None) -> DataFrame:
-    """Links (a, b) that join components within the bands (h, rep, lo) whose members aren't in one yet."""
+    """Links (a, b) that join components within the bands (h, rep, n, lo) whose members aren't in one yet."""
     block = block or BLOCK
     of = comp.select(F.col("node").alias("rep"), "root")
-    rows = members.where("rep > lo").join(of, "rep", "left").select("h", "rep", F.coalesce("root", "rep").alias("comp"))
-
-    def unresolved(rows: DataFrame) -> DataFrame:
-        sizes = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("_n"))
-        sizes = sizes.groupBy("h").agg(F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.sum("_n").alias("n_band"), F.max("_n").alias("most")).where("most < n_band")
-        return rows.join(sizes, "h")
-
-    rows = materialize(unresolved(rows).join(reps.select("rep", "n"), "rep").select("h", "rep", "comp", "n", "n_band"), "dup-rest")
-    # Sizes of a link differ by a factor of 0.8 at most: by steps of a factor, it lies in one step or in two that follow each other.
-    step = F.floor(F.log(F.col("n")) / F.log(F.lit(100 / PERCENT))).cast("long")
-    keys = F.when(F.col("n_band") > block, F.array(F.xxhash64("h", step), F.xxhash64("h", step + 1))).otherwise(F.array(F.col("h")))
-    rows = unresolved(rows.withColumn("h", F.explode(keys)).select("h", "rep", "comp", "n"))
-    rows = rows.withColumns({"nb": F.ceil(F.col("n_band") / block).cast("int"), "np": F.ceil((F.col("n_band") - F.col("most")) / block).cast("int"), "s": F.xxhash64("rep")})
+    rows = members.where("rep > lo").join(of, "rep", "left").select("h", "rep", F.coalesce("root", "rep").alias("comp"), "n")
+    sizes = rows.groupBy("h", "comp").agg(F.count(F.lit(1)).alias("_n"), F.sum("n").alias("_s"))
+    sizes = sizes.groupBy("h").agg(F.max_by("comp", F.struct("_n", "comp")).alias("main"), F.sum("_n").alias("n_band"), F.max("_n").alias("most"), F.sum("_s").alias("shingles")).where("most < n_band")
+    rows = materialize(rows.join(sizes, "h"), "dup-rest")
+    blocks = F.greatest(F.col("n_band") / block, F.col("shingles") / BLOCK_SHINGLES)
+    rows = rows.withColumns({"nb": F.ceil(blocks).cast("int"), "np": F.ceil(blocks * (F.col("n_band") - F.col("most")) / F.col("n_band")).cast("int"), "s": F.xxhash64("rep")})
     base = rows.select("h", F.pmod("s", "nb").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("np") - 1)).alias("j"), F.lit(False).alias("probe"), "rep", "comp", "n")
     probe = rows.where("comp <> main").select("h", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("i"), F.pmod("s", "np").cast("int").alias("j"), F.lit(True).alias("probe"), "rep", "comp", "n")
     own = reps.select("rep", "reg").join(sets.select(F.col("id").alias("rep"), "full"), "rep")
@@ -289,7 +282,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     reps = materialize(all_rows.where("fp is not null and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("reg").alias("reg")), "dup-reps")
     width = 2 * ROWS
     bands = F.transform(F.sequence(F.lit(0), F.lit(REGISTERS // ROWS - 1)), lambda k: F.xxhash64(k, F.substring("reg", k * width + 1, F.lit(width))))
-    keyed = reps.select("rep", F.explode(bands).alias("h"))
+    keyed = reps.select("rep", "n", F.explode(bands).alias("h"))
     several = keyed.groupBy("h").agg(F.min("rep").alias("lo"), F.max("rep").alias("_hi")).where("lo < _hi").select("h", "lo")
     members = materialize(keyed.join(several, "h"), "dup-members")
     need = members.select(F.col("rep").alias("doc_id")).distinct()
