@@ -114,6 +114,10 @@ def pagerank(edges: DataFrame, rounds: int = 20, tol: float = 1e-6, damping: flo
     return ranks
 
 
+#: Rounds without a rise that end a pass: three draws, each with both parities.
+IDLE = 6
+
+
 def _moves(graph: DataFrame, partition: DataFrame, parity: int, salt: int) -> DataFrame:
     """node, comm: the best gaining move of the nodes whose turn it is."""
     m = graph.agg(F.sum("w").alias("m"))
@@ -129,11 +133,12 @@ def _moves(graph: DataFrame, partition: DataFrame, parity: int, salt: int) -> Da
     return options.withColumn("gain", gain).where("gain > 1e-12").groupBy("node").agg(F.max_by("to", F.struct("gain", -F.col("to"))).alias("comm"))
 
 
-def louvain(edges: DataFrame, tol: float = 1e-7, max_passes: int = 10, max_rounds: int = 10, init: DataFrame | None = None) -> DataFrame:
+def louvain(edges: DataFrame, tol: float = 1e-7, max_passes: int = 10, max_rounds: int = 16, init: DataFrame | None = None) -> DataFrame:
     """pass, node, comm for every pass, nodes being the original ones. init: (node, comm) that the first pass starts from, else each node alone.
 
     Synchronous rounds: nodes whose hash has the round's parity take their best gaining move, the others wait, and a round
-    counts only if modularity rises by tol; so it never falls. Then communities are contracted.
+    counts only if modularity rises by tol; so it never falls. Neighbours that would swap places in one round can move under
+    another draw, so a pass ends after IDLE rounds without a rise. Then communities are contracted.
     """
     graph = written(undirected(edges), "lv-graph")
     member = written(nodes(graph).select("node", F.col("node").alias("comm")), "lv-member")
@@ -151,7 +156,7 @@ def louvain(edges: DataFrame, tol: float = 1e-7, max_passes: int = 10, max_round
                 part, score, idle = new, gained, 0
             else:
                 idle += 1
-                if idle == 2:
+                if idle == IDLE:
                     break
         if score - start < tol and out is not None:
             break
@@ -168,7 +173,7 @@ def louvain(edges: DataFrame, tol: float = 1e-7, max_passes: int = 10, max_round
 class Louvain:
     """Communities of an edge table: all passes, the last one whose number of communities is near the wanted one, and lookups."""
 
-    def __init__(self, n_partitions: int | None = None, tol: float = 1e-7, max_passes: int = 10, max_rounds: int = 10):
+    def __init__(self, n_partitions: int | None = None, tol: float = 1e-7, max_passes: int = 10, max_rounds: int = 16):
         self.wanted, self.tol, self.max_passes, self.max_rounds, self.passes = n_partitions, tol, max_passes, max_rounds, None
 
     def fit(self, edges: DataFrame, known: DataFrame | None = None, init: DataFrame | None = None) -> Louvain:
