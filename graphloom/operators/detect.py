@@ -11,7 +11,8 @@ from graphloom.functions import segment
 from graphloom.functions.rand import uniform
 from graphloom.operators import windows
 from graphloom.operators.checkpoints import written
-from graphloom.operators.joins import iou_1d
+from graphloom.operators.joins import iou_1d, width
+from graphloom.operators.sampling import ranked
 
 
 def _suppresses(iou: Column, threshold: float, inclusive: bool) -> Column:
@@ -42,15 +43,14 @@ def nms(detections: DataFrame, keys: list[str], threshold: float, inclusive: boo
 
 def nms_fixpoint(detections: DataFrame, keys: list[str], threshold: float, inclusive: bool = True, bucket: float | None = None) -> DataFrame:
     """The same answer by rounds over the overlap edges: what no unsettled stronger neighbour can suppress is kept, and
-    suppresses its neighbours. With a bucket (wider than few segments) edges are found by an equi-join on buckets."""
+    suppresses its neighbours. Edges are found by an equi-join on buckets; a bucket not given is measured."""
     rows = written(detections, "nms-rows")
+    bucket = bucket or width((rows, "x1", "x2"))
     left = rows.select(*keys, F.col("id").alias("i"), F.col("x1").alias("a1"), F.col("x2").alias("a2"), F.col("score").alias("si"))
     right = rows.select(*keys, F.col("id").alias("j"), F.col("x1").alias("b1"), F.col("x2").alias("b2"), F.col("score").alias("sj"))
-    on = list(keys)
-    if bucket is not None:
-        left = left.withColumn("_b", F.explode(F.sequence(F.floor(F.col("a1") / bucket), F.floor((F.col("a2") + 1) / bucket))))
-        right = right.withColumn("_b", F.explode(F.sequence(F.floor(F.col("b1") / bucket), F.floor((F.col("b2") + 1) / bucket))))
-        on = [*on, "_b"]
+    left = left.withColumn("_b", F.explode(F.sequence(F.floor(F.col("a1") / bucket), F.floor((F.col("a2") + 1) / bucket))))
+    right = right.withColumn("_b", F.explode(F.sequence(F.floor(F.col("b1") / bucket), F.floor((F.col("b2") + 1) / bucket))))
+    on = [*keys, "_b"]
     inter = F.greatest(F.lit(0.0), F.least("a2", "b2") - F.greatest("a1", "b1") + 1)
     iou = inter / (F.col("a2") - F.col("a1") + F.col("b2") - F.col("b1") + 2 - inter)
     stronger = (F.col("si") > F.col("sj")) | ((F.col("si") == F.col("sj")) & (F.col("i") < F.col("j")))
@@ -89,14 +89,25 @@ def proposals(anchor_rows: DataFrame, least_length: float, before: int, after: i
     return top(kept, [key], after)
 
 
-def anchor_labels(anchor_rows: DataFrame, truths: DataFrame, positive: float = 0.7, negative: float = 0.3, clobber: bool = False, key: str = "item") -> DataFrame:
+def _apart() -> Column:
+    """The IoU of an anchor (a1, a2) with a truth that it doesn't overlap."""
+    length = segment.inclusive_length(F.col("a1"), F.col("a2"))
+    return F.when(length == 1, F.lit(-1.0)).when(length.isNotNull(), F.lit(0.0))
+
+
+def anchor_labels(anchor_rows: DataFrame, truths: DataFrame, positive: float = 0.7, negative: float = 0.3, clobber: bool = False, key: str = "item", bucket: float | None = None) -> DataFrame:
     """Anchors with best_iou and label: 1 for IoU >= positive and for each truth's best (all ties), 0 below negative, else -1.
 
-    A truth that nothing overlaps has no best anchor. clobber lets the negative rule win.
+    A truth that nothing overlaps has no best anchor. clobber lets the negative rule win. Anchors of items without truths
+    have no label. Only overlapping pairs are made; an anchor's row without a truth stands for the rest.
     """
-    pairs = iou_1d(anchor_rows, truths, key)
-    pairs = pairs.withColumn("_g", F.max("iou").over(Window.partitionBy(key, "g1", "g2")))
-    best = pairs.groupBy(key, "id", "a1", "a2").agg(F.max("iou").alias("best_iou"), F.max(((F.col("iou") == F.col("_g")) & (F.col("_g") > 0)).cast("int")).alias("_is_best"))
+    anchor_rows, truths = anchor_rows.select(key, "id", "a1", "a2"), truths.select(key, "g1", "g2")
+    pairs = iou_1d(anchor_rows, truths, key, bucket)
+    top_iou = pairs.groupBy(key, "g1", "g2").agg(F.max("iou").alias("_g"))
+    pairs = pairs.join(top_iou, [key, "g1", "g2"])
+    pairs = pairs.select(key, "id", "a1", "a2", "iou", ((F.col("iou") == F.col("_g")) & (F.col("_g") > 0)).cast("int").alias("_b"))
+    apart = anchor_rows.join(truths.select(key).distinct(), key, "left_semi").select(key, "id", "a1", "a2", _apart().alias("iou"), F.lit(0).alias("_b"))
+    best = pairs.unionByName(apart).groupBy(key, "id", "a1", "a2").agg(F.max("iou").alias("best_iou"), F.max("_b").alias("_is_best"))
     low, high = F.col("best_iou") < negative, (F.col("best_iou") >= positive) | (F.col("_is_best") == 1)
     label = F.when(low, 0).when(high, 1).otherwise(-1) if clobber else F.when(high, 1).when(low, 0).otherwise(-1)
     return best.withColumn("label", label).drop("_is_best")
@@ -104,10 +115,9 @@ def anchor_labels(anchor_rows: DataFrame, truths: DataFrame, positive: float = 0
 
 def subsample(labelled: DataFrame, batch: int, share: float = 0.5, seed: int = 0, key: str = "item") -> DataFrame:
     """Labels with the surplus set to -1: at most share * batch positives, and negatives up to batch; by hash order."""
-    w = Window.partitionBy(key, "label").orderBy(uniform(seed, F.col(key), F.col("id")), "id")
-    rows = labelled.withColumn("_k", F.row_number().over(w))
-    fg = F.sum(F.when(F.col("label") == 1, 1).otherwise(0)).over(Window.partitionBy(key))
-    rows = rows.withColumn("_fg", F.least(fg, F.lit(int(share * batch))))
+    rows = ranked(labelled, [key, "label"], uniform(seed, F.col(key), F.col("id")), "id", "_k")
+    fg = rows.groupBy(F.col(key).alias("_key")).agg(F.least(F.sum((F.col("label") == 1).cast("long")), F.lit(int(share * batch))).alias("_fg"))
+    rows = rows.join(fg, F.col(key).eqNullSafe(F.col("_key"))).drop("_key")
     drop = ((F.col("label") == 1) & (F.col("_k") > F.col("_fg"))) | ((F.col("label") == 0) & (F.col("_k") > batch - F.col("_fg")))
     return rows.withColumn("label", F.when(drop, -1).otherwise(F.col("label"))).drop("_k", "_fg")
 
@@ -118,11 +128,14 @@ def batch_summary(labelled: DataFrame, key: str = "item") -> DataFrame:
     return counts.withColumn("weight", F.when(F.col("fg") + F.col("bg") > 0, 1.0 / (F.col("fg") + F.col("bg"))))
 
 
-def candidates(rois: DataFrame, truths: DataFrame, fg: float = 0.5, high: float = 0.5, low: float = 0.1, key: str = "item") -> DataFrame:
-    """RoIs and the truths themselves with best_iou, best truth and kind: fg, bg (low <= IoU < high) or none."""
+def candidates(rois: DataFrame, truths: DataFrame, fg: float = 0.5, high: float = 0.5, low: float = 0.1, key: str = "item", bucket: float | None = None) -> DataFrame:
+    """RoIs and the truths themselves with best_iou, best truth and kind: fg, bg (low <= IoU < high) or none. Where several
+    truths are best, overlapped or not, it is the one of the smallest gid."""
     own = truths.select(key, F.concat(F.lit("g"), F.col("gid").cast("string")).alias("id"), F.col("g1").cast("double").alias("a1"), F.col("g2").cast("double").alias("a2"))
     everything = rois.select(key, F.concat(F.lit("r"), F.col("id").cast("string")).alias("id"), F.col("a1").cast("double").alias("a1"), F.col("a2").cast("double").alias("a2")).unionByName(own)
-    pairs = iou_1d(everything, truths, key)
+    pairs = iou_1d(everything, truths, key, bucket).select(key, "id", "a1", "a2", "iou", "gid")
+    least = truths.groupBy(key).agg(F.min("gid").alias("gid"))
+    pairs = pairs.unionByName(everything.join(least, key).select(key, "id", "a1", "a2", _apart().alias("iou"), "gid"))
     best = pairs.groupBy(key, "id", "a1", "a2").agg(F.max(F.struct("iou", (-F.col("gid")).alias("n"))).alias("b"))
     best = best.select(key, "id", "a1", "a2", F.col("b.iou").alias("best_iou"), (-F.col("b.n")).alias("gid"))
     return best.withColumn("kind", F.when(F.col("best_iou") >= fg, "fg").when((F.col("best_iou") < high) & (F.col("best_iou") >= low), "bg").otherwise("none"))
@@ -131,14 +144,13 @@ def candidates(rois: DataFrame, truths: DataFrame, fg: float = 0.5, high: float
 def sample_rois(cands: DataFrame, batch: int, share: float = 0.25, seed: int = 0, key: str = "item") -> DataFrame:
     """Exactly `batch` rows an item: foregrounds without replacement up to share, the rest backgrounds with replacement;
     if one kind is missing, the other with replacement fills the batch. Draws are hashes."""
-    w = Window.partitionBy(key, "kind").orderBy(uniform(seed, F.col(key), F.col("id")), "id")
-    rows = cands.where("kind <> 'none'").withColumn("_k", F.row_number().over(w))
+    rows = ranked(cands.where("kind <> 'none'"), [key, "kind"], uniform(seed, F.col(key), F.col("id")), "id", "_k")
     n = rows.groupBy(key).agg(F.sum((F.col("kind") == "fg").cast("int")).alias("nf"), F.sum((F.col("kind") == "bg").cast("int")).alias("nb"))
     slots = n.withColumn("slot", F.explode(F.sequence(F.lit(1), F.lit(batch)))).withColumn("_f", F.least(F.col("nf"), F.lit(int(share * batch))))
     u = uniform(seed, F.col(key), F.col("slot"))
     kind = F.when(F.col("nf") == 0, "bg").when(F.col("nb") == 0, "fg").when(F.col("slot") <= F.col("_f"), "fg").otherwise("bg")
     pick = F.when((kind == "fg") & (F.col("nb") > 0), F.col("slot")).otherwise(F.floor(u * F.when(kind == "fg", F.col("nf")).otherwise(F.col("nb"))) + 1)
-    slots = slots.select(key, "slot", kind.alias("kind"), pick.cast("int").alias("_k"))
+    slots = slots.select(key, "slot", kind.alias("kind"), pick.cast("long").alias("_k"))
     return slots.join(rows, [key, "kind", "_k"]).drop("_k")
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import box, segment
 
 
-def interval(left: DataFrame, right: DataFrame, key: str, left_ends: tuple[str, str], right_ends: tuple[str, str], bucket: float | None = None) -> DataFrame:
+def interval(left: DataFrame, right: DataFrame, key: str | list[str], left_ends: tuple[str, str], right_ends: tuple[str, str], bucket: float | None = None) -> DataFrame:
     """Rows whose half-open intervals overlap, by key.
 
     Without a bucket the key alone is joined and the rest filtered. With one, both sides are dealt to the buckets that they
@@ -18,27 +18,42 @@ def interval(left: DataFrame, right: DataFrame, key: str, left_ends: tuple[str,
     a third of all rows is then spread over its buckets.
     """
     (a, b), (s, e) = left_ends, right_ends
+    keys = [key] if isinstance(key, str) else key
     cond = segment.overlap(F.col(a), F.col(b), F.col(s), F.col(e))
     if bucket is None:
-        return left.join(right, key).where(cond)
+        return left.join(right, keys).where(cond)
 
     def dealt(df: DataFrame, x: str, y: str, name: str) -> DataFrame:
         first, last = F.floor(F.col(x) / bucket).cast("long"), F.floor(F.col(y) / bucket).cast("long")
         return df.withColumn(name, first).withColumn("_b", F.explode(F.sequence(first, F.greatest(first, last))))
 
     l2, r2 = dealt(left, a, b, "_lb"), dealt(right, s, e, "_rb")
-    return l2.join(r2, [key, "_b"]).where(cond & (F.col("_b") == F.greatest("_lb", "_rb"))).drop("_b", "_lb", "_rb")
+    return l2.join(r2, [*keys, "_b"]).where(cond & (F.col("_b") == F.greatest("_lb", "_rb"))).drop("_b", "_lb", "_rb")
 
 
-def iou_1d(anchors: DataFrame, truths: DataFrame, key: str) -> DataFrame:
-    """Every anchor (a1, a2) with every truth (g1, g2) of its item, and their `iou`."""
-    return anchors.join(truths, key).withColumn("iou", segment.iou(F.col("a1"), F.col("a2"), F.col("g1"), F.col("g2")))
+def width(*sides: tuple[DataFrame, str, str]) -> float:
+    """A bucket for segments (rows, first, last): the largest mean length of a side, so that a row meets three buckets on average."""
+    means = [F.avg(F.col(b) - F.col(a) + 1).cast("double").alias("w") for _, a, b in sides]
+    rows = reduce(lambda x, y: x.unionByName(y), (df.agg(m) for (df, _, _), m in zip(sides, means, strict=True)))
+    return max(rows.agg(F.max("w")).first()[0] or 1.0, 1.0)
 
 
-def iou_2d(detections: DataFrame, truths: DataFrame, keys: list[str]) -> DataFrame:
-    """Detections (x1, y1, x2, y2) with the truths (g_x1, ...) of their keys, and `iou`."""
+def overlapping(left: DataFrame, right: DataFrame, keys: list[str], left_ends: tuple[str, str], right_ends: tuple[str, str], bucket: float | None = None) -> DataFrame:
+    """Pairs of the keys whose segments share a point, ends included; without a bucket one is measured."""
+    (a, b), (s, e) = left_ends, right_ends
+    bucket = bucket or width((left, a, b), (right, s, e))
+    return interval(left.withColumn("_le", F.col(b) + 1), right.withColumn("_re", F.col(e) + 1), keys, (a, "_le"), (s, "_re"), bucket).drop("_le", "_re")
+
+
+def iou_1d(anchors: DataFrame, truths: DataFrame, key: str, bucket: float | None = None) -> DataFrame:
+    """Anchors (a1, a2) with the truths (g1, g2) of their item that they overlap, and their `iou`."""
+    return overlapping(anchors, truths, [key], ("a1", "a2"), ("g1", "g2"), bucket).withColumn("iou", segment.iou(F.col("a1"), F.col("a2"), F.col("g1"), F.col("g2")))
+
+
+def iou_2d(detections: DataFrame, truths: DataFrame, keys: list[str], bucket: float | None = None) -> DataFrame:
+    """Detections (x1, y1, x2, y2) with the truths (g_x1, ...) of their keys that they overlap, and `iou`; dealt by x."""
     d, g = tuple(F.col(c) for c in ("x1", "y1", "x2", "y2")), tuple(F.col(f"g_{c}") for c in ("x1", "y1", "x2", "y2"))
-    return detections.join(truths, keys).withColumn("iou", box.iou(d, g))
+    return overlapping(detections, truths, keys, ("x1", "x2"), ("g_x1", "g_x2"), bucket).withColumn("iou", box.iou(d, g)).where("iou > 0")
 
 
 def both_ends(edges: DataFrame, vectors: DataFrame, strict: bool = False) -> DataFrame:

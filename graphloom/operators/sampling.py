@@ -2,16 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphloom.functions.rand import uniform
+from graphloom.operators.prefix import running
+
+#: Ranges that a draw in [0, 1) is dealt by; a hot stratum is spread over all of them.
+RANGES = 1024
+
+
+def ranked(rows: DataFrame, strata: list[str], draw: Column, key: str, name: str) -> DataFrame:
+    """rows with a column `name`: the place in its stratum, from 1, by a uniform draw (ties: smaller key)."""
+    drawn = rows.withColumn("_draw", draw)
+    order = [F.col("_draw"), F.col(key)]
+    return running(drawn, strata, {"_range": F.floor(F.col("_draw") * RANGES)}, [F.col("_range")], order, {name: F.lit(1).cast("long")}).drop("_draw")
 
 
 def stratified_folds(rows: DataFrame, strata: str, folds: int, key: str, seed: int = 0) -> DataFrame:
     """Adds fold: in each stratum folds differ by one row at most."""
-    w = Window.partitionBy(strata).orderBy(uniform(seed, F.col(key)), key)
-    return rows.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(folds)))
+    placed = ranked(rows, [strata], uniform(seed, F.col(key)), key, "_k")
+    return placed.withColumn("fold", F.pmod(F.col("_k") - 1, F.lit(folds)).cast("int")).drop("_k")
 
 
 def split(rows: DataFrame, key: str, share: float = 0.75, seed: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -28,16 +39,16 @@ def balanced_batches(rows: DataFrame, label: str, sizes: dict[int, int], batches
     slots = slots.withColumn("_at", F.explode(F.sequence(F.lit(0), F.col("_size") * batches - 1)))
     slots = slots.select(label, F.floor(F.col("_at") / F.col("_size")).alias("batch"), F.pmod("_at", "_size").alias("slot"), F.floor(F.col("_at") / F.col("_n")).alias("epoch"), F.pmod("_at", "_n").alias("_k"))
     epochs = slots.select(label, "epoch").distinct()
-    order = Window.partitionBy(label, "epoch").orderBy(uniform(seed, F.col("epoch"), F.col(key)), key)
-    ranked = rows.select(label, key).join(epochs, label).withColumn("_k", (F.row_number().over(order) - 1).cast("long"))
-    return slots.withColumn("_k", F.col("_k").cast("long")).join(ranked, [label, "epoch", "_k"]).select("batch", "slot", label, key)
+    placed = ranked(rows.select(label, key).join(epochs, label), [label, "epoch"], uniform(seed, F.col("epoch"), F.col(key)), key, "_k")
+    return slots.withColumn("_k", F.col("_k").cast("long") + 1).join(placed, [label, "epoch", "_k"]).select("batch", "slot", label, key)
 
 
 def cycled(rows: DataFrame, group: str, size: int, key: str, seed: int = 0) -> DataFrame:
     """group, pos, key: every group's rows in hash order, repeated until there are exactly `size`."""
-    w = Window.partitionBy(group).orderBy(uniform(seed, F.col(key)), key)
-    ranked = rows.select(group, key, (F.row_number().over(w) - 1).alias("_k"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("_n"))
-    copies = ranked.where(F.col("_k") < size).withColumn("pos", F.explode(F.sequence(F.col("_k").cast("long"), F.lit(size - 1).cast("long"), F.col("_n").cast("long"))))
+    placed = ranked(rows.select(group, key), [group], uniform(seed, F.col(key)), key, "_k").withColumn("_k", F.col("_k") - 1)
+    n = rows.groupBy(F.col(group).alias("_group")).agg(F.count(F.lit(1)).alias("_n"))
+    placed = placed.where(F.col("_k") < size).join(n, F.col(group).eqNullSafe(F.col("_group")))
+    copies = placed.withColumn("pos", F.explode(F.sequence(F.col("_k").cast("long"), F.lit(size - 1).cast("long"), F.col("_n").cast("long"))))
     return copies.select(group, "pos", key)
 
 

@@ -10,6 +10,8 @@ from graphloom.operators import detect, evaluate, joins, validate
 from graphloom.plans.base import BOX_IOU, BOX_TRUTHS, BOXES, DETECTIONS, SEGMENTS, box_truths, boxes, detections, query, segments, truths
 
 WITH = f"WITH {BOXES}"
+#: Boxes are 2 to 12 wide.
+BUCKET = 16.0
 MATCHED = f"""WITH {BOXES}, {BOX_TRUTHS}, pr AS (SELECT b.cls, b.item, b.id, score, gid, difficult, {BOX_IOU} FROM box b LEFT JOIN bgt g ON b.item = g.item AND b.cls = g.cls),
 best AS (SELECT * FROM (SELECT *, inter / (areas - inter) AS iou, row_number() OVER (PARTITION BY item, id ORDER BY inter / (areas - inter) DESC NULLS LAST, gid) AS k FROM pr) WHERE k = 1),
 hits AS (SELECT *, coalesce(iou > 0.5, false) AS hit FROM best),
@@ -29,7 +31,7 @@ def _inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def _curve(spark: SparkSession, sf_dir: str, threshold: float = 0.5) -> tuple[DataFrame, DataFrame]:
     d, g = _inputs(spark, sf_dir)
     npos = evaluate.positives(g)
-    return evaluate.curve(evaluate.match(evaluate.pairs_2d(d, g), threshold), npos), npos
+    return evaluate.curve(evaluate.match(evaluate.pairs_2d(d, g, BUCKET), threshold), npos), npos
 
 
 @query(f"{WITH} SELECT item, id, x1, y1, x2 - x1 + 1 AS w, y2 - y1 + 1 AS h, (x2 - x1 + 1) * (y2 - y1 + 1) AS area FROM box")
@@ -66,13 +68,13 @@ def l8_area_range(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {BOXES}, {BOX_TRUTHS}, pr AS (SELECT b.item, b.id, gid, {BOX_IOU} FROM box b JOIN bgt g ON b.item = g.item) SELECT item, id, gid, round(inter / (areas - inter), 9) AS iou FROM pr WHERE inter > 0")
 def j5_box_iou(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)
-    return joins.iou_2d(b.drop("cls"), box_truths(b).drop("cls"), ["item"]).where("iou > 0").select("item", "id", "gid", F.round("iou", 9).alias("iou"))
+    return joins.iou_2d(b.drop("cls"), box_truths(b).drop("cls"), ["item"], BUCKET).select("item", "id", "gid", F.round("iou", 9).alias("iou"))
 
 
 @query(f"WITH {BOXES}, {BOX_TRUTHS}, pr AS (SELECT b.item, b.id, gid, g.cls, {BOX_IOU} FROM box b JOIN bgt g ON b.item = g.item), v AS (SELECT *, inter / (areas - inter) AS iou FROM pr WHERE inter > 0) SELECT item, id, arg_max(cls, (iou, -gid)) AS cls, round(max(iou), 9) AS iou FROM v GROUP BY item, id")
 def e9_r7_class_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)
-    return evaluate.assign_classes(b.drop("cls"), box_truths(b)).withColumn("iou", F.round("iou", 9))
+    return evaluate.assign_classes(b.drop("cls"), box_truths(b), BUCKET).withColumn("iou", F.round("iou", 9))
 
 
 @query(f"{MATCHED} SELECT cls, CAST(rank AS BIGINT) AS rank, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, round(recall, 9) AS recall, round(prec, 9) AS prec FROM pts")
@@ -111,7 +113,7 @@ def e10_precision_over_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame
     """Our own version with 101 points; not a reimplementation of any tool."""
     d, g = _inputs(spark, sf_dir)
     npos, out = evaluate.positives(g), None
-    pairs = evaluate.pairs_2d(d, g)
+    pairs = evaluate.pairs_2d(d, g, BUCKET)
     for k in (50, 75, 95):
         one = evaluate.average_precision(evaluate.curve(evaluate.match(pairs, k / 100), npos), "101point").select("cls", F.lit(k).cast("long").alias("threshold"), F.round("ap", 9).alias("ap"))
         out = one if out is None else out.unionByName(one)
@@ -132,7 +134,7 @@ SELECT round(0.5 + k * 0.05, 2)::DOUBLE AS threshold, round((SELECT count(*) FRO
 def e8_proposal_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = boxes(spark, sf_dir)
     g = box_truths(b).drop("cls")
-    return evaluate.recall(joins.iou_2d(b.drop("cls"), g, ["item"]), g).select("threshold", F.round("recall", 9).alias("recall"))
+    return evaluate.recall(joins.iou_2d(b.drop("cls"), g, ["item"], BUCKET), g).select("threshold", F.round("recall", 9).alias("recall"))
 
 
 SEG = f"WITH {SEGMENTS}, {DETECTIONS}"
@@ -249,5 +251,5 @@ fl AS (SELECT *, CASE WHEN iou > 0.5 AND difficult = 1 THEN NULL WHEN iou > 0.5
 @query(f"{TEMPORAL} SELECT cls, CAST(sum(flag) AS BIGINT) AS tp, CAST(sum(1 - flag) AS BIGINT) AS fp, CAST(sum(CASE WHEN flag IS NULL THEN 1 ELSE 0 END) AS BIGINT) AS ignored FROM fl GROUP BY cls")
 def e2_temporal_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
-    m = evaluate.match(evaluate.pairs_1d(detections(seg), truths(seg)))
+    m = evaluate.match(evaluate.pairs_1d(detections(seg), truths(seg), 4096.0))
     return m.groupBy("cls").agg(F.sum("flag").cast("long").alias("tp"), F.sum(1 - F.col("flag")).cast("long").alias("fp"), F.sum(F.col("flag").isNull().cast("long")).alias("ignored"))

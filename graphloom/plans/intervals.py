@@ -231,7 +231,7 @@ SELECT item, id, round(best, 9) AS best_iou, CAST(CASE WHEN best >= 0.7 OR isb =
 def n5_anchor_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
     a = detections(seg).select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
-    out = detect.anchor_labels(a, truths(seg).select("item", "gid", "g1", "g2"))
+    out = detect.anchor_labels(a, truths(seg).select("item", "gid", "g1", "g2"), bucket=float(WIN))
     return out.select("item", "id", F.round("best_iou", 9).alias("best_iou"), F.col("label").cast("long").alias("label"))
 
 
@@ -241,7 +241,7 @@ SELECT item, id, round(best, 9) AS best_iou, gid, CASE WHEN best >= 0.5 THEN 'fg
 def n6_roi_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
     rois = detections(seg).select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
-    out = detect.candidates(rois, truths(seg).select("item", "gid", "g1", "g2"))
+    out = detect.candidates(rois, truths(seg).select("item", "gid", "g1", "g2"), bucket=float(WIN))
     return out.select("item", "id", F.round("best_iou", 9).alias("best_iou"), "gid", "kind")
 
 
@@ -256,7 +256,7 @@ SELECT item, id, CAST(CASE WHEN (label = 1 AND k > fg) OR (label = 0 AND k > 16
 def n5_subsampled_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
     a = detections(seg).select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
-    out = detect.subsample(detect.anchor_labels(a, truths(seg).select("item", "gid", "g1", "g2")), batch=16)
+    out = detect.subsample(detect.anchor_labels(a, truths(seg).select("item", "gid", "g1", "g2"), bucket=float(WIN)), batch=16)
     return out.select("item", "id", F.col("label").cast("long").alias("label"))
 
 
@@ -271,7 +271,7 @@ SELECT u.item, CAST(slot AS BIGINT) AS slot, u.kind, id FROM u JOIN k ON k.item
 def n6_sampled_rois(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = segments(spark, sf_dir)
     rois = detections(seg).select("item", "id", F.col("x1").alias("a1"), F.col("x2").alias("a2"))
-    return detect.sample_rois(detect.candidates(rois, truths(seg).select("item", "gid", "g1", "g2")), batch=16).select("item", F.col("slot").cast("long").alias("slot"), "kind", "id")
+    return detect.sample_rois(detect.candidates(rois, truths(seg).select("item", "gid", "g1", "g2"), bucket=float(WIN)), batch=16).select("item", F.col("slot").cast("long").alias("slot"), "kind", "id")
 
 
 
