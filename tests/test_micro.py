@@ -289,3 +289,47 @@ def test_own_return_and_outward_weights_at_nodes(spark):
         own = spark.createDataFrame([(1, p, 1.0)], "node long, p double, q double")
         paths = [r["path"] for r in graph.biased_walks(g, starts, 3, walks=8, seed=3, own=own).collect()]
         assert all(x == [0, 1, third] for x in paths)
+
+
+def test_assignment_by_overlap_equals_all_pairs(spark):
+    import random
+
+    rng = random.Random(5)
+    anchors = [(i % 3, i, s, s + rng.choice([0, 3, 40])) for i in range(60) for s in [rng.randrange(60)]]
+    truths = [(i % 2, 100 + i, s, s + rng.choice([0, 5, 25])) for i in range(12) for s in [rng.randrange(60)]]
+
+    def iou(a, g):
+        if a[1] == a[0]:
+            return -1.0
+        if g[1] == g[0]:
+            return 0.0
+        inter = max(min(a[1], g[1]) - max(a[0], g[0]) + 1, 0)
+        return inter / (a[1] - a[0] + 1 + g[1] - g[0] + 1 - inter)
+
+    pairs = {(a[1], g[1]): iou(a[2:], g[2:]) for a in anchors for g in truths if a[0] == g[0]}
+    best = {i: max(v for (x, _), v in pairs.items() if x == i) for i, _ in pairs}
+    gmax = {}
+    where = {g[1]: (g[0], g[2], g[3]) for g in truths}
+    for (_, g), v in pairs.items():
+        gmax[where[g]] = max(gmax.get(where[g], -2.0), v)
+    first = {i for (i, g), v in pairs.items() if v == gmax[where[g]] > 0}
+    want = {i: (v, 1 if v >= 0.7 or i in first else 0 if v < 0.3 else -1) for i, v in best.items()}
+    a, g = spark.createDataFrame(anchors, "item long, id long, a1 long, a2 long"), spark.createDataFrame(truths, "item long, gid long, g1 long, g2 long")
+    got = {r["id"]: (r["best_iou"], r["label"]) for r in detect.anchor_labels(a, g, bucket=7.0).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[i][0] == pytest.approx(want[i][0]) and got[i][1] == want[i][1] for i in want)
+    kinds = {r["id"]: r["gid"] for r in detect.candidates(a, g).collect() if r["id"].startswith("r")}
+    assert kinds == {f"r{i}": min(x for (k, x), v in pairs.items() if k == i and v == best[i]) for i in best}
+
+
+def test_null_strata_are_one_stratum(spark):
+    rows = spark.createDataFrame([(i, None if i % 2 else "a") for i in range(20)], "id long, s string")
+    counts = {(r["s"], r["fold"]): r["count"] for r in sampling.stratified_folds(rows, "s", 5, "id").groupBy("s", "fold").count().collect()}
+    assert counts == {(s, f): 2 for s in (None, "a") for f in range(5)}
+
+
+def test_one_to_one_matching_over_items(spark):
+    pairs = spark.createDataFrame([(1, 1, 1, 0.9), (1, 1, 2, 0.8), (1, 2, 1, 0.7), (1, 2, 2, 0.6), (2, 1, 1, 0.55), (2, 2, 1, 0.5)], "item long, id long, gid long, iou double")
+    truths = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "item long, gid long")
+    got = {r["threshold"]: r["recall"] for r in evaluate.recall(pairs, truths).collect()}
+    assert got[0.5] == pytest.approx(1.0) and got[0.6] == pytest.approx(2 / 3) and got[0.9] == pytest.approx(1 / 3) and got[0.95] == 0.0
