@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,12 +66,18 @@ def mirror(voxels: DataFrame, axis: str, size: int, symmetrize: bool = True) ->
 
 
 def resample_nearest(voxels: DataFrame, size: tuple[int, int, int], new: tuple[int, int, int]) -> DataFrame:
-    """Volumes of another size, every target voxel from the nearest source voxel; splines aren't offered."""
-    out = voxels.select("id").distinct()
+    """Volumes of another size, every target voxel from the nearest source voxel; splines aren't offered.
+
+    A source voxel is repeated at the targets that it is nearest to, which the sizes alone tell, so nothing is joined.
+    """
+    out = voxels.where("id IS NOT NULL").select("id", *(F.col(a).cast("long").alias(a) for a in AXES), "val")
     for axis, n, m in zip(AXES, size, new, strict=True):
-        out = out.withColumn(f"_{axis}", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long"))))
-        out = out.withColumn(axis, F.least(F.floor((F.col(f"_{axis}") + 0.5) * n / m), F.lit(n - 1)).cast("long"))
-    out = out.join(voxels.select("id", *(F.col(a).cast("long").alias(a) for a in AXES), "val"), ["id", *AXES])
+        targets = [[] for _ in range(n)]
+        for k in range(m):
+            targets[min(math.floor((k + 0.5) * n / m), n - 1)].append(k)
+        table = F.array(*(F.array(*map(F.lit, t)).cast("array<long>") for t in targets))
+        at = F.when(F.col(axis).between(0, n - 1), F.col(axis)).cast("int")
+        out = out.withColumn(f"_{axis}", F.explode(F.get(table, at)))
     return out.select("id", *(F.col(f"_{a}").alias(a) for a in AXES), "val")
 
 
