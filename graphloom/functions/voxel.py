@@ -16,7 +16,9 @@ def window_clip(v: Column, low: float = -1024.0, high: float = 400.0) -> Column:
 
 
 def mask(voxels: DataFrame, segmentation: DataFrame, key: tuple[str, ...] = ("id", *AXES)) -> DataFrame:
-    seg = segmentation.select(*key, F.col("val").alias("_seg"))
+    """Values times those of the segmentation. Both sides are as large as all voxels, however small the files they are
+    made from, so the join is a merge and never sends one through the driver."""
+    seg = segmentation.select(*key, F.col("val").alias("_seg")).hint("merge")
     return voxels.join(seg, list(key)).withColumn("val", F.col("val") * F.col("_seg")).drop("_seg")
 
 

@@ -24,3 +24,10 @@ def test_resampling_joins_nothing(spark):
     near = lambda k, m: min(int((k + 0.5) * 4 / m), 3)
     want = {(i, z, y, x): near(z, 3) * 100.0 + near(y, 7) * 10 + x for i in (1, 2) for z in range(3) for y in range(7) for x in range(4)}
     assert got == {k: w for k, w in want.items() if k[0] == 1 or w != 333.0}
+
+
+def test_masks_are_not_broadcast(spark):
+    v = grid(spark, [1, 2])
+    out = voxel.mask(v, v.withColumn("val", F.col("x") % 2))
+    assert "Broadcast" not in plan(out)
+    assert sorted(r["val"] for r in out.where("id = 2 and z = 3 and y = 1").collect()) == [0.0, 0.0, 311.0, 313.0]
