@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -41,33 +43,91 @@ def nms(detections: DataFrame, keys: list[str], threshold: float, inclusive: boo
     return detections.groupBy(*keys).applyInPandas(keep, detections.schema)
 
 
-def nms_fixpoint(detections: DataFrame, keys: list[str], threshold: float, inclusive: bool = True, bucket: float | None = None) -> DataFrame:
-    """The same answer by rounds over the overlap edges: what no unsettled stronger neighbour can suppress is kept, and
-    suppresses its neighbours. Edges are found by an equi-join on buckets; a bucket not given is measured."""
-    rows = written(detections, "nms-rows")
+#: Blocks of suppression are so many buckets wide, so few segments reach into two.
+WIDE = 16
+
+
+def _settle(threshold: float, inclusive: bool):  # noqa: ANN202
+    """For the strongest rows of a block (_n, id, x1, x2, score, _inner): _n and _s of those settled, 1 kept, 2 not suppressed here, 3 gone."""
+
+    def settle(rows: pd.DataFrame) -> pd.DataFrame:
+        score, ids, n = rows["score"].to_numpy(float), rows["id"].to_numpy(), rows["_n"].to_numpy()
+        order = np.lexsort((n, ids, -score, ~np.isnan(score)))
+        x1, x2, inner, n = rows["x1"].to_numpy(float)[order], rows["x2"].to_numpy(float)[order], rows["_inner"].to_numpy()[order], n[order]
+        said, waits = np.zeros(len(n), np.int32), np.zeros(len(n), bool)
+        for k in range(len(n)):
+            if said[k] == 3:
+                continue
+            # Weaker rows that are not gone yet.
+            j = k + 1 + np.flatnonzero(said[k + 1 :] != 3)
+            inter = np.maximum(0.0, np.minimum(x2[k], x2[j]) - np.maximum(x1[k], x1[j]) + 1)
+            iou = inter / (x2[k] - x1[k] + x2[j] - x1[j] + 2 - inter)
+            j = j[iou >= threshold if inclusive else iou > threshold]
+            if waits[k]:
+                waits[j] = True
+            elif inner[k]:
+                said[k], said[j] = 1, 3
+            else:
+                said[k], waits[j] = 2, True
+        return pd.DataFrame({"_n": n, "_s": said})[said > 0]
+
+    return settle
+
+
+def nms_fixpoint(detections: DataFrame, keys: list[str], threshold: float, inclusive: bool = True, bucket: float | None = None, most: int = 20_000) -> DataFrame:
+    """The same answer by rounds over blocks of the axis, for groups of any size; no table of overlapping pairs is made.
+
+    A round settles the `most` strongest open rows of every block in NumPy: one that no stronger open row can suppress, in
+    all blocks that it reaches, is kept, and what it overlaps goes, also what was not among the strongest. Rows wait for
+    those that reach into other blocks; blocks grow when few rows are open. Rows with a null, or an end that isn't finite, stay.
+    A bucket not given is measured; blocks are WIDE buckets, at least.
+    """
+    columns, used = detections.columns, [*keys, "id", "x1", "x2", "score"]
+    rows = written(detections.withColumn("_n", F.monotonically_increasing_id()), "nms-rows")
     bucket = bucket or width((rows, "x1", "x2"))
-    left = rows.select(*keys, F.col("id").alias("i"), F.col("x1").alias("a1"), F.col("x2").alias("a2"), F.col("score").alias("si"))
-    right = rows.select(*keys, F.col("id").alias("j"), F.col("x1").alias("b1"), F.col("x2").alias("b2"), F.col("score").alias("sj"))
-    left = left.withColumn("_b", F.explode(F.sequence(F.floor(F.col("a1") / bucket), F.floor((F.col("a2") + 1) / bucket))))
-    right = right.withColumn("_b", F.explode(F.sequence(F.floor(F.col("b1") / bucket), F.floor((F.col("b2") + 1) / bucket))))
-    on = [*keys, "_b"]
-    inter = F.greatest(F.lit(0.0), F.least("a2", "b2") - F.greatest("a1", "b1") + 1)
-    iou = inter / (F.col("a2") - F.col("a1") + F.col("b2") - F.col("b1") + 2 - inter)
-    stronger = (F.col("si") > F.col("sj")) | ((F.col("si") == F.col("sj")) & (F.col("i") < F.col("j")))
-    edges = written(left.join(right, on).where(stronger & _suppresses(iou, threshold, inclusive)).select("i", "j").distinct(), "nms-edges")
-    gone = None
-    while edges.limit(1).count():
-        # Strong ends that nothing left can suppress are kept; what they overlap goes.
-        free = edges.select(F.col("i")).distinct().join(edges.select(F.col("j").alias("i")).distinct(), "i", "left_anti")
-        lost = written(edges.join(free, "i").select("j").distinct(), "nms-gone")
-        gone = lost if gone is None else gone.unionByName(lost)
-        edges = edges.join(lost, "j", "left_anti").join(lost.withColumnRenamed("j", "i"), "i", "left_anti").join(free, "i", "left_anti")
-        edges = written(edges.select("i", "j"), "nms-edges")
-    return rows if gone is None else rows.join(gone.withColumnRenamed("j", "id"), "id", "left_anti").select(*detections.columns)
+    comparable = F.lit(True)
+    for c in used:
+        comparable = comparable & F.col(c).isNotNull()
+    for c in ("x1", "x2"):
+        comparable = comparable & (F.abs(F.col(c).cast("double")) < math.inf)
+    left = rows.where(comparable).select("_n", *keys, "id", "score", *(F.col(c).cast("double").alias(c) for c in ("x1", "x2")))
+    block, kept, last = bucket * WIDE, None, rows.count()
+
+    def touched(size: float, first: str = "x1", final: str = "x2") -> Column:
+        lowest = F.floor(F.col(first) / size)
+        return F.sequence(lowest, F.greatest(lowest, F.floor((F.col(final) + 1) / size)))
+
+    while True:
+        spread = left.withColumn("_at", touched(block))
+        dealt = spread.withColumn("_all", F.size("_at")).withColumn("_inner", F.col("_all") == 1).withColumn("_b", F.explode("_at")).drop("_at")
+        strongest = Window.partitionBy(*keys, "_b").orderBy(F.desc("score"), "id", "_n")
+        dealt = dealt.withColumn("_k", F.row_number().over(strongest)).where(F.col("_k") <= most).select(*keys, "_b", "_n", "id", "x1", "x2", "score", "_inner")
+        said = written(dealt.groupBy(*keys, "_b").applyInPandas(_settle(threshold, inclusive), "_n long, _s int"), "nms-said")
+        said = said.groupBy("_n").agg(F.max("_s").alias("_s"), F.count(F.lit(1)).alias("_clear")).hint("merge")
+        after = written(spread.withColumn("_all", F.size("_at")).drop("_at").join(said, "_n", "left"), "nms-after")
+        fresh = after.where("_s = 1 OR _s = 2 AND _clear = _all")
+        kept = fresh.select("_n") if kept is None else kept.unionByName(fresh.select("_n"))
+        open_ = after.where("_s IS NULL OR _s = 2 AND _clear < _all").select(*left.columns)
+        # The kept ones' other victims: rows of lower ranks, and those in blocks that saw a kept one as open.
+        by = fresh.select(*(F.col(k).alias(f"_by_{k}") for k in keys), F.col("x1").alias("a1"), F.col("x2").alias("a2")).withColumn("_by__c", F.explode(touched(bucket, "a1", "a2")))
+        inter = F.greatest(F.lit(0.0), F.least("a2", "x2") - F.greatest("a1", "x1") + 1)
+        hit = _suppresses(inter / (F.col("a2") - F.col("a1") + F.col("x2") - F.col("x1") + 2 - inter), threshold, inclusive)
+        for k in (*keys, "_c"):
+            hit = hit & (F.col(k) == F.col(f"_by_{k}"))
+        gone = open_.withColumn("_c", F.explode(touched(bucket))).join(by.hint("merge"), hit, "left_semi").select("_n").distinct()
+        left = written(open_.join(gone.hint("merge"), "_n", "left_anti"), "nms-open")
+        n = left.count()
+        if not n:
+            break
+        if n * 4 <= last:
+            block *= WIDE
+        last = n
+    out = rows.join(kept.hint("merge"), "_n", "left_semi").unionByName(rows.where(~F.coalesce(comparable, F.lit(False))))
+    return out.select(*columns)
 
 
 def suppress(detections: DataFrame, keys: list[str], threshold: float, inclusive: bool = True, most: int = 100_000, bucket: float | None = None) -> DataFrame:
-    """Greedy suppression, dispatched by the size of the largest group: one task a group up to `most` rows, else by rounds over overlap edges."""
+    """Greedy suppression, dispatched by the size of the largest group: one task a group up to `most` rows, else by rounds over blocks."""
     largest = detections.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     return nms(detections, keys, threshold, inclusive) if largest <= most else nms_fixpoint(detections, keys, threshold, inclusive, bucket)
 

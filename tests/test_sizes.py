@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import voxel
-from graphloom.operators import windows
+from graphloom.operators import detect, windows
 
 
 def plan(df):
@@ -43,3 +43,21 @@ def test_context_positions_are_not_joined(spark):
     assert sorted(map(tuple, out.collect())) == want
     with pytest.raises(Exception, match="below 0"):
         windows.context_pairs(spark.createDataFrame(rows, "sentence long, pos int, token string"), 3, F.lit(-1)).collect()
+
+
+@pytest.mark.parametrize(("bucket", "most"), [(None, 20_000), (0.5, 40), (4.0, 7)])
+def test_suppression_writes_no_pairs(spark, monkeypatch, bucket, most):
+    rows = spark.range(1500).selectExpr("id % 2 as item", "id", "cast(pmod(id * 7919, 211) - 40 as double) x1", "cast(pmod(id * 7919, 211) + pmod(id * 31, 53) - 30 as double) x2", "cast(pmod(id * 104729, 97) as double) score")
+    odd = spark.createDataFrame([(1, 2000, None, 5.0, 1.0), (None, 2001, 0.0, 9.0, 99.0), (1, 2002, 0.0, float("inf"), 99.0), (1, 2003, 3.0, 9.0, None)], "item long, id long, x1 double, x2 double, score double")
+    made, write = [], detect.written
+
+    def counted(df, name="step"):
+        made.append((out := write(df, name)).count())
+        return out
+
+    monkeypatch.setattr(detect, "written", counted)
+    for inclusive in (True, False):
+        got = detect.nms_fixpoint(rows.unionByName(odd), ["item"], 0.4, inclusive, **({} if bucket is None else {"bucket": bucket, "most": most}))
+        want = [r["id"] for r in detect.nms(rows, ["item"], 0.4, inclusive).collect()]
+        assert sorted(r["id"] for r in got.collect()) == sorted([*want, 2000, 2001, 2002, 2003])
+    assert max(made) < 20 * 1500
