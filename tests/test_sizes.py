@@ -61,3 +61,12 @@ def test_suppression_writes_no_pairs(spark, monkeypatch, bucket, most):
         want = [r["id"] for r in detect.nms(rows, ["item"], 0.4, inclusive).collect()]
         assert sorted(r["id"] for r in got.collect()) == sorted([*want, 2000, 2001, 2002, 2003])
     assert max(made) < 20 * 1500
+
+
+def test_dispatched_suppression_writes_no_pairs(spark, monkeypatch):
+    rows = spark.range(1200).selectExpr("id", "1L as item", "cast(id % 60 as double) x1", "cast(id % 60 + 100 + id % 7 as double) x2", "cast(pmod(id * 104729, 997) as double) score")
+    made, write = [], detect.written
+    monkeypatch.setattr(detect, "written", lambda df, name="step": made.append(write(df, name)) or made[-1])
+    got = detect.suppress(rows, ["item"], 0.4, most=20)
+    assert sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in detect.nms(rows, ["item"], 0.4).collect())
+    assert len(made) and max(t.count() for t in made) < 20 * 1200
