@@ -6,13 +6,15 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from graphloom.functions import segment
 from graphloom.functions.rand import uniform
 from graphloom.operators import windows
-from graphloom.operators.checkpoints import written
+from graphloom.operators.checkpoints import dropped, freed, written
 from graphloom.operators.joins import iou_1d, width
 from graphloom.operators.sampling import ranked
 
@@ -48,14 +50,14 @@ WIDE = 16
 
 
 def _settle(threshold: float, inclusive: bool):  # noqa: ANN202
-    """For the strongest rows of a block (_n, id, x1, x2, score, _inner): _n and _s of those settled, 1 kept, 2 not suppressed here, 3 gone."""
-
-    def settle(rows: pd.DataFrame) -> pd.DataFrame:
-        score, ids, n = rows["score"].to_numpy(float), rows["id"].to_numpy(), rows["_n"].to_numpy()
-        order = np.lexsort((n, ids, -score, ~np.isnan(score)))
-        x1, x2, inner, n = rows["x1"].to_numpy(float)[order], rows["x2"].to_numpy(float)[order], rows["_inner"].to_numpy()[order], n[order]
-        said, waits = np.zeros(len(n), np.int32), np.zeros(len(n), bool)
-        for k in range(len(n)):
+    """Of the strongest rows of a block (x1, x2, _k, _all) those that nothing here suppresses, with _s: 1 kept, 2 if other blocks agree."""
+
+    def settle(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_k")
+        x1, x2 = (rows[c].cast(pa.float64(), safe=False).to_numpy() for c in ("x1", "x2"))
+        inner, n = rows["_all"].to_numpy() == 1, rows.num_rows
+        said, waits = np.zeros(n, np.int32), np.zeros(n, bool)
+        for k in range(n):
             if said[k] == 3:
                 continue
             # Weaker rows that are not gone yet.
@@ -69,7 +71,7 @@ def _settle(threshold: float, inclusive: bool):  # noqa: ANN202
                 said[k], said[j] = 1, 3
             else:
                 said[k], waits[j] = 2, True
-        return pd.DataFrame({"_n": n, "_s": said})[said > 0]
+        return rows.append_column("_s", pa.array(said)).filter(pa.array((said == 1) | (said == 2)))
 
     return settle
 
@@ -80,55 +82,68 @@ def nms_fixpoint(detections: DataFrame, keys: list[str], threshold: float, inclu
     A round settles the `most` strongest open rows of every block in NumPy: one that no stronger open row can suppress, in
     all blocks that it reaches, is kept, and what it overlaps goes, also what was not among the strongest. Rows wait for
     those that reach into other blocks; blocks grow when few rows are open. Rows with a null, or an end that isn't finite, stay.
-    A bucket not given is measured; blocks are WIDE buckets, at least.
+    A bucket not given is measured; blocks are WIDE buckets, at least. On disk at once: the detections, the kept, the open
+    rows of two rounds and one shuffle of them.
     """
     columns, used = detections.columns, [*keys, "id", "x1", "x2", "score"]
-    rows = written(detections.withColumn("_n", F.monotonically_increasing_id()), "nms-rows")
-    bucket = bucket or width((rows, "x1", "x2"))
-    comparable = F.lit(True)
-    for c in used:
-        comparable = comparable & F.col(c).isNotNull()
-    for c in ("x1", "x2"):
-        comparable = comparable & (F.abs(F.col(c).cast("double")) < math.inf)
-    left = rows.where(comparable).select("_n", *keys, "id", "score", *(F.col(c).cast("double").alias(c) for c in ("x1", "x2")))
-    block, kept, last = bucket * WIDE, None, rows.count()
-
-    def touched(size: float, first: str = "x1", final: str = "x2") -> Column:
-        lowest = F.floor(F.col(first) / size)
-        return F.sequence(lowest, F.greatest(lowest, F.floor((F.col(final) + 1) / size)))
-
-    while True:
-        spread = left.withColumn("_at", touched(block))
-        dealt = spread.withColumn("_all", F.size("_at")).withColumn("_inner", F.col("_all") == 1).withColumn("_b", F.explode("_at")).drop("_at")
-        strongest = Window.partitionBy(*keys, "_b").orderBy(F.desc("score"), "id", "_n")
-        dealt = dealt.withColumn("_k", F.row_number().over(strongest)).where(F.col("_k") <= most).select(*keys, "_b", "_n", "id", "x1", "x2", "score", "_inner")
-        said = written(dealt.groupBy(*keys, "_b").applyInPandas(_settle(threshold, inclusive), "_n long, _s int"), "nms-said")
-        said = said.groupBy("_n").agg(F.max("_s").alias("_s"), F.count(F.lit(1)).alias("_clear")).hint("merge")
-        after = written(spread.withColumn("_all", F.size("_at")).drop("_at").join(said, "_n", "left"), "nms-after")
-        fresh = after.where("_s = 1 OR _s = 2 AND _clear = _all")
-        kept = fresh.select("_n") if kept is None else kept.unionByName(fresh.select("_n"))
-        open_ = after.where("_s IS NULL OR _s = 2 AND _clear < _all").select(*left.columns)
-        # The kept ones' other victims: rows of lower ranks, and those in blocks that saw a kept one as open.
-        by = fresh.select(*(F.col(k).alias(f"_by_{k}") for k in keys), F.col("x1").alias("a1"), F.col("x2").alias("a2")).withColumn("_by__c", F.explode(touched(bucket, "a1", "a2")))
-        inter = F.greatest(F.lit(0.0), F.least("a2", "x2") - F.greatest("a1", "x1") + 1)
-        hit = _suppresses(inter / (F.col("a2") - F.col("a1") + F.col("x2") - F.col("x1") + 2 - inter), threshold, inclusive)
-        for k in (*keys, "_c"):
+    with freed(detections.sparkSession):
+        rows = written(detections.withColumn("_n", F.monotonically_increasing_id()), "nms-rows")
+        bucket = bucket or width((rows, "x1", "x2"))
+        comparable = F.lit(True)
+        for c in used:
+            comparable = comparable & F.col(c).isNotNull()
+        for c in ("x1", "x2"):
+            comparable = comparable & (F.abs(F.col(c).cast("double")) < math.inf)
+        left = rows.where(comparable).select("_n", *used)
+        x1, x2 = F.col("x1").cast("double"), F.col("x2").cast("double")
+        last, longest = left.agg(F.count(F.lit(1)), F.max(x2 - x1)).first()
+        block, kept = bucket * WIDE, []
+
+        def touched(size: float) -> Column:
+            lowest = F.floor(x1 / size)
+            return F.sequence(lowest, F.greatest(lowest, F.floor((x2 + 1) / size)))
+
+        # What a kept row suppresses begins this far before it at most; by the IoU, or because it reaches it.
+        reach = F.lit(float(longest or 0))
+        if threshold > 0:
+            reach = F.least(reach, (x2 - x1 + 1) * (1 / threshold - 1) * (1 + 1e-9))
+        home = F.floor(x1 / bucket)
+        homes = F.sequence(F.floor((x1 - F.greatest(reach, F.lit(0.0)) - 1) / bucket), F.greatest(home, F.floor((x2 + 1) / bucket)))
+        a1, a2 = F.col("_by_x1"), F.col("_by_x2")
+        inter = F.greatest(F.lit(0.0), F.least(a2, x2) - F.greatest(a1, x1) + 1)
+        hit = _suppresses(F.try_divide(inter, a2 - a1 + x2 - x1 + 2 - inter), threshold, inclusive) | (F.col("_n") == F.col("_by__n"))
+        for k in (*keys, "_h"):
             hit = hit & (F.col(k) == F.col(f"_by_{k}"))
-        gone = open_.withColumn("_c", F.explode(touched(bucket))).join(by.hint("merge"), hit, "left_semi").select("_n").distinct()
-        left = written(open_.join(gone.hint("merge"), "_n", "left_anti"), "nms-open")
-        n = left.count()
-        if not n:
-            break
-        if n * 4 <= last:
-            block *= WIDE
-        last = n
-    out = rows.join(kept.hint("merge"), "_n", "left_semi").unionByName(rows.where(~F.coalesce(comparable, F.lit(False))))
-    return out.select(*columns)
+
+        while True:
+            dealt = left.withColumn("_b", touched(block)).withColumn("_all", F.size("_b")).withColumn("_b", F.explode("_b"))
+            dealt = dealt.withColumn("_k", F.row_number().over(Window.partitionBy(*keys, "_b").orderBy(F.desc("score"), "id", "_n"))).where(F.col("_k") <= most)
+            said = dealt.groupBy(*keys, "_b").applyInArrow(_settle(threshold, inclusive), StructType([*dealt.schema.fields, StructField("_s", IntegerType())]))
+            said = said.groupBy("_n").agg(F.max("_s").alias("_s"), F.count(F.lit(1)).alias("_clear"), F.max("_all").alias("_all"), *(F.first(c).alias(c) for c in used))
+            kept.append(written(said.where("_s = 1 OR _clear = _all").select("_n", *used), "nms-kept"))
+            by = kept[-1].select(*(F.col(k).alias(f"_by_{k}") for k in ("_n", *keys)), x1.alias("_by_x1"), x2.alias("_by_x2"), F.explode(homes).alias("_by__h"))
+            # Every open row is in one home, so it is written once, or never again.
+            open_ = written(left.withColumn("_h", home).join(by.hint("merge"), hit, "left_anti").select(*left.columns), "nms-open")
+            if len(kept) > 1:
+                dropped(left)
+            left, n = open_, open_.count()
+            if not n:
+                break
+            if n * 4 <= last:
+                block *= WIDE
+            last = n
+    every = kept[0]
+    for more in kept[1:]:
+        every = every.unionByName(more)
+    if not set(columns) <= set(used):
+        every = rows.join(every.select("_n").hint("merge"), "_n", "left_semi")
+    return every.select(*columns).unionByName(rows.where(~F.coalesce(comparable, F.lit(False))).select(*columns))
 
 
 def suppress(detections: DataFrame, keys: list[str], threshold: float, inclusive: bool = True, most: int = 100_000, bucket: float | None = None) -> DataFrame:
     """Greedy suppression, dispatched by the size of the largest group: one task a group up to `most` rows, else by rounds over blocks."""
-    largest = detections.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    with freed(detections.sparkSession):
+        largest = detections.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
     return nms(detections, keys, threshold, inclusive) if largest <= most else nms_fixpoint(detections, keys, threshold, inclusive, bucket)
 
 

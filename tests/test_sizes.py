@@ -1,10 +1,12 @@
 """What large tables failed on: plans and rounds that must not grow with them."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
 from graphloom.functions import vector, voxel
-from graphloom.operators import detect, embed, graph, windows
+from graphloom.operators import checkpoints, detect, embed, graph, windows
 
 
 def plan(df):
@@ -72,6 +74,35 @@ def test_dispatched_suppression_writes_no_pairs(spark, monkeypatch):
     assert len(made) and max(t.count() for t in made) < 20 * 1200
 
 
+def shuffle_files(spark):
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().iterator()
+    found = set()
+    while files.hasNext():
+        found.add(files.next().getName())
+    return {f for f in found if f.startswith("shuffle_")}
+
+
+@pytest.mark.parametrize("extra", [False, True])
+def test_suppression_leaves_little_on_disk(spark, extra):
+    rows = spark.range(1500).selectExpr("id", "1L as item", "id * 13 % 1500 as x1", "id * 13 % 1500 + 10 + id % 50 as x2", "cast(pmod(id * 104729, 997) as decimal(9,2)) score", *["concat('p', id) as more"] * extra)
+    want, before, tables = sorted(r["id"] for r in detect.nms(rows, ["item"], 0.4).collect()), shuffle_files(spark), set(checkpoints._made)
+    got = detect.nms_fixpoint(rows, ["item"], 0.4, bucket=64.0, most=20)
+    largest = detect.suppress(rows, ["item"], 0.4, most=2000)
+    end = time.time() + 10
+    while shuffle_files(spark) - before and time.time() < end:
+        time.sleep(0.2)
+    assert not shuffle_files(spark) - before
+    held = [spark.read.parquet(p).count() for p in checkpoints._made if p not in tables]
+    assert sum(held) == 1500 + len(want)
+    assert got.dtypes == rows.dtypes and sorted(r["id"] for r in got.collect()) == sorted(r["id"] for r in largest.collect()) == want
+
+
+def test_suppression_of_empty_segments(spark):
+    # Of length 0: their IoU is 0 / 0, in SQL an error.
+    rows = spark.createDataFrame([(1, k, 5.0, 4.0, float(k)) for k in range(4)] + [(1, 9, 5.0, 5.0, 9.0)], "item long, id long, x1 double, x2 double, score double")
+    assert detect.nms_fixpoint(rows, ["item"], 0.4, most=1).count() == detect.nms(rows, ["item"], 0.4).count() == 5
+
+
 @pytest.mark.parametrize("most", [100, 9])
 def test_similar_vectors_need_no_row_a_pair(spark, monkeypatch, most):
     monkeypatch.setattr(embed, "CHUNK", 60)
