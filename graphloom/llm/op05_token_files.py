@@ -9,7 +9,8 @@ many tasks; each task sorts its range, encodes, compresses and writes it. A file
 fresh name for each attempt; only attempts that succeed are listed in the manifest, so a lost executor costs a retry and
 never a wrong file. Files are read back in as many tasks as there are files.
 
-The encoder is the library's with its defaults: a special token's string in a text is that token. Ids are stored in two
+The encoder is the library's with its defaults: a special token's string in a text is that token. It takes an Arrow batch
+at a time: cut on its bytes, distinct pieces looked up once, ids gathered by Arrow. Ids are stored in two
 bytes where vocabulary and end id fit, else in four; a width that is too narrow is refused.
 
 Defined results: null text counts as empty (its ids are the end id alone); null doc_ids come first; repeated doc_ids keep
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import json
 import re
+import string
 import struct
 import uuid
 import zlib
@@ -28,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs
 import xxhash
 import zstandard
@@ -35,14 +38,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from graphloom.llm.common import bounded_batches, fresh_path, materialize, table, tokenizer_file, worker_cache
-from graphloom.llm.pieces import TextEncoder
+from graphloom.llm.common import BATCH_ROWS, bounded_batches, fresh_path, materialize, table, tokenizer_file, worker_cache
+from graphloom.llm.pieces import RUN, UNITS, UnitCache
 
 END_ID = 0
 ROWS_PER_FILE = 8192
 #: Most tasks of the one shuffle; beyond, a task writes several files of ROWS_PER_FILE documents.
 MOST_TASKS = 20_000
 LEVEL = 3
+#: Text that is cut into pieces at once; a longer text is cut alone, a piece at a time.
+CHUNK_BYTES = 1 << 24
+#: ASCII characters that are no letters, digits or white space: together one pre-token where they follow letters.
+MARKS = string.punctuation
+#: What a byte is: part of no other kind, the space, other ASCII white space, a mark, an ASCII letter or digit, the first of a character that may be white space.
+OTHER, SPACE, OTHER_SPACE, MARK, WORD, WIDE = range(6)
+KIND = np.full(256, OTHER, np.uint8)
+for _kind, _bytes in ((SPACE, b" "), (OTHER_SPACE, b"\t\n\x0b\x0c\r"), (MARK, MARKS.encode()), (WORD, string.ascii_letters.encode() + string.digits.encode()), (WIDE, b"\xc2\xe1\xe2\xe3")):
+    KIND[list(_bytes)] = _kind
+#: Unicode's other white space in UTF-8.
+WIDE_SPACE = re.compile(b"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 # Of the seekable format: fixed values.
 SKIPPABLE = 0x184D2A50
@@ -58,44 +72,112 @@ def _byte_letters() -> dict[int, str]:
 
 
 class LibraryEncoder:
-    """Text to ids (bytes) as the tokenizers library gives them, units cached.
+    """Texts to ids (bytes, `width` an id) as the tokenizers library gives them, pieces cached.
 
-    A unit that is one run of letters is one pre-token, so the library's model alone encodes it; sentence marks that
-    follow letters are a pre-token of their own. Every other unit, and every text that holds the string of an added token,
-    takes the library's whole way.
+    A batch is cut into pieces on its bytes, where the public pattern always cuts: by white space (see pieces), before a
+    mark that follows an ASCII letter or digit, and after white space that no token takes along. Each distinct piece is
+    looked up once a batch. A piece that is one run of letters is one pre-token, so the library's model alone encodes it;
+    marks that follow letters are a pre-token of their own. Every other piece, and every text that holds the string of an
+    added token, takes the library's whole way.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, width: int = 4):
         from tokenizers import Tokenizer
 
-        self.tokenizer, letters = Tokenizer.from_file(path), _byte_letters()
-        model, encode = self.tokenizer.model, self.whole
+        self.tokenizer, self.letters, self.width = Tokenizer.from_file(path), _byte_letters(), width
+        self.model, self.space = self.tokenizer.model, self.letters[32]
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-
-        def unit(text: str) -> bytes:
-            core = text.rstrip(".,;:!?")
-            if (core[1:] if core[:1] == " " else core).isalpha():
-                if len(core) < len(text):
-                    return (own.spaced[core[1:]] if core[0] == " " else own.bare[core]) + own.bare[text[len(core) :]]
-                ids = [x.id for x in model.tokenize(text.encode().decode("latin-1").translate(letters))]
-                return struct.pack(f"<{len(ids)}I", *ids)
-            return encode(text)
-
-        self.units = own = TextEncoder(unit)
+        self.pieces = UnitCache(self.piece)
 
     def whole(self, text: str) -> bytes:
-        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, f"<u{self.width}").tobytes()
+
+    def piece(self, text: str) -> bytes:
+        core = text[1:] if text[0] == " " else text
+        if core.isalpha():
+            if core.isascii():
+                spelled = text if core is text else self.space + core
+            else:
+                spelled = text.encode().decode("latin-1").translate(self.letters)
+            ids = [x.id for x in self.model.tokenize(spelled)]
+            return struct.pack(f"<{len(ids)}{'H' if self.width == 2 else 'I'}", *ids)
+        letters = text.rstrip(MARKS)
+        if len(letters) < len(text) and (letters[1:] if letters[:1] == " " else letters).isalpha():
+            return self.pieces[letters] + self.pieces[text[len(letters) :]]
+        return self.whole(text)
 
     def __call__(self, text: str) -> bytes:
         if any(t in text for t in self.added):
             return self.whole(text)
-        return self.units(text)
-
-
-def encoder(path: str) -> LibraryEncoder:
+        out = bytearray()
+        for m in UNITS.finditer(text):
+            out += self.pieces[m.group()]
+        return bytes(out)
+
+    def batch(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text of a string column without nulls, in order; some CHUNK_BYTES of text at a time."""
+        sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+        k = 0
+        while k < len(sizes):
+            n = max(1, int(np.searchsorted(np.cumsum(sizes[k : k + BATCH_ROWS]), CHUNK_BYTES, "right")))
+            if sizes[k] > CHUNK_BYTES:
+                yield self(texts[k].as_py())
+            else:
+                yield from self._chunk(texts[k : k + n].cast(pa.binary()))
+            k += n
+
+    def _chunk(self, texts: pa.Array) -> Iterator[bytes]:
+        alone = self._alone(texts)
+        if alone:
+            plain = np.ones(len(texts), bool)
+            plain[list(alone)] = False
+            rest = self._plain(texts.filter(pa.array(plain)))
+            yield from (self(texts[k].as_py().decode()) if k in alone else next(rest) for k in range(len(texts)))
+        else:
+            yield from self._plain(texts)
+
+    def _alone(self, texts: pa.Array) -> set[int]:
+        """Texts that bytes can't cut: those with an added token's string, or with other than ASCII white space in a run."""
+        data, offsets = _bytes_of(texts)
+        raw = data.tobytes()
+        found = [m.start() for t in self.added if t.encode() in raw for m in re.finditer(re.escape(t.encode()), raw)]
+        alone = set((np.searchsorted(offsets, found, "right") - 1).tolist())
+        if (KIND[data] == WIDE).any():
+            wide = np.searchsorted(offsets, [m.start() for m in WIDE_SPACE.finditer(raw)], "right") - 1
+            alone |= {k for k in set(wide.tolist()) - alone if RUN.search(texts[k].as_py().decode())}
+        return alone
+
+    def _plain(self, texts: pa.Array) -> Iterator[bytes]:
+        data, offsets = _bytes_of(texts)
+        kind = KIND[data]
+        white, first = (kind == SPACE) | (kind == OTHER_SPACE), np.zeros(len(data) + 1, bool)
+        first[offsets] = True
+        # A run of white space is cut off before its first character and, unless the text ends with it, before its last.
+        last = ~(np.append(white[1:], True) | first[1:])
+        starts = first[:-1] | white & (last | ~np.append(False, white[:-1]))
+        starts[1:] |= (kind[1:] == MARK) & (kind[:-1] == WORD) | ~white[1:] & (kind[:-1] == OTHER_SPACE)
+        at = np.flatnonzero(starts)
+        pieces = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(np.append(at, len(data)).astype("<i4")), pa.py_buffer(data)]).dictionary_encode()
+        ids = pa.array(map(self.pieces.__getitem__, pieces.dictionary.cast(pa.string()).to_numpy(zero_copy_only=False)), pa.binary()).take(pieces.indices)
+        out, ends = _bytes_of(ids)
+        bounds, out = ends[np.searchsorted(at, offsets)].tolist(), memoryview(out)
+        for a, b in zip(bounds, bounds[1:], strict=False):
+            yield bytes(out[a:b])
+
+
+def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """A binary column's bytes, and where each value starts, with the end."""
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int32)
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, "<i4", len(column) + 1, 4 * column.offset)
+    data = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return data[offsets[0] : offsets[-1]], offsets - offsets[0]
+
+
+def encoder(path: str, width: int) -> LibraryEncoder:
     """One a worker process."""
-    return worker_cache("token-files", path, lambda: LibraryEncoder(path))
+    return worker_cache("token-files", (path, width), lambda: LibraryEncoder(path, width))
 
 
 def width_for(tokenizer: str, end_id: int, width: int | None = None) -> int:
@@ -189,7 +271,7 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
     order = [F.asc_nulls_first("doc_id"), "_h", "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, compress = encoder(tokenizer), struct.pack("<I", end_id), compressor().compress
+        encode, end, compress = encoder(tokenizer, width).batch, end_id.to_bytes(width, "little"), compressor().compress
         task, part, out, uri, size = TaskContext.get().partitionId(), 0, None, "", 0
 
         def listed() -> pa.RecordBatch:
@@ -197,13 +279,11 @@ def write_files(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID
             return pa.RecordBatch.from_arrays([pa.array([task], pa.int32()), pa.array([part], pa.int32()), pa.array([uri]), pa.array([len(out.ids)], pa.int64()), pa.array([size // width], pa.int64())], ["task", "part", "uri", "documents", "tokens"])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for doc_id, ids in zip(b.column(0).to_pylist(), encode(b.column(1)), strict=True):
                 if out is None:
                     uri = f"{path}/part-{task:06d}-{part:04d}-{uuid.uuid4().hex[:12]}.ids.zst"
                     out, size = Writer(uri, width), 0
-                raw = encode(text) + end
-                if width != 4:
-                    raw = np.frombuffer(raw, "<u4").astype(f"<u{width}").tobytes()
+                raw = ids + end
                 out.add(doc_id, compress(raw), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF)
                 size += len(raw)
                 if len(out.ids) >= rows_per_file:

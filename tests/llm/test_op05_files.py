@@ -1,6 +1,8 @@
+import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -104,3 +106,32 @@ def test_few_tasks_write_many_files(spark, tmp_path):
     rows = [(k, f"text {k}", "en", "a", 0) for k in range(100)]
     manifest = op.write_files(documents(spark, rows), str(tmp_path / "files"), tokenizer_file("byte_bpe_50k.json"), rows_per_file=10, most_tasks=2)
     assert manifest.count() >= 10 and sorted(r["doc_id"] for r in op.read_digests(manifest).collect()) == list(range(100))
+
+
+def test_a_batch_looks_up_each_piece_once():
+    encoder, looked = op.LibraryEncoder(tokenizer_file("byte_bpe_50k.json"), 2), []
+
+    class Counted(op.UnitCache):
+        def __getitem__(self, piece):
+            looked.append(piece)
+            return super().__getitem__(piece)
+
+    encoder.pieces = Counted(encoder.piece)
+    texts = [" ".join(f"word{'abcdefg'[(k + j) % 7]}{',.!'[j % 3]}" for j in range(50)) for k in range(300)]
+    got = [np.frombuffer(x, "<u2").tolist() for x in encoder.batch(pa.array(texts))]
+    assert got == [encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert len(looked) == len(set(looked)) <= 7 + 7 + 3
+
+
+def test_batches_as_the_library_has_them(monkeypatch):
+    parts = [*" \n\t\r\x0b\x0c\x1c\x85\xa0\u2003\u3000\u2019\u200b\u0301", " ", "  ", "\n\n", "a", "Ab", "stra\u00dfe", "\u65e5\u672c", "\U0001f642", "7", "\u00b2", *".,'_^`~", "***", "'s", "'ll", "<|endoftext|>", "<|endof", "x" * 60]
+    encoders, draw = [(op.LibraryEncoder(tokenizer_file("byte_bpe_50k.json"), w), f"<u{w}") for w in (2, 4)], random.Random(5)
+    library = encoders[0][0].tokenizer
+    texts = ["", "", *("".join(draw.choices(parts, k=draw.choice([0, 1, 2, 3, 5, 9, 30]))) for _ in range(3000)), ""]
+    want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+    for most in (1 << 24, 300, 20):
+        monkeypatch.setattr(op, "CHUNK_BYTES", most)
+        for encoder, ids in encoders:
+            for kind in (pa.string(), pa.large_string()):
+                assert [np.frombuffer(x, ids).tolist() for x in encoder.batch(pa.array(["cut ", *texts, " off"], kind).slice(1, len(texts)))] == want
+    assert list(encoders[0][0].batch(pa.array([], pa.string()))) == [] and list(encoders[0][0].batch(pa.array([""]))) == [b""]
